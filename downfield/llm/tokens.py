@@ -19,6 +19,7 @@ repeated. An empty table gives no file and no row.
 from __future__ import annotations
 
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -36,6 +37,31 @@ from downfield.llm.warc import open_fs
 _MAGIC, _BLOCK = b"DACIDS01", 512
 _MANIFEST = "part long, seq long, file string, n_docs long, n_tokens long"
 _MARKS = ".,!?;:*$%&#"
+#: A space that white space or the end follows: there a text is not simply cut at spaces.
+_ODD = re.compile(r" (?=\s|$)", re.DOTALL)
+
+
+class _Pieces(dict):
+    """Ids of pieces that begin with lead; what was used in the last two spans of ``most`` new pieces is kept."""
+
+    def __init__(self, tokenizer: object, lead: str, most: int, tail: _Pieces | None = None) -> None:
+        super().__init__()
+        self.tokenizer, self.lead, self.most, self.tail, self.old = tokenizer, lead, most, self if tail is None else tail, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            base = piece.rstrip(_MARKS)
+            if base != piece and base and base[-1].isalpha():
+                ids = self[base] + self.tail[piece[len(base) :]]
+            else:
+                ids = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class CachingEncoder:
@@ -46,35 +72,19 @@ class CachingEncoder:
     are the text's. A piece not seen before is also cut before its closing marks.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
-        self.most = most
-
-    def _ask(self, piece: str) -> bytes:
-        base = piece.rstrip(_MARKS)
-        if base != piece and base and base[-1].isalpha():
-            ids = self._get(base) + self._get(piece[len(base) :])
-        else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-    def _get(self, piece: str) -> bytes:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = self._ask(piece)
-            if len(piece) <= 64:
-                if len(self.cache) >= self.most:
-                    self.cache.clear()
-                self.cache[piece] = ids
-        return ids
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain = _Pieces(tokenizer, "", most // 8)
+        self.spaced = _Pieces(tokenizer, " ", most, self.plain)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = text.split(" ")
+        if not _ODD.search(text):
+            return self.plain[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:]))
         pieces, run = [], parts[0]
         for p in parts[1:]:
             if p and not p[0].isspace():
@@ -83,8 +93,17 @@ class CachingEncoder:
             else:
                 run = run + " " + p
         pieces.append(run)
-        get, slow = self.cache.get, self._get
-        return b"".join([get(p) or slow(p) for p in pieces if p])
+        return b"".join([self.spaced[p[1:]] if p[0] == " " and not p[1:2].isspace() and len(p) > 1 else self.plain[p] for p in pieces if p])
+
+
+_ENCODERS: dict[str, CachingEncoder] = {}
+
+
+def encoder(path: str) -> CachingEncoder:
+    """One encoder a Python worker, which serves one task after another."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = CachingEncoder(path)
+    return _ENCODERS[path]
 
 
 def encode_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -162,7 +181,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     ordered = ordered.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "body").select("key", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = CachingEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        ids_of, part, seq = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         fs, path = open_fs(folder)
         fs.create_dir(posixpath.join(path, "files"), recursive=True)
         keys: list[int | None] = []
@@ -177,7 +196,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
 
         for b in batches:
             for k, t in zip(b.column("key").to_pylist(), b.column("body"), strict=True):
-                x = np.frombuffer(encoder.encode(t.as_py()) + end, "<u4")
+                x = np.frombuffer(ids_of(t.as_py()) + end, "<u4")
                 keys.append(k)
                 ids.append(x)
                 held += len(x)
