@@ -1,0 +1 @@
+"""Empty: play logs are loaded in batches; there is no stream operator to offer."""
