@@ -41,12 +41,23 @@ _MARKS = ".,!?;:*$%&#"
 _ODD = re.compile(r" (?=\s|$)", re.DOTALL)
 
 
+def byte_letters() -> list[str]:
+    """The letter by which byte-level tokenizers show each byte: printable Latin-1 as it is, the others from code 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_LETTERS = byte_letters()
+
+
 class _Pieces(dict):
     """Ids of pieces that begin with lead; what was used in the last two spans of ``most`` new pieces is kept."""
 
     def __init__(self, tokenizer: object, lead: str, most: int, tail: _Pieces | None = None) -> None:
         super().__init__()
-        self.tokenizer, self.lead, self.most, self.tail, self.old = tokenizer, lead, most, self if tail is None else tail, {}
+        self.tokenizer, self.model, self.lead, self.most = tokenizer, tokenizer.model, lead, most
+        self.tail, self.old = self if tail is None else tail, {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -54,6 +65,9 @@ class _Pieces(dict):
             base = piece.rstrip(_MARKS)
             if base != piece and base and base[-1].isalpha():
                 ids = self[base] + self.tail[piece[len(base) :]]
+            elif piece.isalpha():  # one pre-token: the model is asked without the steps around it
+                shown = "".join([_LETTERS[b] for b in (self.lead + piece).encode()])
+                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
             else:
                 ids = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= 64:
