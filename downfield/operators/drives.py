@@ -5,13 +5,15 @@ All windows begin with game_id: after one exchange on it only local sorts follow
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from downfield.functions.context import half, play_points, scrimmage, yardline_100
 
-GAME = Window.partitionBy("game_id").orderBy("play_index")
-_BEFORE = GAME.rowsBetween(Window.unboundedPreceding, -1)
+
+def _game() -> WindowSpec:
+    return Window.partitionBy("game_id").orderBy("play_index")
+
 
 
 def with_context(plays: DataFrame) -> DataFrame:
@@ -26,12 +28,12 @@ def with_drives(plays: DataFrame) -> DataFrame:
     possession differs from the drive's or is its first.
     """
     poss = F.col("possession_team_id")
-    fresh = F.lag("half").over(GAME).isNull() | (F.col("half") != F.lag("half").over(GAME)) | (F.col("play_type") == "kickoff") | F.lag("pts").over(GAME).isNotNull()
-    df = plays.withColumn("fresh", fresh.cast("int")).withColumn("seg", F.sum("fresh").over(GAME))
+    fresh = F.lag("half").over(_game()).isNull() | (F.col("half") != F.lag("half").over(_game())) | (F.col("play_type") == "kickoff") | F.lag("pts").over(_game()).isNotNull()
+    df = plays.withColumn("fresh", fresh.cast("int")).withColumn("seg", F.sum("fresh").over(_game()))
     seg = Window.partitionBy("game_id", "seg").orderBy("play_index").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("held", F.last("possession_team_id", ignorenulls=True).over(seg))
     turn = (F.col("fresh") == 0) & poss.isNotNull() & (F.col("held").isNull() | (F.col("held") != poss))
-    df = df.withColumn("drive", F.sum(F.when((F.col("fresh") == 1) | turn, 1).otherwise(0)).over(GAME))
+    df = df.withColumn("drive", F.sum(F.when((F.col("fresh") == 1) | turn, 1).otherwise(0)).over(_game()))
     points = F.coalesce(F.sum("pts").over(Window.partitionBy("game_id", "drive")), F.lit(0))
     return df.withColumn("drive_points", points).drop("fresh", "seg", "held")
 
@@ -64,10 +66,10 @@ def with_epa(plays: DataFrame, ep: Column | None = None) -> DataFrame:
     or its end at a half or kickoff is worth 0; else the next stop's value counts.
     """
     df = plays.withColumn("ep_before", stub_ep() if ep is None else ep)
-    lag_half = F.lag("half").over(GAME)
+    lag_half = F.lag("half").over(_game())
     edge = lag_half.isNull() | (lag_half != F.col("half")) | (F.col("play_type") == "kickoff")
     df = df.withColumn("edge", edge).withColumn("stop", F.col("edge") | F.col("ep_before").isNotNull() | F.col("pts").isNotNull())
-    df = df.withColumn("blk", F.coalesce(F.sum(F.col("stop").cast("int")).over(_BEFORE), F.lit(0)))
+    df = df.withColumn("blk", F.coalesce(F.sum(F.col("stop").cast("int")).over(_game().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     block = Window.partitionBy("game_id", "blk")
     df = df.withColumns({"bmin": F.min("possession_team_id").over(block), "bmax": F.max("possession_team_id").over(block)})
     df = df.withColumn("val", F.when(F.col("edge"), 0.0).otherwise(F.coalesce("ep_before", F.col("pts").cast("double"))))
