@@ -16,6 +16,8 @@ from downfield.sources.projection import plays, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The same without the games in front, to build upon.
+TAILS: dict[str, str] = {}
 
 
 def query(oracle: str | None = None) -> Callable:
@@ -23,6 +25,7 @@ def query(oracle: str | None = None) -> Callable:
         QUERIES[f.__name__] = f
         if oracle:
             ORACLE_SQL[f.__name__] = sql(oracle)
+            TAILS[f.__name__] = oracle
         return f
 
     return add
@@ -66,6 +69,11 @@ te AS (SELECT team, season, game_type, side, sum(epa) AS total_epa, sum(CASE WHE
               count(*) AS plays, avg(epa) AS epa_per_play, avg(CASE WHEN epa > 0 THEN 1.0 ELSE 0.0 END) AS success_rate FROM sides GROUP BY ALL)"""
 
 
+def tail(name: str, of: str) -> str:
+    """The result of query ``of`` as a common table expression."""
+    return f", {name} AS (WITH nothing AS (SELECT 1){TAILS[of]})"
+
+
 def _context(spark: SparkSession, sf: str) -> DataFrame:
     return D.with_context(plays(spark, sf))
 

@@ -6,6 +6,7 @@ PLAYS_SQL is common to Spark and other engines. Every 200 events are a game.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PLAYS_SQL = """
 WITH k AS (
@@ -81,3 +82,21 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(rest: str) -> str:
     """SQL over ``plays`` for any engine that has the ``events`` table."""
     return f"WITH plays AS ({PLAYS_SQL.format(events='events')})" + rest
+
+
+#: Players and seasons of the plays, with a position by the digits of the id; follows ``plays``.
+POSITIONS_SQL = """, mention AS (
+  SELECT passer_id AS player_id, season FROM plays UNION SELECT rusher_id, season FROM plays UNION SELECT receiver_id, season FROM plays
+  UNION SELECT tackler_id, season FROM plays UNION SELECT sacker_id, season FROM plays UNION SELECT interceptor_id, season FROM plays),
+positions AS (
+  SELECT player_id, season, CASE WHEN player_id % 40 < 10 THEN 'QB' WHEN player_id % 40 < 20 THEN 'RB' WHEN player_id % 40 < 26 THEN CASE WHEN (player_id + season) % 3 = 0 THEN 'TE' ELSE 'WR' END
+         WHEN player_id % 40 < 33 THEN 'LB' WHEN player_id % 40 < 36 THEN 'DL' ELSE 'CB' END AS position
+  FROM mention WHERE player_id IS NOT NULL)"""
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """player_id, season, position: one row a player and season."""
+    rows = plays(spark, sf_dir).select("season", F.explode(F.array_compact(F.array(*(F.col(f"{r}_id") for r in ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor"))))).alias("player_id")).distinct()
+    n = F.col("player_id") % 40
+    catcher = F.when((F.col("player_id") + F.col("season")) % 3 == 0, "TE").otherwise("WR")
+    return rows.select("player_id", "season", F.when(n < 10, "QB").when(n < 20, "RB").when(n < 26, catcher).when(n < 33, "LB").when(n < 36, "DL").otherwise("CB").alias("position"))
