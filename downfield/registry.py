@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from downfield.plans import games, identity, leaders  # noqa: F401
+from downfield.plans import games, identity, leaders, sources  # noqa: F401
 from downfield.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
