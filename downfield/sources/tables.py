@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,13 +95,3 @@ def fill_game_type(df: DataFrame, types: DataFrame, default: str = "regular") ->
     has = F.col("game_type") if "game_type" in df.columns else F.lit(None).cast("string")
     found = types.groupBy("game_id").agg(F.max("game_type").alias("__type"))
     return df.join(found, "game_id", "left").withColumn("game_type", F.coalesce(has, "__type", F.lit(default))).drop("__type")
-
-
-def store_models(models: dict[str, object], path: str) -> None:
-    """Writes one fitted model an era."""
-    for era, model in models.items():
-        model.write().overwrite().save(f"{path}/{era}")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
