@@ -107,9 +107,10 @@ def duplicates(people: DataFrame) -> DataFrame:
 
 def merge_ids(df: DataFrame, merges: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Replaces removed ids by those kept in all ``columns``; ``merges``: (removed, kept), one row a removed id. Chains are not followed."""
+    order = df.columns
     for c in columns:
         df = df.join(merges.select(F.col("removed").alias(c), F.col("kept").alias("__kept")), c, "left").withColumn(c, F.coalesce("__kept", c)).drop("__kept")
-    return df
+    return df.select(order)
 
 
 def merge_people(people: DataFrame, merges: DataFrame) -> DataFrame:
