@@ -94,3 +94,15 @@ def score(text: Column) -> tuple[Column, Column, Column, Column]:
     """'NYS 3 - SJS 0' to 'NYS', 3, 'SJS' and 0."""
     pattern = r"^(\w+) (\d+) - (\w+) (\d+)"
     return _group(text, pattern, 1), _group(text, pattern, 2).try_cast("int"), _group(text, pattern, 3), _group(text, pattern, 4).try_cast("int")
+
+
+def filled_distance(text: Column, yard_line: Column) -> Column:
+    """Distance of a down text; to the goal it is the yard line, and inches are one yard."""
+    _, distance, said = down_distance(text)
+    return F.coalesce(distance, F.when(F.lower(said) == "goal", yard_line).when(F.lower(said) == "inches", 1))
+
+
+def pattern_counts(df: DataFrame, patterns: dict[str, str], text: str = "description") -> DataFrame:
+    """Rows by the first pattern that the text has ('other' for none), most common first."""
+    label = reduce(lambda c, k: c.when(F.col(text).rlike(patterns[k]), k), patterns, F.when(F.lit(False), F.lit(""))).otherwise("other")
+    return df.groupBy(label.alias("pattern")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from downfield.functions.parse import filled_distance, pattern_counts
 from downfield.operators import stats as S
 from downfield.plans.leaders import BOX
 from downfield.plans.queries import EPA, _epa, query, tail
@@ -143,3 +144,17 @@ def s11_csv_export(spark: SparkSession, sf: str) -> DataFrame:
     path = T.shared_folder(spark, "teams") + ".csv"
     T.export(S.team_epa(_epa(spark, sf)), path)
     return spark.read.option("header", True).csv(path).select("team").distinct()
+
+
+@query(" SELECT game_id, play_index, CAST(CASE WHEN down IS NOT NULL THEN coalesce(distance, 1) END AS INT) AS distance FROM plays")
+def p4_filled_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return _raw(spark, sf).select("game_id", "play_index", filled_distance(F.col("t"), F.lit(None).cast("int")).alias("distance"))
+
+
+#: Patterns of the text histogram, in order.
+HISTOGRAM = {"touchdown": "TOUCHDOWN", "complete": ", complete to", "incomplete": "incomplete", "rush": "^Rush by", "sack": "SACKED", "kick": "^(Kickoff|Punt)"}
+
+
+@query(" SELECT CASE " + " ".join(f"WHEN regexp_matches(description, '{v}') THEN '{k}'" for k, v in HISTOGRAM.items()) + " ELSE 'other' END AS pattern, count(*) AS n FROM plays GROUP BY 1")
+def p13_text_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return pattern_counts(plays(spark, sf), HISTOGRAM)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from downfield.functions.names import initial_last, roster_key
+from downfield.functions.parse import filled_distance
 from downfield.operators import games as G
 from downfield.operators import identity as I
 from downfield.operators import leaders as L
@@ -147,3 +148,8 @@ def test_reconcile_and_heat(spark):
     r = L.reconcile(a, b, ("yards",)).collect()[0]
     assert (r.compared, r.same) == (3, 2) and math.isclose(r.match_rate, 2 / 3)
     assert [x.heat for x in L.with_heat(a.where("yards is not null").withColumn("k", F.lit(1)), "yards", "k").collect()] == [1.0, 1.0]
+
+
+def test_filled_distance(spark):
+    df = spark.createDataFrame([("1st and Goal", 7), ("4th and inches", 9), ("2nd and 8", 3), ("---", 2), (None, 1)], "t string, y int")
+    assert [r[0] for r in df.select(filled_distance(F.col("t"), F.col("y"))).collect()] == [7, 1, 8, None, None]
