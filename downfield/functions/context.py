@@ -21,6 +21,11 @@ def half_seconds(quarter: Column, clock: Column) -> Column:
     return F.when(quarter >= 5, 0).otherwise(F.coalesce(left + F.when(quarter.isin(1, 3), 900).otherwise(0), F.lit(0)))
 
 
+def other_team(team: Column, home: Column, away: Column) -> Column:
+    """The other of a game's two teams; null for a team that is neither."""
+    return F.when(team == home, away).when(team == away, home)
+
+
 def yardline_100(team: Column, side: Column, yard_line: Column) -> Column:
     """Yards from the own goal; null if any input is null."""
     return F.when(team == side, yard_line).when(team != side, 100 - yard_line)

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NAME = r"(.+?)"
-#: Text formats, first match wins (fixed values): name, play type, pattern, and the groups of (actor, other, yards).
+_STOP = r"\.(?=\.|<|\s|$)"
+_SPOT = r".+? at .+? yard line and returned for -?\d+"
+_GAIN = r"(?:(-?\d+) yds|a short gain)"
+#: Text formats, first match wins (fixed values): name, play type, pattern, and the groups of its fields.
 RULES: tuple[tuple[str, str, str, dict[str, int]], ...] = (
     ("quarter_marker", "quarter_marker", r"^\d+:\d+ - .*(?:Quarter|Half|Overtime|OVERTIME)|End of Game|00:00", {}),
     ("kickoff_touchback", "kickoff", rf"Kickoff by {_NAME} (?:through the back|deep into the endzone)", {"kicker": 1}),
@@ -19,16 +22,16 @@ RULES: tuple[tuple[str, str, str, dict[str, int]], ...] = (
     ("kickoff_yards", "kickoff", rf"Kickoff by {_NAME} of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
     ("kicks_off", "kickoff", rf"{_NAME} kicks off", {"kicker": 1}),
     ("punt", "punt", rf"Punt by {_NAME} of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
-    ("punt_blocked", "punt", rf"Punt by {_NAME} is BLOCKED BY ([^<]+)\.", {"kicker": 1}),
+    ("punt_blocked", "punt", rf"Punt by {_NAME} is BLOCKED BY ([^<]+){_STOP}", {"kicker": 1}),
     ("field_goal", "field_goal", rf"(\d+) yard FG by {_NAME} is (good|NO good)", {"fg_distance": 1, "kicker": 2}),
-    ("field_goal_blocked", "field_goal", rf"(\d+) yard FG by {_NAME} is BLOCKED by", {"fg_distance": 1, "kicker": 2}),
-    ("sack", "sack", rf"^{_NAME} (?:is )?SACKED by {_NAME} - \w+ for (-?\d+) yds", {"passer": 1, "sacker": 2, "yards_gained": 3}),
-    ("complete", "pass", rf"Pass by {_NAME}, complete to {_NAME} for (?:(-?\d+) yds|a short gain)", {"passer": 1, "receiver": 2, "yards_gained": 3}),
-    ("broken_up", "pass", rf"Pass by {_NAME},? to {_NAME} is incomplete\. Broken up by ([^<]+)\.", {"passer": 1, "receiver": 2, "tackler": 3}),
-    ("falls", "pass", rf"Pass by {_NAME},? to {_NAME} falls incomplete", {"passer": 1, "receiver": 2}),
-    ("dropped", "pass", rf"Pass by {_NAME},? to {_NAME} was dropped", {"passer": 1, "receiver": 2}),
-    ("intercepted", "pass", rf"Pass by {_NAME},? to (.+?\.)\..*INTERCEPTION by", {"passer": 1, "receiver": 2}),
-    ("rush", "rush", rf"Rush by {_NAME} for (?:(-?\d+) yds|a short gain)", {"rusher": 1, "yards_gained": 2}),
+    ("field_goal_blocked", "field_goal", rf"(\d+) yard FG by {_NAME} is BLOCKED by ([^<]+){_STOP}", {"fg_distance": 1, "kicker": 2}),
+    ("sack", "sack", rf"{_NAME} (?:is )?SACKED by {_NAME} - \w+ for (-?\d+) yds", {"passer": 1, "sacker": 2, "yards_gained": 3}),
+    ("complete", "pass", rf"Pass by {_NAME}, complete to {_NAME} for {_GAIN}", {"passer": 1, "receiver": 2, "yards_gained": 3}),
+    ("broken_up", "pass", rf"Pass by {_NAME} to {_NAME} is incomplete\. Broken up by ([^<]+){_STOP}", {"passer": 1, "receiver": 2, "tackler": 3}),
+    ("falls", "pass", rf"Pass by {_NAME} to {_NAME} falls incomplete", {"passer": 1, "receiver": 2}),
+    ("dropped", "pass", rf"Pass by {_NAME} to {_NAME} was dropped", {"passer": 1, "receiver": 2}),
+    ("intercepted", "pass", rf"^(?=.*INTERCEPTION by {_SPOT}).*?Pass by {_NAME},? to {_NAME}\.\.", {"passer": 1, "receiver": 2}),
+    ("rush", "rush", rf"Rush by {_NAME} for {_GAIN}", {"rusher": 1, "yards_gained": 2}),
     ("kneel", "kneel", r"Offense kneels", {}),
     ("spike", "spike", r"spikes the ball", {}),
     ("penalty_nullify", "penalty", rf"(?:Pass |Rush )?Play nullified by {_NAME} Penalty on {_NAME}: (.+?)(?:\.|<)", {"penalty_team": 1, "penalty_type": 3}),
@@ -37,7 +40,15 @@ RULES: tuple[tuple[str, str, str, dict[str, int]], ...] = (
     ("timeout_old", "timeout", r"^.+?\s*:\s*Timeout", {}),
     ("throwaway", "pass", rf"{_NAME} throws the ball away", {"passer": 1}),
     ("on_downs", "pass", r"^Turnover on downs", {}),
+    ("kickoff_touchdown", "kickoff", r"^(?=.*TOUCHDOWN).*(?:kicks off|yard return)", {}),
 )
+#: Formats that hold a return, a tackle, or a play of no gain (fixed values).
+_RETURNED = ("onside", "free_kick", "kickoff_yards", "punt", "punt_blocked")
+_TACKLED, _NO_GAIN = ("complete", "rush"), ("complete", "rush", "broken_up", "falls", "dropped", "intercepted", "throwaway", "on_downs")
+RETURN, RETURN_YARDS, TACKLE = rf"Returned by {_NAME} for (\d+) yards", r"A (\d+) yard return", rf"Tackle by ([^<]+){_STOP}"
+#: Outcomes that any text may tell besides (fixed values).
+FUMBLE_LOST, FUMBLE_KEPT = rf"FUMBLE recovered by {_NAME} at .+? yard line and returned for \d+", rf"FUMBLE by {_NAME}, recovered by ([^<]+){_STOP}"
+INTERCEPTION, PAT = rf"INTERCEPTION by {_NAME} at .+? yard line and returned for -?\d+", r"(?i)\(.+? kick (good|no good)\)"
 _TEXTS = ("passer", "rusher", "receiver", "tackler", "sacker", "kicker", "returner", "penalty_team", "penalty_type")
 _NUMBERS = ("yards_gained", "kick_yards", "fg_distance")
 
@@ -46,13 +57,17 @@ def _group(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _rule(*names: str) -> Column:
+    return F.col("rule").isin(*(k for k, r in enumerate(RULES) if r[0] in names))
+
+
 def rule_of(text: Column) -> Column:
     """Number of the first rule whose pattern the text has; null if none."""
     return reduce(lambda c, k: c.when(text.rlike(RULES[k][2]), k), range(1, len(RULES)), F.when(text.rlike(RULES[0][2]), 0))
 
 
 def parse_plays(df: DataFrame, text: str = "description") -> DataFrame:
-    """Adds parsed_type, rule, the fields of the primary action and the outcome flags."""
+    """Adds parsed_type, rule, the fields of the primary action and the outcomes that any play may have."""
     d, df = F.col(text), df.withColumn("rule", rule_of(F.col(text)))
 
     def field(name: str) -> Column:
@@ -60,26 +75,53 @@ def parse_plays(df: DataFrame, text: str = "description") -> DataFrame:
         return reduce(lambda c, x: c.when(F.col("rule") == x[0], _group(d, x[2], x[1])), of[1:], F.when(F.col("rule") == of[0][0], _group(d, of[0][2], of[0][1])))
 
     types = reduce(lambda c, k: c.when(F.col("rule") == k, RULES[k][1]), range(1, len(RULES)), F.when(F.col("rule") == 0, RULES[0][1])).otherwise("unknown")
-    tackle = _group(d, r"Tackle by ([^<]+?\.)\.", 1)
     cols = {f"parsed_{c}": field(c) for c in _TEXTS} | {f"parsed_{c}": field(c).try_cast("int") for c in _NUMBERS}
-    cols["parsed_tackler"] = F.coalesce(cols["parsed_tackler"], tackle)
-    cols["parsed_yards_gained"] = F.when(d.contains(" for a short gain"), 0).otherwise(cols["parsed_yards_gained"])
+    told = F.when(_rule("kickoff_yards"), _group(d, RETURN_YARDS, 1))
+    cols["parsed_returner"] = F.coalesce(cols["parsed_returner"], F.when(_rule(*_RETURNED) & told.isNull(), _group(d, RETURN, 1)))
+    cols["parsed_tackler"] = F.coalesce(cols["parsed_tackler"], F.when(_rule(*_TACKLED), _group(d, TACKLE, 1)))
+    cols["parsed_penalty_type"] = F.trim(cols["parsed_penalty_type"])
+    back = F.when(_rule(*_RETURNED), F.coalesce(told, _group(d, RETURN, 2)).try_cast("int"))
+    cols["parsed_yards_gained"] = F.coalesce(cols["parsed_yards_gained"], back, F.when(_rule(*_NO_GAIN), 0))
+    pat = F.lower(_group(d, PAT, 1))
     flags = {
         "parsed_touchdown": d.contains("TOUCHDOWN"),
-        "parsed_interception": d.contains("INTERCEPTION by"),
-        "parsed_interceptor": _group(d, r"INTERCEPTION by (.+?) at the", 1),
-        "parsed_safety": d.rlike("(?i)safety!"),
-        "parsed_first_down": d.contains("First Down!"),
+        "parsed_interception": d.rlike(INTERCEPTION),
+        "parsed_interceptor": _group(d, INTERCEPTION, 1),
+        "parsed_fumble": d.rlike(FUMBLE_LOST) | d.rlike(FUMBLE_KEPT),
+        "parsed_fumble_lost": d.rlike(FUMBLE_LOST),
+        "parsed_fumbler": _group(d, FUMBLE_KEPT, 1),
+        "parsed_fumble_recoverer": F.coalesce(_group(d, FUMBLE_KEPT, 2), _group(d, FUMBLE_LOST, 1)),
+        "parsed_safety": d.contains("Safety"),
+        "parsed_first_down": d.rlike("First Down"),
+        "parsed_auto_first_down": d.contains("Automatic First Down"),
+        "parsed_turnover_on_downs": d.contains("Turnover on downs"),
         "parsed_complete": d.contains(", complete to"),
-        "parsed_fg_good": F.when(F.col("rule") == 10, d.contains(" is good")).when(F.col("rule") == 11, False),
-        "parsed_pat_good": F.when(d.rlike(r"(?i)kick good\)"), True).when(d.rlike(r"(?i)kick no good\)"), False),
+        "parsed_fg_good": F.when(_rule("field_goal"), d.rlike(r"\d+ yard FG by .+? is good")).when(_rule("field_goal_blocked"), False),
+        "parsed_pat_good": pat == "good",
     }
     return df.withColumn("parsed_type", types).withColumns(cols).withColumns(flags)
 
 
+def typed_plays(raw: DataFrame) -> DataFrame:
+    """Typed rows from the fields of the game files: place in the game, situation, score and all that the text tells.
+
+    A null text is of type unknown and tells nothing.
+    """
+    texts = parse_plays(raw.withColumn("m", F.coalesce("m", F.lit(""))), "m")
+    down, _, said = down_distance(F.col("t"))
+    side, line = field_position(F.col("o"))
+    away, away_points, home, home_points = score(F.col("s"))
+    parsed = [c for c in texts.columns if c.startswith("parsed_") and c not in ("parsed_type", "parsed_complete")]
+    return texts.select(
+        "game_id", "play_index", "quarter", F.col("c").alias("clock"), away_points.alias("score_away"), home_points.alias("score_home"), away.alias("away_team"), home.alias("home_team"), "possession_team_id",
+        down.alias("down"), filled_distance(F.col("t"), line).alias("distance"), said.alias("distance_text"), line.alias("yard_line"), side.alias("yard_line_team"), F.col("parsed_type").alias("play_type"),
+        F.col("m").alias("description"), "css", (F.col("parsed_type") == "penalty").alias("penalty"), *(F.col(c).alias(c.removeprefix("parsed_")) for c in parsed),
+    )
+
+
 def down_distance(text: Column) -> tuple[Column, Column, Column]:
     """'2nd and 7' to 2, 7 and '7'; 'inches' and 'Goal' have no number."""
-    pattern = r"^(\d)\w+ and (\w+)"
+    pattern = r"^(\d)(?:st|nd|rd|th) and (\d+|inches|Goal)"
     said = _group(text, pattern, 2)
     return _group(text, pattern, 1).try_cast("int"), said.try_cast("int"), said
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from downfield.functions.context import half, play_points, scrimmage, yardline_100
+from downfield.functions.context import half, half_seconds, play_points, scrimmage, yardline_100
 
 
 def _game() -> WindowSpec:
@@ -102,10 +102,69 @@ def drive_summary(plays: DataFrame) -> DataFrame:
     )
 
 
-def resolve_team_ids(plays: DataFrame) -> DataFrame:
-    """(id, team): the one team that is in every game of the id; ids with none or several are left out."""
-    seen = plays.where("possession_team_id is not null").select("game_id", "home_team", "away_team", "possession_team_id").distinct()
-    games = seen.groupBy("possession_team_id").agg(F.count_distinct("game_id").alias("games"))
-    teams = seen.select("possession_team_id", "game_id", F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
-    full = teams.groupBy("possession_team_id", "team").agg(F.count("*").alias("games")).join(games, ["possession_team_id", "games"])
-    return full.groupBy("possession_team_id").agg(F.count("*").alias("n"), F.min("team").alias("team")).where("n = 1").select(F.col("possession_team_id").alias("id"), "team")
+#: Plays that a drive's count, yards and EPA take in (fixed values).
+DRIVE_PLAYS = ("pass", "rush", "sack", "field_goal", "penalty")
+
+
+def game_team_map(plays: DataFrame) -> DataFrame:
+    """(game_id, possession_team_id, team) for display, in games with two ids and known teams.
+
+    The side that the first play with one names, other than a kickoff or marker, is that of its id; without
+    such a play the id seen first is the away team's.
+    """
+    at, named = F.col("play_index"), F.col("possession_team_id").isNotNull() & F.col("yard_line_team").isNotNull() & ~F.col("play_type").isin("kickoff", "quarter_marker")
+    ident = F.col("possession_team_id")
+    games = plays.groupBy("game_id").agg(
+        F.min_by("home_team", F.when(F.col("home_team").isNotNull(), at)).alias("home"), F.min_by("away_team", F.when(F.col("away_team").isNotNull(), at)).alias("away"), F.min(ident).alias("lo"), F.max(ident).alias("hi"), F.count_distinct(ident).alias("n"),
+        F.min_by(F.struct(ident.alias("id"), F.col("yard_line_team").alias("team")), F.when(named, at)).alias("f"), F.min_by(ident, F.when(ident.isNotNull(), at)).alias("first"),
+    ).where("n = 2 AND home is not null AND away is not null")
+    ident, team = F.coalesce("f.id", "first"), F.coalesce("f.team", "away")
+    rest = F.struct(F.when(F.col("lo") == ident, F.col("hi")).otherwise(F.col("lo")).alias("possession_team_id"), F.when(team == F.col("home"), F.col("away")).otherwise(F.col("home")).alias("team"))
+    return games.select("game_id", F.inline(F.array(F.struct(ident.alias("possession_team_id"), team.alias("team")), rest)))
+
+
+def game_drives(plays: DataFrame) -> DataFrame:
+    """The drives of a game as its viewer lists them: number from 1, side, start, result of the last play, and plays, yards and EPA of DRIVE_PLAYS.
+
+    A drive begins where the possession (unknown is one of its own) or the half changes, and with each kickoff, not
+    after a score. Needs half and epa. A team that is not known has a null name, and its start is the raw yard line.
+    """
+    now, was = F.struct("possession_team_id", "half"), F.lag(F.struct("possession_team_id", "half")).over(_game())
+    rows = plays.withColumn("drive", F.sum((~now.eqNullSafe(was) | (F.col("play_type") == "kickoff")).cast("int")).over(_game()))
+    yes, at, real = lambda c: F.coalesce(F.col(c), F.lit(False)), F.col("play_index"), F.col("play_type").isin(*DRIVE_PLAYS)
+    result = F.when(yes("touchdown"), "TD").when(yes("fg_good"), "FG").when(yes("interception"), "INT").when(yes("fumble_lost"), "FUM").when(yes("safety"), "Safety").when((F.col("play_type") == "field_goal") & (F.col("fg_good") == F.lit(False)), "Missed FG").when((F.col("down") == 4) & ~yes("first_down"), "Turnover on Downs").otherwise("Punt / End")
+    out = rows.groupBy("game_id", "drive", "possession_team_id").agg(
+        F.min_by("quarter", at).alias("start_quarter"), F.min_by("clock", at).alias("start_clock"), F.max_by(result, at).alias("result"), F.count_if(real).alias("n_plays"),
+        F.sum(F.when(real, F.coalesce("yards_gained", F.lit(0))).otherwise(0)).cast("long").alias("yards"), F.sum(F.when(real, F.coalesce("epa", F.lit(0.0))).otherwise(0.0)).alias("epa"),
+        F.min_by(F.struct("yard_line", "yard_line_team"), F.when(real, at)).alias("s"),
+    )
+    out = out.join(game_team_map(plays), ["game_id", "possession_team_id"], "left")
+    spot = F.when(F.col("s.yard_line_team") != F.col("team"), 100 - F.col("s.yard_line")).otherwise(F.col("s.yard_line"))
+    return out.select("game_id", "drive", "team", "start_quarter", "start_clock", spot.alias("start_yards"), "result", "n_plays", "yards", "epa")
+
+
+def all_abbreviations(plays: DataFrame) -> DataFrame:
+    """(id, teams): every team name that an id resolves to in some season."""
+    return resolve_team_ids(plays, "season").groupBy("id").agg(F.array_sort(F.collect_set("team")).alias("teams"))
+
+
+def backfill(plays: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """Fills half_seconds and yl100 where they are null; a side is the own one if it is among the id's all_abbreviations().
+
+    What lacks a clock, a quarter, a yard line, its side or a possession stays null.
+    """
+    seconds = F.when(F.col("clock").isNotNull() & F.col("quarter").isNotNull(), half_seconds(F.col("quarter"), F.col("clock")))
+    known = F.col("yard_line").isNotNull() & F.col("yard_line_team").isNotNull() & F.col("possession_team_id").isNotNull()
+    own = F.coalesce(F.array_contains("__teams", F.col("yard_line_team")), F.lit(False))
+    yards = F.when(known, F.when(own, F.col("yard_line")).otherwise(100 - F.col("yard_line")))
+    rows = plays.join(abbreviations.select(F.col("id").alias("possession_team_id"), F.col("teams").alias("__teams")), "possession_team_id", "left")
+    return rows.withColumns({"half_seconds": F.coalesce("half_seconds", seconds), "yl100": F.coalesce("yl100", yards)}).select(plays.columns)
+
+
+def resolve_team_ids(plays: DataFrame, *by: str) -> DataFrame:
+    """(id, team) of each ``by``: the one team that is in every game of the id; ids with none or several are left out."""
+    seen = plays.where("possession_team_id is not null").select("game_id", *by, "home_team", "away_team", "possession_team_id").distinct()
+    games = seen.groupBy(*by, "possession_team_id").agg(F.count_distinct("game_id").alias("games"))
+    teams = seen.select(*by, "possession_team_id", "game_id", F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
+    full = teams.groupBy(*by, "possession_team_id", "team").agg(F.count("*").alias("games")).join(games, [*by, "possession_team_id", "games"])
+    return full.groupBy(*by, "possession_team_id").agg(F.count("*").alias("n"), F.min("team").alias("team")).where("n = 1").select(F.col("possession_team_id").alias("id"), *by, "team")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from downfield.functions.context import half_seconds, scrimmage
+from downfield.operators.drives import resolve_team_ids
 
 #: First season of the newer engine, bounds of features, yard lines that show the receiving side (fixed values).
 ENGINE_SEASON, SCORE_CLIP, DISTANCE_CLIP = 27, 28, 30
@@ -110,6 +111,25 @@ def drive_matrix(plays: DataFrame) -> DataFrame:
     return rows.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("game_id", "__run"))).drop("__run")
 
 
+def without_preseason(plays: DataFrame, types: DataFrame) -> DataFrame:
+    """Leaves out the games that (game_id, game_type) lists as preseason; games it does not list stay."""
+    return plays.join(types.where("game_type = 'preseason'").select("game_id"), "game_id", "left_anti")
+
+
+def training_plays(plays: DataFrame, seasons: list[int], league: str | None = None) -> DataFrame:
+    """Plays of the seasons (and league) outside the preseason, with possession_team and scores where they were missing.
+
+    A missing possession is that of an id that resolves to one team over the rows that name both teams, else the
+    side by kickoff_votes(). Scores are rebuilt by with_scores().
+    """
+    rows = plays.where(F.col("season").isin(list(seasons)) & (F.col("game_type") != "preseason"))
+    rows = rows.where(F.col("league") == league) if league else rows
+    byid = resolve_team_ids(rows.where("possession_team is null AND home_team is not null")).select(F.col("id").alias("possession_team_id"), F.col("team").alias("__resolved"))
+    rows = rows.join(byid, "possession_team_id", "left").join(kickoff_votes(rows).withColumnRenamed("team", "__vote"), ["game_id", "possession_team_id"], "left")
+    team = F.coalesce("possession_team", F.when(F.col("home_team").isNotNull(), F.col("__resolved")), "__vote")
+    return with_scores(rows.withColumn("possession_team", team).drop("__resolved", "__vote").select(plays.columns))
+
+
 def drive_starts(plays: DataFrame) -> DataFrame:
     """Scrimmage rows whose possession or half differs from the scrimmage row before, or with a kickoff between; needs half."""
     df = plays.withColumn("__kicks", F.count_if(F.col("play_type") == "kickoff").over(_game()))

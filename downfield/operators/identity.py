@@ -94,6 +94,13 @@ def players(keyed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out.select("player_id", "player_key", "name", "first_season", "last_season", "mentions")
 
 
+def attach_ids(plays: DataFrame, keyed: DataFrame, dimension: DataFrame, roles: tuple[str, ...] = OFFENSE + DEFENSE + ("fumble_recoverer",)) -> DataFrame:
+    """Adds <role>_id to plays for the names of their roles; from with_player_key() and players(). A role without a name has no id."""
+    ids = keyed.select("game_id", "play_index", "role", "player_key").join(dimension.select("player_key", "player_id"), "player_key")
+    wide = ids.groupBy("game_id", "play_index").agg(*(F.max(F.when(F.col("role") == r, F.col("player_id"))).alias(f"{r}_id") for r in roles))
+    return plays.join(wide, ["game_id", "play_index"], "left")
+
+
 def aliases(keyed: DataFrame, dimension: DataFrame) -> DataFrame:
     """Distinct (player_id, name, season, team)."""
     return keyed.select("player_key", "name", "season", "team").distinct().join(dimension.select("player_key", "player_id"), "player_key").select("player_id", "name", "season", "team").distinct()
@@ -127,3 +134,49 @@ def match_roster(roster: DataFrame, people: DataFrame) -> DataFrame:
         lookup = people.select(roster_key(F.col("name"), relaxed).alias("__key"), "player_id").where("__key is not null").groupBy("__key").agg(F.max("player_id").alias(f"__{n}"))
         roster = roster.withColumn("__key", roster_key(F.col("name"), relaxed)).join(lookup, "__key", "left").drop("__key")
     return roster.withColumn("player_id", F.coalesce("__exact", "__relaxed")).drop("__exact", "__relaxed")
+
+
+def roster_teams(roster: DataFrame, play_teams: DataFrame, ids: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Fills team of roster rows (player_id, team, team_id, team_name) and adds matched, whether the row has a player.
+
+    The team of the plays (player_id, team) comes first, so that trades count; then the row's own, that of its
+    team id (id, team), and that of its full name in ``names`` (team_name, team). Of several teams the last in
+    alphabetical order is taken.
+    """
+    one = lambda df, key, to: df.where(F.col(key).isNotNull() & F.col("team").isNotNull()).groupBy(key).agg(F.max("team").alias(to))
+    rows = roster.join(one(play_teams, "player_id", "__played"), "player_id", "left").join(one(ids.withColumnRenamed("id", "team_id"), "team_id", "__of_id"), "team_id", "left")
+    rows = rows.join(one(names, "team_name", "__of_name"), "team_name", "left") if names is not None else rows.withColumn("__of_name", F.lit(None).cast("string"))
+    team = F.coalesce("__played", F.nullif("team", F.lit("")), "__of_id", "__of_name")
+    return rows.withColumn("team", team).withColumn("matched", F.col("player_id").isNotNull()).select(*roster.columns, "matched")
+
+
+def search_players(people: DataFrame, names: DataFrame, name: str | None = None, season: int | None = None, limit: int | None = 20) -> DataFrame:
+    """Players (player_id, name, first_season, last_season) with an alias of (player_id, name, season) that holds ``name`` in any case, in ``season`` if given.
+
+    Without a name, those who played around ``season``. ``limit`` is the length of the list; the smallest ids come first.
+    """
+    if name:
+        hits = names.where(F.lower("name").contains(name.lower()))
+        hits = hits.where(F.col("season") == season) if season is not None else hits
+        people = people.join(hits.select("player_id").distinct(), "player_id", "left_semi")
+    elif season is not None:
+        people = people.where(F.lit(season).between(F.col("first_season"), F.col("last_season")))
+    rows = people.select("player_id", "name", "first_season", "last_season").orderBy("player_id")
+    return rows.limit(limit) if limit else rows
+
+
+def player_profiles(people: DataFrame, names: DataFrame, careers: dict[str, DataFrame], player_id: int | None = None) -> DataFrame:
+    """One row a player: the columns of ``people``, aliases in order, and one struct for each of ``careers``, null without games.
+
+    ``careers``: for each kind, one row a player_id of summed game rows. With ``player_id`` only that
+    player, who must exist.
+    """
+    if player_id is not None:
+        people = people.where(F.col("player_id") == player_id)
+        if people.isEmpty():
+            raise ValueError(f"no player {player_id}")
+    known = names.groupBy("player_id").agg(F.array_sort(F.collect_set(F.struct("season", "name"))).alias("aliases"))
+    out = people.join(known, "player_id", "left")
+    for kind, rows in careers.items():
+        out = out.join(rows.select("player_id", F.struct(*(c for c in rows.columns if c != "player_id")).alias(kind)), "player_id", "left")
+    return out

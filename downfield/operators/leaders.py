@@ -27,7 +27,7 @@ CATEGORIES = {
     "passing": Category("pass_epa", "dropbacks", "passer_id", ("comp", "att", "yards", "td", "interceptions", "sacks")),
     "rushing": Category("rush_epa", "rush_plays", "rusher_id", ("att", "yards", "td", "fumbles")),
     "receiving": Category("recv_epa", "targets", "receiver_id", ("rec", "yards", "td")),
-    "defense": Category("def_epa", "def_plays", "player_id", ("tackles", "sacks", "interceptions"), ascending=True),
+    "defense": Category("def_epa", "def_plays", "player_id", ("tackles", "sacks", "interceptions", "fumble_recoveries", "forced_fumbles"), ascending=True),
 }
 
 

@@ -44,14 +44,15 @@ def player_receiving(plays: DataFrame) -> DataFrame:
 
 
 def player_defense(plays: DataFrame) -> DataFrame:
-    """From the three role columns; two-point plays count."""
-    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"{r}_id").alias("player_id")) for r in ("tackler", "sacker", "interceptor")))
+    """From the role columns; two-point plays count. A fumble is forced by the tackler, else the sacker."""
+    who = {r: F.col(f"{r}_id") for r in ("tackler", "sacker", "interceptor", "fumble_recoverer")} | {"forcer": F.when(F.col("fumble"), F.coalesce("tackler_id", "sacker_id"))}
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), c.alias("player_id")) for r, c in who.items()))
     rows = plays.select("game_id", "play_index", "defense_team", F.explode(roles).alias("r")).where("r.player_id is not null")
-    return rows.groupBy("game_id", F.col("r.player_id").alias("player_id")).agg(*(_n(F.col("r.role") == r).alias(n) for r, n in (("tackler", "tackles"), ("sacker", "sacks"), ("interceptor", "interceptions"))), F.min_by("defense_team", "play_index").alias("team"))
+    return rows.groupBy("game_id", F.col("r.player_id").alias("player_id")).agg(*(_n(F.col("r.role") == r).alias(n) for r, n in (("tackler", "tackles"), ("sacker", "sacks"), ("interceptor", "interceptions"), ("fumble_recoverer", "fumble_recoveries"), ("forcer", "forced_fumbles"))), F.min_by("defense_team", "play_index").alias("team"))
 
 
 def team_games(plays: DataFrame) -> DataFrame:
-    """Two rows a game, by one pass: every play counts for its offense, and sacks for the defense too."""
+    """Two rows a game, by one pass: every play counts for its offense; sacks, forced fumbles and recoveries for the defense too."""
     p, t = F.col("play_type"), F.col("side") == "offense"
     done = (p == "pass") & F.col("description").contains(", complete to")
     kneel = (p == "kneel") & (F.col("season") >= KNEEL_SEASON)
@@ -62,10 +63,22 @@ def team_games(plays: DataFrame) -> DataFrame:
         _n(t & ((p == "pass") & F.col("passer_id").isNotNull() | (p == "spike"))).alias("pass_att"), _n(t & done).alias("pass_comp"), _sum(t & done, F.col("yards_gained")).alias("pass_yards"),
         _n(t & ((p == "rush") | kneel)).alias("rush_att"), F.sum(F.when(t & (p == "rush"), F.col("yards_gained")).when(t & kneel, KNEEL_YARDS).otherwise(0)).cast("long").alias("rush_yards"),
         _n(t & F.col("interception")).alias("interceptions_thrown"), _n(t & F.col("fumble_lost")).alias("fumbles_lost"), _n(t & (p == "sack")).alias("sacks_taken"), _n(~t & (p == "sack")).alias("sacks_made"),
+        _n(t & done & F.col("touchdown")).alias("pass_td"), _n(t & (p == "rush") & F.col("touchdown")).alias("rush_td"), _n(~t & F.col("fumble") & (F.col("tackler_id").isNotNull() | F.col("sacker_id").isNotNull())).alias("forced_fumbles"),
+        _n(F.when(t, F.col("fumble") & ~F.coalesce("fumble_lost", F.lit(False))).otherwise(F.col("fumble") & F.col("fumble_lost"))).alias("fumble_recoveries"),
         _n(t & F.col("first_down")).alias("first_downs"), _n(t & third).alias("third_down_att"), _n(t & third & (F.col("first_down") | F.col("touchdown"))).alias("third_down_conv"),
     )
 
 
+def with_results(games: DataFrame, results: DataFrame) -> DataFrame:
+    """Adds opponent, at_home and points of game_results() to team_games(), with total yards and turnovers.
+
+    Both sides of a game appear; without any play of its own a team's counts are 0.
+    """
+    counts = [c for c in games.columns if c not in ("game_id", "season", "team")]
+    rows = results.join(games, ["game_id", "season", "team"], "left").fillna(0, subset=counts)
+    return rows.withColumn("total_yards", F.col("pass_yards") + F.col("rush_yards")).withColumn("turnovers", F.col("interceptions_thrown") + F.col("fumbles_lost"))
+
+
 def team_epa(plays: DataFrame) -> DataFrame:
     """EPA of each team, season, game type and side; preseason is left out. Needs epa."""
     rows = plays.where("epa is not null AND possession_team is not null AND game_type <> 'preseason'")

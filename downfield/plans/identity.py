@@ -25,7 +25,7 @@ people AS (SELECT row_number() OVER (ORDER BY f, player_key) AS player_id, playe
 
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Names read from the texts; in even seasons turned to 'First Last', so that both forms occur."""
-    rows = I.mentions(parse_plays(plays(spark, sf)).withColumns({"parsed_kicker": F.lit(None).cast("string"), "parsed_returner": F.lit(None).cast("string")}), "parsed_").where("name like 'P%'")
+    rows = I.mentions(parse_plays(plays(spark, sf)).drop("parsed_kicker", "parsed_returner", "parsed_fumbler", "parsed_fumble_recoverer"), "parsed_").where("name like 'P%'")
     turned = F.concat(F.regexp_extract("name", r", (\w)\.?", 1), F.lit("nn "), F.regexp_extract("name", r"^(\w+)", 1))
     return rows.withColumn("name", F.when(F.col("season") % 2 == 0, turned).otherwise(F.concat(F.regexp_replace("name", r"\.$", ""), F.lit("."))))
 

@@ -88,12 +88,12 @@ def s2_plays(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT game_id, play_index, play_type AS parsed_type, CASE WHEN passer_id IS NOT NULL THEN 'P' || CAST(passer_id AS VARCHAR) || ', A.' END AS passer, CASE WHEN rusher_id IS NOT NULL THEN 'P' || CAST(rusher_id AS VARCHAR) || ', B.' END AS rusher,
-  CASE WHEN receiver_id IS NOT NULL THEN 'P' || CAST(receiver_id AS VARCHAR) || ', C.' END AS receiver, CASE WHEN tackler_id IS NOT NULL THEN 'P' || CAST(tackler_id AS VARCHAR) || ', D.' END AS tackler, CASE WHEN sacker_id IS NOT NULL THEN 'P' || CAST(sacker_id AS VARCHAR) || ', D.' END AS sacker,
-  CASE WHEN interceptor_id IS NOT NULL THEN 'P' || CAST(interceptor_id AS VARCHAR) || ', I.' END AS interceptor, CASE WHEN complete OR play_type IN ('rush', 'sack') THEN CAST(yards_gained AS INT) END AS yards, touchdown, interception, safety, fg_good FROM plays""")
+  CASE WHEN receiver_id IS NOT NULL THEN 'P' || CAST(receiver_id AS VARCHAR) || CASE WHEN interception THEN ', C' ELSE ', C.' END END AS receiver, CASE WHEN tackler_id IS NOT NULL THEN 'P' || CAST(tackler_id AS VARCHAR) || ', D.' END AS tackler, CASE WHEN sacker_id IS NOT NULL THEN 'P' || CAST(sacker_id AS VARCHAR) || ', D.' END AS sacker,
+  CASE WHEN interceptor_id IS NOT NULL THEN 'P' || CAST(interceptor_id AS VARCHAR) || ', I.' END AS interceptor, CASE WHEN play_type IN ('pass', 'rush', 'sack') THEN CAST(yards_gained AS INT) END AS yards, fumble, fumble_lost, CASE WHEN fumble_recoverer_id IS NOT NULL THEN 'P' || fumble_recoverer_id || CASE WHEN fumble_lost THEN ', F.' ELSE ', B.' END END AS fumble_recoverer, CASE WHEN fumbler_id IS NOT NULL THEN 'P' || fumbler_id || ', B.' END AS fumbler, touchdown, interception, safety, fg_good FROM plays""")
 def p5_parse_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     p = parse_plays(plays(spark, sf).select("game_id", "play_index", "description"))
     yards = F.when(F.col("parsed_type").isin("pass", "rush", "sack"), F.col("parsed_yards_gained"))
-    return p.select("game_id", "play_index", "parsed_type", *(F.col(f"parsed_{c}").alias(c) for c in ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor")), yards.alias("yards"), *(F.col(f"parsed_{c}").alias(c) for c in ("touchdown", "interception", "safety", "fg_good")))
+    return p.select("game_id", "play_index", "parsed_type", *(F.col(f"parsed_{c}").alias(c) for c in ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor")), yards.alias("yards"), *(F.col(f"parsed_{c}").alias(c) for c in ("fumble", "fumble_lost", "fumble_recoverer", "fumbler", "touchdown", "interception", "safety", "fg_good")))
 
 
 @query(" SELECT season, count(*) AS plays, CAST(0 AS BIGINT) AS unparsed FROM plays GROUP BY season")
@@ -178,8 +178,9 @@ def a3_player_receiving(spark: SparkSession, sf: str) -> DataFrame:
     return S.player_receiving(plays(spark, sf))
 
 
-@query(""", r AS (SELECT game_id, play_index, defense_team, tackler_id AS player_id, 1 AS k FROM plays UNION ALL SELECT game_id, play_index, defense_team, sacker_id, 2 FROM plays UNION ALL SELECT game_id, play_index, defense_team, interceptor_id, 3 FROM plays)
-SELECT game_id, player_id, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tackles, CAST(sum(CASE WHEN k = 2 THEN 1 ELSE 0 END) AS BIGINT) AS sacks, CAST(sum(CASE WHEN k = 3 THEN 1 ELSE 0 END) AS BIGINT) AS interceptions, arg_min(defense_team, play_index) AS team
+@query(""", r AS (SELECT game_id, play_index, defense_team, tackler_id AS player_id, 1 AS k FROM plays UNION ALL SELECT game_id, play_index, defense_team, sacker_id, 2 FROM plays UNION ALL SELECT game_id, play_index, defense_team, interceptor_id, 3 FROM plays
+  UNION ALL SELECT game_id, play_index, defense_team, fumble_recoverer_id, 4 FROM plays UNION ALL SELECT game_id, play_index, defense_team, coalesce(tackler_id, sacker_id), 5 FROM plays WHERE fumble)
+SELECT game_id, player_id, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tackles, CAST(sum(CASE WHEN k = 2 THEN 1 ELSE 0 END) AS BIGINT) AS sacks, CAST(sum(CASE WHEN k = 3 THEN 1 ELSE 0 END) AS BIGINT) AS interceptions, count(CASE WHEN k = 4 THEN 1 END) AS fumble_recoveries, count(CASE WHEN k = 5 THEN 1 END) AS forced_fumbles, arg_min(defense_team, play_index) AS team
 FROM r WHERE player_id IS NOT NULL GROUP BY 1, 2""")
 def a4_player_defense(spark: SparkSession, sf: str) -> DataFrame:
     return S.player_defense(plays(spark, sf))
@@ -188,9 +189,10 @@ def a4_player_defense(spark: SparkSession, sf: str) -> DataFrame:
 @query(""", o AS (SELECT game_id, season, possession_team AS team, sum(CASE WHEN play_type IN ('pass','spike') THEN 1 ELSE 0 END) AS pass_att, sum(CASE WHEN complete THEN 1 ELSE 0 END) AS pass_comp, sum(CASE WHEN complete THEN yards_gained ELSE 0 END) AS pass_yards,
   sum(CASE WHEN play_type = 'rush' OR (play_type = 'kneel' AND season >= 28) THEN 1 ELSE 0 END) AS rush_att, sum(CASE WHEN play_type = 'rush' THEN yards_gained WHEN play_type = 'kneel' AND season >= 28 THEN -2 ELSE 0 END) AS rush_yards,
   sum(CASE WHEN interception THEN 1 ELSE 0 END) AS interceptions_thrown, sum(CASE WHEN fumble_lost THEN 1 ELSE 0 END) AS fumbles_lost, sum(CASE WHEN play_type = 'sack' THEN 1 ELSE 0 END) AS sacks_taken, sum(CASE WHEN first_down THEN 1 ELSE 0 END) AS first_downs,
-  sum(CASE WHEN down = 3 AND play_type IN ('pass','rush','sack') THEN 1 ELSE 0 END) AS third_down_att, sum(CASE WHEN down = 3 AND play_type IN ('pass','rush','sack') AND (first_down OR touchdown) THEN 1 ELSE 0 END) AS third_down_conv FROM plays WHERE possession_team IS NOT NULL GROUP BY 1, 2, 3),
-d AS (SELECT game_id, season, defense_team AS team, sum(CASE WHEN play_type = 'sack' THEN 1 ELSE 0 END) AS sacks_made FROM plays WHERE possession_team IS NOT NULL GROUP BY 1, 2, 3)
-SELECT game_id, season, team, """ + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in "pass_att pass_comp pass_yards rush_att rush_yards interceptions_thrown fumbles_lost sacks_taken sacks_made first_downs third_down_att third_down_conv".split()) + " FROM o FULL JOIN d USING (game_id, season, team)")
+  sum(CASE WHEN down = 3 AND play_type IN ('pass','rush','sack') THEN 1 ELSE 0 END) AS third_down_att, sum(CASE WHEN down = 3 AND play_type IN ('pass','rush','sack') AND (first_down OR touchdown) THEN 1 ELSE 0 END) AS third_down_conv,
+  count(CASE WHEN complete AND touchdown THEN 1 END) AS pass_td, count(CASE WHEN play_type = 'rush' AND touchdown THEN 1 END) AS rush_td, count(CASE WHEN fumble AND NOT fumble_lost THEN 1 END) AS own_recoveries FROM plays WHERE possession_team IS NOT NULL GROUP BY 1, 2, 3),
+d AS (SELECT game_id, season, defense_team AS team, sum(CASE WHEN play_type = 'sack' THEN 1 ELSE 0 END) AS sacks_made, count(CASE WHEN fumble_lost THEN 1 END) AS won, count(CASE WHEN fumble AND coalesce(tackler_id, sacker_id) IS NOT NULL THEN 1 END) AS forced_fumbles FROM plays WHERE possession_team IS NOT NULL GROUP BY 1, 2, 3)
+SELECT game_id, season, team, """ + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in "pass_att pass_comp pass_yards rush_att rush_yards interceptions_thrown fumbles_lost sacks_taken sacks_made first_downs third_down_att third_down_conv pass_td rush_td forced_fumbles".split()) + ", coalesce(won, 0) + coalesce(own_recoveries, 0) AS fumble_recoveries FROM o FULL JOIN d USING (game_id, season, team)")
 def a5_team_games(spark: SparkSession, sf: str) -> DataFrame:
     return S.team_games(plays(spark, sf))
 

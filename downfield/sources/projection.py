@@ -40,13 +40,14 @@ p AS (
          (play_type = 'pass' AND h2 % 9 < 6 AND h2 % 37 <> 0 OR play_type = 'rush') AND h3 % 29 = 0 AS touchdown,
          play_type = 'pass' AND h2 % 37 = 0 AS interception,
          play_type = 'rush' AND h2 % 41 = 0 AND h3 % 29 <> 0 AS fumble_lost,
+         play_type = 'rush' AND h2 % 43 = 0 AND h2 % 41 <> 0 AND h3 % 29 <> 0 AS fumble_kept,
          play_type = 'sack' AND h2 % 29 = 0 AS safety,
          CASE WHEN play_type = 'field_goal' THEN h2 % 5 <> 0 END AS fg_good
   FROM g)
 SELECT game_id, play_index, season, game_type, quarter, play_type, home_team, away_team, possession_team_id,
        CASE WHEN possession_team_id IS NOT NULL THEN 'T' || CAST(possession_team_id - 1 AS STRING) END AS possession_team,
        CASE WHEN possession_team_id IS NOT NULL THEN 'T' || CAST(other_id - 1 AS STRING) END AS defense_team,
-       clock, down, distance, yard_line, yard_line_team, yards_gained, complete, touchdown, interception, fumble_lost, safety, fg_good,
+       clock, down, distance, yard_line, yard_line_team, yards_gained, complete, touchdown, interception, fumble_lost OR fumble_kept AS fumble, fumble_lost, safety, fg_good,
        CASE WHEN touchdown THEN h2 % 8 <> 0 END AS pat_good,
        play_type IN ('pass','rush') AND yards_gained >= coalesce(distance, 10) AS first_down,
        CASE WHEN play_type IN ('pass','sack') THEN possession_team_id * 40 + h1 % 2 END AS passer_id,
@@ -55,21 +56,25 @@ SELECT game_id, play_index, season, game_type, quarter, play_type, home_team, aw
        CASE WHEN complete OR play_type = 'rush' THEN other_id * 40 + 30 + h3 % 6 END AS tackler_id,
        CASE WHEN play_type = 'sack' THEN other_id * 40 + 30 + h3 % 6 END AS sacker_id,
        CASE WHEN interception THEN other_id * 40 + 36 + h3 % 3 END AS interceptor_id,
+       CASE WHEN fumble_kept THEN possession_team_id * 40 + 10 + h1 % 4 END AS fumbler_id,
+       CASE WHEN fumble_lost THEN other_id * 40 + 33 + h3 % 3 WHEN fumble_kept THEN possession_team_id * 40 + 10 + (h1 + 1) % 4 END AS fumble_recoverer_id,
        CASE play_type
          WHEN 'quarter_marker' THEN '15:00 - Quarter ' || CAST(quarter AS STRING)
          WHEN 'kickoff' THEN CASE WHEN h3 % 3 = 0 THEN 'Kickoff by Wang, W. through the back of the endzone. Touchback.' ELSE 'Kickoff of ' || CAST(40 + h3 % 30 AS STRING) || ' yards. Returned by Dangle (C), Z. for ' || CAST(h3 % 35 AS STRING) || ' yards.' END
          WHEN 'punt' THEN 'Punt by Robinson (R), T. of ' || CAST(30 + h3 % 25 AS STRING) || ' yards.'
          WHEN 'field_goal' THEN CAST(20 + h3 % 35 AS STRING) || ' yard FG by Wang, W. is ' || CASE WHEN fg_good THEN 'good.' ELSE 'NO good.' END
-         WHEN 'pass' THEN 'Pass by P' || CAST(possession_team_id * 40 + h1 % 2 AS STRING) || ', A., ' ||
-              CASE WHEN interception THEN 'to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C..<br/> INTERCEPTION by P' || CAST(other_id * 40 + 36 + h3 % 3 AS STRING) || ', I. at the T0 - 42 yard line and returned for 4 yards.'
-                   WHEN complete THEN 'complete to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C. for ' || CASE WHEN yards_gained = 0 THEN 'a short gain' ELSE CAST(yards_gained AS STRING) || ' yds' END || '. Tackle by P' || CAST(other_id * 40 + 30 + h3 % 6 AS STRING) || ', D..'
-                   ELSE 'to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C. falls incomplete.' END
-         WHEN 'rush' THEN 'Rush by P' || CAST(possession_team_id * 40 + 10 + h1 % 4 AS STRING) || ', B. for ' || CASE WHEN yards_gained = 0 THEN 'a short gain' ELSE CAST(yards_gained AS STRING) || ' yds' END || '. Tackle by P' || CAST(other_id * 40 + 30 + h3 % 6 AS STRING) || ', D..'
+         WHEN 'pass' THEN 'Pass by P' || CAST(possession_team_id * 40 + h1 % 2 AS STRING) || ', A.' ||
+              CASE WHEN interception THEN ', to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C..<br/> INTERCEPTION by P' || CAST(other_id * 40 + 36 + h3 % 3 AS STRING) || ', I. at the T0 - 42 yard line and returned for 4 yards.'
+                   WHEN complete THEN ', complete to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C. for ' || CASE WHEN yards_gained = 0 THEN 'a short gain' ELSE CAST(yards_gained AS STRING) || ' yds' END || '. Tackle by P' || CAST(other_id * 40 + 30 + h3 % 6 AS STRING) || ', D..'
+                   ELSE ' to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C. falls incomplete.' END
+         WHEN 'rush' THEN 'Rush by P' || CAST(possession_team_id * 40 + 10 + h1 % 4 AS STRING) || ', B. for ' || CASE WHEN yards_gained = 0 THEN 'a short gain' ELSE CAST(yards_gained AS STRING) || ' yds' END || '. Tackle by P' || CAST(other_id * 40 + 30 + h3 % 6 AS STRING) || ', D..' ||
+              CASE WHEN fumble_lost THEN '<br/> FUMBLE recovered by P' || CAST(other_id * 40 + 33 + h3 % 3 AS STRING) || ', F. at the T0 - 30 yard line and returned for 4 yards.'
+                   WHEN fumble_kept THEN '<br/> FUMBLE by P' || CAST(possession_team_id * 40 + 10 + h1 % 4 AS STRING) || ', B., recovered by P' || CAST(possession_team_id * 40 + 10 + (h1 + 1) % 4 AS STRING) || ', B..' ELSE '' END
          WHEN 'sack' THEN 'P' || CAST(possession_team_id * 40 + h1 % 2 AS STRING) || ', A. is SACKED by P' || CAST(other_id * 40 + 30 + h3 % 6 AS STRING) || ', D. - DT for ' || CAST(yards_gained AS STRING) || ' yds.'
          WHEN 'penalty' THEN 'SaberCats Penalty on Justice, T.: Delay of Game.'
          WHEN 'timeout' THEN 'Timeout called by SJS'
          WHEN 'spike' THEN 'P1, A. spikes the ball.'
-         ELSE 'Offense kneels the ball.' END || CASE WHEN touchdown THEN '<br/>TOUCHDOWN!' ELSE '' END || CASE WHEN safety THEN '<br/>SAFETY!' ELSE '' END AS description
+         ELSE 'Offense kneels the ball.' END || CASE WHEN touchdown THEN '<br/>TOUCHDOWN!' ELSE '' END || CASE WHEN safety THEN '<br/>Safety!' ELSE '' END AS description
 FROM p"""
 
 

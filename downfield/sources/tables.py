@@ -62,6 +62,18 @@ def read_seasons(spark: SparkSession, path: str, seasons: list[int] | None = Non
     return df if preseason else df.where("game_type <> 'preseason'")
 
 
+def season_list(season: int | None = None, season_range: str | None = None) -> list[int]:
+    """The seasons of one number or of 'first-last'; exactly one of both must be given."""
+    if (season is None) == (season_range is None):
+        raise ValueError("give a season or a range of seasons")
+    if season is not None:
+        return [season]
+    first, dash, last = season_range.partition("-")
+    if not (dash and first.isdigit() and last.isdigit()):
+        raise ValueError(f"{season_range}: a range is first-last, as in 50-59")
+    return list(range(int(first), int(last) + 1))
+
+
 def export(df: DataFrame, path: str) -> None:
     """CSV with a header or Parquet, by the suffix of ``path``."""
     if path.endswith(".csv"):
