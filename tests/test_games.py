@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from downfield.functions.names import initial_last, roster_key
 from downfield.functions.parse import filled_distance
+from downfield.operators import drives as D
 from downfield.operators import games as G
 from downfield.operators import identity as I
 from downfield.operators import leaders as L
@@ -153,3 +154,59 @@ def test_reconcile_and_heat(spark):
 def test_filled_distance(spark):
     df = spark.createDataFrame([("1st and Goal", 7), ("4th and inches", 9), ("2nd and 8", 3), ("---", 2), (None, 1)], "t string, y int")
     assert [r[0] for r in df.select(filled_distance(F.col("t"), F.col("y"))).collect()] == [7, 1, 8, None, None]
+
+
+VIEW = "game_id long, play_index long, play_type string, possession_team_id long, yard_line int, yard_line_team string, home_team string, away_team string, quarter int, clock string, half int, down int, first_down boolean, touchdown boolean, fg_good boolean, interception boolean, fumble_lost boolean, safety boolean, yards_gained int, epa double"
+
+
+def _view(at, kind, team, line, side, down=None, half=1, game=1, **flags):
+    f = {"first_down": None, "touchdown": None, "fg_good": None, "interception": None, "fumble_lost": None, "safety": None} | flags
+    return (game, at, kind, team, line, side, "H", "A", half * 2, f"{at}:00", half, down, *f.values(), 5, 0.5)
+
+
+def test_game_drives(spark):
+    rows = [
+        _view(0, "kickoff", 1, None, None), _view(1, "rush", 2, 25, "H", 1), _view(2, "pass", 2, 40, "A", 2, touchdown=True), _view(3, "kickoff", 2, None, None), _view(4, "field_goal", 1, 30, "H", 4, fg_good=False),
+        _view(5, "timeout", None, None, None), _view(6, "rush", 1, 20, "A", 4, half=2), _view(7, "punt", 2, 20, "A", 4, half=2, first_down=True),
+        _view(0, "rush", None, 20, "X", 1, game=2),
+    ]
+    df = spark.createDataFrame(rows, VIEW)
+    got = [(r.game_id, r.drive, r.team, r.start_clock, r.start_yards, r.result, r.n_plays, r.yards, r.epa) for r in D.game_drives(df).orderBy("game_id", "drive").collect()]
+    assert got == [
+        (1, 1, "A", "0:00", None, "Punt / End", 0, 0, 0.0), (1, 2, "H", "1:00", 25, "TD", 2, 10, 1.0), (1, 3, "H", "3:00", None, "Punt / End", 0, 0, 0.0), (1, 4, "A", "4:00", 70, "Missed FG", 1, 5, 0.5), (1, 5, None, "5:00", None, "Punt / End", 0, 0, 0.0),
+        (1, 6, "A", "6:00", 20, "Turnover on Downs", 1, 5, 0.5), (1, 7, "H", "7:00", None, "Punt / End", 0, 0, 0.0), (2, 1, None, "0:00", 20, "Punt / End", 1, 5, 0.5),
+    ]
+    bare = spark.createDataFrame([_view(0, "kickoff", 5, None, None), _view(1, "rush", 4, 9, None)], VIEW)
+    assert {r.possession_team_id: r.team for r in D.game_team_map(bare).collect()} == {5: "A", 4: "H"}
+    assert D.game_drives(df.limit(0)).count() == 0
+
+
+def test_backfill(spark):
+    rows = [(1, "A", 20, 1, "10:00", None, None), (1, "B", 20, 4, "1:05", None, None), (2, "A", 20, 5, "1:00", None, 7), (1, None, 20, 1, None, 11, None), (None, "A", 20, None, "x", None, None)]
+    df = spark.createDataFrame(rows, "possession_team_id long, yard_line_team string, yard_line int, quarter int, clock string, half_seconds int, yl100 int")
+    names = spark.createDataFrame([(1, ["A", "OLD"])], "id long, teams array<string>")
+    got = sorted(((r.half_seconds, r.yl100) for r in D.backfill(df, names).collect()), key=str)
+    assert got == sorted([(1500, 20), (65, 80), (0, 7), (11, None), (None, None)], key=str)
+
+
+def test_rosters_search_and_profiles(spark):
+    people = spark.createDataFrame([(1, "Smith, J.", 25, 26), (2, "Jones, K.", 26, 28)], "player_id long, name string, first_season int, last_season int")
+    names = spark.createDataFrame([(1, "Smith, J.", 25), (1, "John SMITH", 26), (2, "Jones, K.", 26)], "player_id long, name string, season int")
+    find = lambda **k: [r.player_id for r in I.search_players(people, names, **k).collect()]
+    assert (find(name="smith"), find(name="john", season=25), find(season=27), find(limit=1)) == ([1], [], [2], [1])
+    careers = {"passing": spark.createDataFrame([(1, 30, 2)], "player_id long, yards long, games long")}
+    one = I.player_profiles(people, names, careers, 1).collect()[0]
+    assert [a.name for a in one.aliases] == ["Smith, J.", "John SMITH"] and one.passing.yards == 30
+    assert I.player_profiles(people, names, careers, 2).collect()[0].passing is None
+    with pytest.raises(ValueError, match="no player 9"):
+        I.player_profiles(people, names, careers, 9)
+    roster = spark.createDataFrame([("a", 1, "OWN", 7, "x"), ("b", 2, None, 7, "x"), ("c", None, None, 8, "Full Name"), ("d", None, "", None, None)], "k string, player_id long, team string, team_id long, team_name string")
+    got = I.roster_teams(roster, spark.createDataFrame([(1, "PLAY")], "player_id long, team string"), spark.createDataFrame([(7, "IDS")], "id long, team string"), spark.createDataFrame([("Full Name", "FN")], "team_name string, team string"))
+    assert {r.k: (r.team, r.matched) for r in got.collect()} == {"a": ("PLAY", True), "b": ("IDS", True), "c": ("FN", False), "d": (None, False)}
+
+
+def test_season_lists():
+    assert T.season_list(50) == [50] and T.season_list(season_range="50-52") == [50, 51, 52]
+    for bad in ({}, {"season": 1, "season_range": "1-2"}, {"season_range": "5"}):
+        with pytest.raises(ValueError):
+            T.season_list(**bad)
