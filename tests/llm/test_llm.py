@@ -221,3 +221,28 @@ def test_pipeline_on_small_tables(spark):
     assert len(corpus_pipeline.STAGES) == 5
     out = corpus_pipeline.run(spark, SF)
     assert set(out.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"} and out.count() > 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, clashing columns and no rows at all."""
+    import corpus_pipeline as C
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, long, "a", 1), (2, long, "a", 2), (2, long, "a", 2), (None, long, "a", 3), (None, "only here without an id", None, 4), (None, "only here without an id", None, 5), (7, None, "b", 6), (8, "", "b", 7), (9, "some other words stand here", None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, fp int").withColumns({"positions": F.lit("p"), "size": F.lit("s"), "order": F.lit("o"), "__flag": F.lit(True)})
+    kept = C.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, long), (7, None), (9, "some other words stand here"), (None, "only here without an id")], key=str)
+    mixed = C.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    taken = mixed.groupBy("doc_id", "fp", "text").count().collect()
+    assert all(r["count"] <= 2 * 2 and r.text for r in taken) and any(r.doc_id is None for r in taken)
+    for name in ("labels", "benchmark"):
+        schema = "doc_id long, quality int, toxic int" if name == "labels" else "item_id long, text string"
+        spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    for stage in (C.drop_toxic, C.drop_benchmark):
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert out.columns == docs.columns and out.count() == len(rows)
+    assert C.encode_tokens(spark, docs, "").count() == len(rows)
+    for _, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), f"file://{tmp_path}").count() == 0
