@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from downfield.llm import chat, decontam, lm, mixing, quality, rules, simhash, tokens, toxicity, warc
+from downfield.llm import chat, copies, decontam, lm, mixing, quality, rules, simhash, tokens, toxicity, warc
 from downfield.llm.common import scratch
 from downfield.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
@@ -246,3 +246,57 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert C.encode_tokens(spark, docs, "").count() == len(rows)
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), f"file://{tmp_path}").count() == 0
+
+
+def _grams(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def _noisy(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"new{rng.random()}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("members", [1000, 7])
+def test_near_copies_equal_brute_force(spark, members):
+    """All pairs of a similarity of 0.8 or more are chained, no others, with small blocks too."""
+    rng = random.Random(11)
+    texts = ["", None, "one two", "One  two", "one two three"]
+    for _ in range(12):
+        base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 300)))
+        texts += [_noisy(rng, base, rng.randrange(0, 9)) for _ in range(8)]
+        drift = base
+        for _ in range(6):
+            texts.append(drift := _noisy(rng, drift, 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in copies.near_copies(docs, members=members).collect()}
+    label, grams = list(range(len(texts))), list(map(_grams, texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    assert len({(got[i], label[i]) for i in got}) == len(set(got.values())) == len(set(label))
+
+
+def test_links_reach_past_the_first_member():
+    """A member that is unlike the smallest of its bucket is chained through another."""
+    sets = [np.arange(0, 90), np.arange(10, 100), np.arange(20, 110), np.arange(500, 590)]
+    found = copies.links_within(np.array([5, 6, 7, 8]), sets)
+    assert sorted(found) == [(5, 6), (6, 7)]
+
+
+def test_stage_removes_near_copies(spark):
+    """Two changed words in 200 put 3-word fingerprints far more than 2 bits apart."""
+    import corpus_pipeline as C
+
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, _noisy(rng, t, 2)) for i, t in enumerate(base)] + [(None, _noisy(rng, base[0], 2)), (None, "no id " + base[0][::-1])]
+    far = [bin(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).count("1") > 2 for (_, a), (_, b) in zip(rows[:20], rows[20:40], strict=True)]
+    assert any(far)
+    kept = C.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id for r in kept), key=str) == sorted([*range(20), None], key=str)
