@@ -41,7 +41,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix in the order in which documents are first taken; those never taken come last."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.array_min("positions").alias("first_position"), F.array_max("positions").alias("last_position"))
+    return mixed.sort(F.asc_nulls_last("first_position"), "doc_id")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +103,10 @@ t AS (SELECT source, source_size, least(2.0 * source_size, max(lv) OVER () * wei
 c AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d),
 j AS (SELECT c.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS f FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE (f + CASE WHEN 2 * ahead + size <= 2 * (target - f * source_size) THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken
-FROM j""",
+       CAST(CASE WHEN size = 0 THEN 0 ELSE (f + CASE WHEN 2 * ahead + size <= 2 * (target - f * source_size) THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken,
+       CASE WHEN taken > 0 THEN CASE WHEN g = 0 THEN q0 ELSE (sqrt((1 - g) * (1 - g) + 4 * g * q0) - (1 - g)) / (2 * g) END END AS first_position,
+       CASE WHEN taken > 0 THEN CASE WHEN g = 0 THEN q1 ELSE (sqrt((1 - g) * (1 - g) + 4 * g * q1) - (1 - g)) / (2 * g) END END AS last_position
+FROM (SELECT *, least(ahead::DOUBLE / target, 1.0) AS q0, least(((CASE WHEN size = 0 THEN 0 ELSE f + CASE WHEN 2 * ahead + size <= 2 * (target - f * source_size) THEN 1 ELSE 0 END END - 1) * source_size + ahead)::DOUBLE / target, 1.0) AS q1 FROM j JOIN (SELECT source AS src, [-0.6, 0.0, 0.6][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS g FROM s) ON source IS NOT DISTINCT FROM src)""",
     "op6_chat": r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -300,3 +300,19 @@ def test_stage_removes_near_copies(spark):
     assert any(far)
     kept = C.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id for r in kept), key=str) == sorted([*range(20), None], key=str)
+
+
+def test_mixing_query_has_positions_in_order(spark):
+    rows = QUERIES["op4_mixing"](spark, SF).collect()
+    first = [r.first_position for r in rows if r.taken]
+    assert first and first == sorted(first) and all(0 <= r.first_position <= r.last_position <= 1 for r in rows if r.taken)
+    assert all((r.first_position is None) == (r.taken == 0) for r in rows) and [bool(r.taken) for r in rows] == sorted((bool(r.taken) for r in rows), reverse=True)
+    assert any(r.first_position < r.last_position for r in rows if r.taken > r.size)
+
+
+def test_mixing_stage_writes_training_order(spark):
+    import corpus_pipeline as C
+
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "s0" if i % 3 else "s1") for i in range(600)], "doc_id long, text string, source string").repartition(5)
+    want = sorted((p, r.doc_id) for r in mixing.mix(docs).collect() for p in r.positions)
+    assert [r.doc_id for r in C.mix_sources(spark, docs, "").collect()] == [i for _, i in want]
