@@ -210,3 +210,21 @@ def test_season_lists():
     for bad in ({}, {"season": 1, "season_range": "1-2"}, {"season_range": "5"}):
         with pytest.raises(ValueError):
             T.season_list(**bad)
+
+
+@pytest.mark.parametrize("name", ["m1_drive_model", "c1_model_epa", "m2_label_models", "m4_calibrated_labels"])
+def test_model_queries_fit_at_full_size(spark, monkeypatch, name):
+    """No query gives a smaller size than the operators', and no season of the split is fitted on but 25."""
+    from downfield.plans import models as Q
+
+    class Asked(Exception):
+        pass
+
+    def fit(rows, *args, **size):
+        raise Asked({r[0] for r in rows.select("season").distinct().collect()}, args, size)
+
+    for f in ("fit_eras", "fit_labels", "fit_calibration"):
+        monkeypatch.setattr(M, f, fit)
+    with pytest.raises(Asked) as asked:
+        getattr(Q, name)(spark, "/root/testdata/sf0.001")
+    assert asked.value.args == ({25, 28, 29}, (), {})
