@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset and Spark runs in one process."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = f"file://{tempfile.mkdtemp(prefix='downfield-')}"
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -52,16 +54,21 @@ def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == rest, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: tuple[int, int]) -> DataFrame:
-    """(text, label, fold) of at most per_class[c] labelled rows of each class c, those of the smallest id hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: tuple[int, int], sample_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, text, label, fold) of at most per_class[c] labelled rows of each class c, those of the smallest id hash, while their texts hold sample_bytes at most.
 
-    Bounded by per_class, so its ids are broadcast; the texts themselves stay on the executors. fold 0 of 5 is for calibration.
+    Bounded by per_class, so its ids are broadcast; the texts stay on the executors, whole. Of rows
+    of one id the smallest text counts. fold 0 of 5 is for calibration.
     """
     ranked = labels.where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ranked = ranked.withColumn("order", F.xxhash64("doc_id"))
     picked = [ranked.where(F.col("label") == c).orderBy("order", "doc_id").limit(per_class[c]) for c in (0, 1)]
-    chosen = picked[0].unionByName(picked[1]).withColumn("fold", F.pmod("order", F.lit(5)).cast("int")).drop("order")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    chosen = picked[0].unionByName(picked[1])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = written(rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.first("order").alias("order"), F.min("text").alias("text")), "sample")
+    before = Window.partitionBy("label").orderBy("order", "doc_id")  # a class's rows are bounded
+    fits = rows.select("doc_id", "label", "order", F.sum(F.octet_length("text")).over(before).alias("held")).where(F.col("held") <= sample_bytes)
+    return rows.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "text", "label", F.pmod("order", F.lit(5)).cast("int").alias("fold"))
 
 
 def class_totals(labels: DataFrame, label: str, usable: Column) -> tuple[int, int]:
