@@ -12,18 +12,24 @@ bounded number of tokens to the shared folder and yields a row a file; a running
 over these rows gives the global start of each file. Files of lost attempts are in
 no manifest.
 
+Strings of control tokens in a text become these tokens, as the library has it.
+
 Null and empty texts hold the end id only. A null id sorts first. Repeated rows are
 repeated. An empty table gives no file and no row.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import posixpath
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,7 @@ def byte_letters() -> list[str]:
 
 
 _LETTERS = byte_letters()
+_SHOWN = dict(enumerate(_LETTERS))
 
 
 class _Pieces(dict):
@@ -56,20 +63,31 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer: object, lead: str, most: int, tail: _Pieces | None = None) -> None:
         super().__init__()
-        self.tokenizer, self.model, self.lead, self.most = tokenizer, tokenizer.model, lead, most
+        self.tokenizer, self.ask, self.lead, self.most = tokenizer, tokenizer.model.tokenize, lead, most
+        self.shown = "".join(_LETTERS[b] for b in lead.encode())
         self.tail, self.old = self if tail is None else tail, {}
 
+    def _cut(self, piece: str) -> bytes | None:
+        """Ids of a piece cut before its closing marks and around a single line feed; None if it can't be cut."""
+        first, feed, rest = piece.partition("\n")
+        word = first.rstrip(_MARKS)
+        if not word or word == piece or not word[-1].isalpha() or (feed and (not rest or rest[0].isspace())):
+            return None
+        ids = self[word]
+        if word != first:
+            ids += self.tail[first[len(word) :]]
+        return ids + self.tail["\n"] + self.tail[rest] if feed else ids
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            base = piece.rstrip(_MARKS)
-            if base != piece and base and base[-1].isalpha():
-                ids = self[base] + self.tail[piece[len(base) :]]
-            elif piece.isalpha():  # one pre-token: the model is asked without the steps around it
-                shown = "".join([_LETTERS[b] for b in (self.lead + piece).encode()])
-                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            if piece.isalpha():  # one pre-token: the model is asked without the steps around it
+                shown = self.shown + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN))
+                ids = array("I", [t.id for t in self.ask(shown)]).tobytes()
             else:
-                ids = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = self._cut(piece)
+                if ids is None:
+                    ids = array("I", self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.old = dict(self)
@@ -82,20 +100,27 @@ class CachingEncoder:
     """Ids of a text by the tokenizers library, which is asked once for each distinct piece.
 
     A text is cut before each space that a character other than white space follows;
-    byte-level pre-tokenizers start a token at every such place, so the pieces' ids
-    are the text's. A piece not seen before is also cut before its closing marks.
+    the byte-level pre-tokenizer starts a token at every such place, so the pieces' ids
+    are the text's. Texts that hold the string of a control token, and all texts of a
+    tokenizer that is not plain byte-level BPE, are given to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.plain = _Pieces(tokenizer, "", most // 8)
-        self.spaced = _Pieces(tokenizer, " ", most, self.plain)
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        self.by_piece = told["model"]["type"] == "BPE" and told["normalizer"] is None and not told["post_processor"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        control = [re.escape(t["content"]) for t in told["added_tokens"]]
+        self.control = re.compile("|".join(control) if control else r"(?!)")
+        self.plain = _Pieces(self.tokenizer, "", most // 8)
+        self.spaced = _Pieces(self.tokenizer, " ", most, self.plain)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.by_piece or self.control.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = text.split(" ")
         if not _ODD.search(text):
             return self.plain[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:]))
@@ -120,6 +145,18 @@ def encoder(path: str) -> CachingEncoder:
     return _ENCODERS[path]
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Holds Python's search for reference cycles: it would walk the many small objects of the pieces again and again."""
+    held = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if held:
+            gc.enable()
+
+
 def encode_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     """A file of documents: header, ids and starts of the documents, then the levels."""
     level = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
@@ -208,17 +245,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
                 out.write(encode_file(keys, ids))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([name]), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64())], names=["part", "seq", "file", "n_docs", "n_tokens"])
 
-        for b in batches:
-            for k, t in zip(b.column("key").to_pylist(), b.column("body"), strict=True):
-                x = np.frombuffer(ids_of(t.as_py()) + end, "<u4")
-                keys.append(k)
-                ids.append(x)
-                held += len(x)
-                if held >= file_tokens:
-                    yield flush()
-                    keys, ids, held, seq = [], [], 0, seq + 1
-        if keys:
-            yield flush()
+        with no_cycles():
+            for b in batches:
+                for k, t in zip(b.column("key").to_pylist(), b.column("body"), strict=True):
+                    x = np.frombuffer(ids_of(t.as_py()) + end, "<u4")
+                    keys.append(k)
+                    ids.append(x)
+                    held += len(x)
+                    if held >= file_tokens:
+                        yield flush()
+                        keys, ids, held, seq = [], [], 0, seq + 1
+            if keys:
+                yield flush()
 
     ordered.mapInArrow(run, _MANIFEST).write.parquet(f"{folder}/manifest")
     manifest = docs.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
