@@ -1,33 +1,40 @@
 """Stupid-backoff scores of every document under counts of all documents.
 
-Documents are dealt to blocks by a hash. Each block's distinct n-grams of every order,
-as sorted 56-bit hashes with their counts in the block, go to the hash partitions of
-the count table; there the counts of all blocks are summed, which is the table, and
-joined back to the n-grams that asked. The block then scores its documents: for each
-word the longest order whose count is not zero gives count over context count, times
-``backoff`` for each order that was skipped; the logs are summed per document.
+Texts are written once to block files of a bounded size in the shared folder, with a
+manifest. Each block's distinct n-grams of every order, as sorted 56-bit hashes with
+their counts in the block, go to the hash partitions of the count table; there the
+counts of all blocks are summed, which is the table, and joined back to the n-grams
+that asked. The block then scores its documents: for each word the longest order whose
+count is not zero gives count over context count, times ``backoff`` for each order that
+was skipped; the logs are summed per document. A block is read from its file where it
+is asked and scored, so no text is shuffled, and what was lost is read again.
 
 A document's own counts are taken off first, so no text vouches for itself; copies
-vouch for each other. A common n-gram sends one number a block, not one a document,
-so no partition is hot. Work and rows grow with the corpus; nothing goes to the
-driver but two totals.
+vouch for each other. A common n-gram sends one number a block, not one a document, and
+repeated rows lie in many blocks, so no partition is hot. Work and rows grow with the
+corpus; nothing goes to the driver but two totals.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Null and empty texts
 have no words, score 0 and mean null. Repeated rows vouch for each other and get one
-row each. Two n-grams share a hash with a chance of 2**-56 a pair.
+row each; null ids stay null. Two n-grams share a hash with a chance of 2**-56 a pair.
 """
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from downfield.llm.common import SPACES
+from downfield.llm.common import scratch
+from downfield.llm.warc import open_fs
 
 BITS = 56
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -119,31 +126,73 @@ def stupid_backoff(total: list[np.ndarray], own: list[np.ndarray], words: float,
     return score + skipped * np.log10(backoff), skipped > 0
 
 
-def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_bytes: int = 8 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, log10_score, mean_log10, n_backed_off) of each row of docs."""
+def write_blocks(docs: DataFrame, folder: str, block_bytes: int = 8 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes ids and texts to block files in the folder; the manifest (block, file, n_bytes, n_words) as read again."""
+    schema = "block long, file string, n_bytes long, n_words long"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    spaced = F.translate(F.coalesce(F.col(text), F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    size, words = docs.select(F.octet_length(spaced).alias("b"), F.size(F.array_remove(F.split(spaced, " "), "")).alias("w")).agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
-    blocks = int(max(1, -(-size // block_bytes)))
-    buckets = max(1, blocks // 2)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(blocks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        fs, path = open_fs(folder)
+        fs.create_dir(posixpath.join(path, "blocks"), recursive=True)
+
+        def flush(held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+            name = f"blocks/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.arrow"
+            words = sum(len(t.as_py().split()) for b in held for t in b.column("body"))  # bytes: ASCII white space only
+            options = pa.ipc.IpcWriteOptions(compression="zstd")
+            with fs.open_output_stream(posixpath.join(path, name), compression=None) as out, pa.ipc.new_stream(out, held[0].schema, options=options) as writer:
+                for b in held:
+                    writer.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([name]), pa.array([size], pa.int64()), pa.array([words], pa.int64())], names=["block", "file", "n_bytes", "n_words"])
+
+        held, size = [], 0
+        for b in batches:
+            ends = np.cumsum(pc.binary_length(b.column("body")).to_numpy(zero_copy_only=False) + 1)
+            at = 0
+            while at < len(ends):
+                before = int(ends[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, before + block_bytes - size, "right")))
+                held.append(b.slice(at, stop - at))
+                size += int(ends[stop - 1]) - before
+                at = stop
+                if size >= block_bytes or at < len(ends):
+                    yield flush(held, size)
+                    held, size, seq = [], 0, seq + 1
+        if held:
+            yield flush(held, size)
+
+    rows.mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.schema(schema).parquet(f"{folder}/manifest")
+
+
+def read_block(folder: str, file: str) -> pa.Table:
+    fs, path = open_fs(folder)
+    with fs.open_input_file(posixpath.join(path, file)) as f:
+        return pa.ipc.open_stream(f.read()).read_all()
+
+
+def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, block_bytes: int = 8 << 20, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """(doc_id, n_words, log10_score, mean_log10, n_backed_off) of each row of docs."""
+    folder = folder or scratch(docs.sparkSession, "lm")
+    manifest = write_blocks(docs, folder, block_bytes, key, text)
+    size, words, blocks = manifest.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
+    blocks = max(1, int(blocks))
+    buckets = max(1, int(size // (2 * block_bytes)))
     width = -(-(1 << BITS) // buckets)  # of the hashes of a bucket
 
     def edges(values: np.ndarray) -> np.ndarray:
         return np.searchsorted(values, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
 
-    def ask(t: pa.Table) -> pa.Table:
-        hashes, at = ngrams(t.column("body").to_pylist(), order)
-        out: list[tuple] = []
-        block = t.column("block")[0].as_py()
-        for n, values, _, count in _distinct(hashes, at):
-            cut = edges(values)
-            for b in np.flatnonzero(np.diff(cut)):
-                s, e = cut[b], cut[b + 1]
-                out.append((int(b), block, n, pack(np.diff(values[s:e], prepend=np.uint64(0))), pack(count[s:e])))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "block", "n", "grams", "counts"])
+        for batch in batches:
+            for block, file in zip(batch.column("block").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                hashes, at = ngrams(read_block(folder, file).column("body").to_pylist(), order)
+                for n, values, _, count in _distinct(hashes, at):
+                    cut = edges(values)
+                    out = [(int(b), block, n, pack(np.diff(values[cut[b] : cut[b + 1]], prepend=np.uint64(0))), pack(count[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "block", "n", "grams", "counts"])
 
     def count(t: pa.Table) -> pa.Table:
         asked = list(zip(*(t.column(c).to_pylist() for c in ("block", "n", "grams", "counts")), strict=True))
@@ -159,7 +208,8 @@ def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, block
         return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "bucket", "n", "totals"])
 
     def score(asked: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts = asked.column("doc_id"), asked.column("body").to_pylist()
+        texts = read_block(folder, asked.column("file")[0].as_py())
+        ids, texts = texts.column("doc_id"), texts.column("body").to_pylist()
         hashes, at = ngrams(texts, order)
         got: dict[int, list[tuple[int, bytes]]] = {}
         for b, n, x in zip(*(told.column(c).to_pylist() for c in ("bucket", "n", "totals")), strict=True):
@@ -181,6 +231,7 @@ def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, block
         mean = pa.array(sums / np.maximum(length, 1), pa.float64(), mask=length == 0)
         return pa.table([ids, pa.array(length.astype(np.int64)), pa.array(sums), mean, pa.array(skips)], names=["doc_id", "n_words", "log10_score", "mean_log10", "n_backed_off"])
 
-    requests = rows.groupBy("block").applyInArrow(ask, "bucket long, block long, n int, grams binary, counts binary")
+    files = manifest.select("block", "file")
+    requests = files.repartition(blocks).mapInArrow(ask, "bucket long, block long, n int, grams binary, counts binary")
     replies = requests.groupBy("bucket").applyInArrow(count, "block long, bucket long, n int, totals binary")
-    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, _RESULT)
+    return files.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, _RESULT)
