@@ -43,6 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_skewed(rows: DataFrame, unique: DataFrame, key: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """rows joined with unique, which has one row a key and in count the number of rows that have it.
+
+    Keys with more than a thousandth of all rows are fewer than 1,000: they are broadcast, so that their
+    rows stay where they are; of the others none fills a task. total: the sum of count, if known.
+    """
+    if total is None:
+        total = unique.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = F.col(count) * 1000 > int(total)
+    hot, rest = F.broadcast(unique.where(often).drop(count)), unique.where(~often).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, how), allowMissingColumns=True)
+
+
 def words_of(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives an empty array."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from downfield.llm.common import written
+from downfield.llm.common import join_skewed, written
 
 _BLOCK = 1 << 15
 
@@ -95,21 +95,23 @@ def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataF
     """(node, component): the smallest node reachable over links (a, b); only nodes that have a link.
 
     Alternating large-star and small-star steps; each round's links are written to
-    the shared folder, and a round that changes nothing ends the loop. Per node there
-    is one row of the smallest neighbour, so a hub is split like any other join key.
+    the shared folder, and a round that changes nothing ends the loop. Hubs with more
+    than a thousandth of all links meet their smallest neighbour by broadcast.
     """
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)"))).first())
 
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    now = state(edges)
     for _ in range(rounds):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_skewed(both.where("b > a"), least, "a", "n", total=2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         new = written(small, name)
-        if state(new) == state(edges):
+        then, now = now, state(new)
+        if now == then:
             return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         edges = new
     raise RuntimeError(f"the classes are not settled after {rounds} rounds")
@@ -118,10 +120,10 @@ def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataF
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp, component_id) for each row of docs."""
     prints = written(with_fingerprints(docs, [key], text, words), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min(key).alias("node")), "distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min(key).alias("node"), F.count("*").alias("copies")), "distinct")
     classes = components(covering_links(distinct.where("node is not null").select("fp", "node"), radius))
-    labels = distinct.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labels, "fp").select(key, "fp", "component_id")
+    labels = distinct.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "copies")
+    return join_skewed(prints, labels, "fp", "copies").select(key, "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

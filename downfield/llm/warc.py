@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from downfield.llm.common import scratch
+from downfield.llm.common import join_skewed, scratch
 
 _SPACE = 0x6466_7761_7263_4000 << 64 | 0x8000_0000_0000_0000  # upper half of record ids
 _MASK = (1 << 64) - 1
@@ -83,9 +83,12 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
     """(key, url, payload, digest, refers_to): of equal payloads of least bytes or more, all but those with the largest key refer to it."""
     full = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     full = full.withColumn("digest", F.sha1("payload"))
-    copies = full.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("key").alias("largest"), F.count("*").alias("n")).where("n > 1").select("digest", "largest")
-    joined = full.join(copies, "digest", "left")
-    return joined.select("key", "url", "payload", "digest", F.when(F.col("largest").isNotNull() & ~F.col("key").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
+    large = full.where(F.octet_length("payload") >= least).select("key", "digest")
+    copies = large.groupBy("digest").agg(F.max("key").alias("largest"), F.count("*").alias("n")).where("n > 1 AND largest is not null")
+    revisits = join_skewed(large, copies, "digest", "n").where("NOT key <=> largest").distinct()
+    # Payloads move by key and digest: copies of one payload spread over all tasks.
+    mine = revisits.select(F.col("key").alias("k"), F.col("digest").alias("d"), F.col("largest").alias("refers_to"))
+    return full.join(mine, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left").select("key", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(records: DataFrame, folder: str, max_bytes: int = 256 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
