@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.llm import chat, decontam, lm, mixing, quality, rules, simhash, tokens, toxicity, warc
-from downfield.llm.common import held_out, table
+from downfield.llm.common import held_out, table, written
 
 #: From this score on a document counts as label 1.
 CUT = 0.7
@@ -61,8 +61,9 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), "v1")
-    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    held = written(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    held = rules.with_ablation(rules.apply_policy(held, "v1"), "v1")
+    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "removed_alone")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +131,10 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
              CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
              CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
       FROM d JOIN ln USING (r) LEFT JOIN rep USING (r)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_symbols > n_words OR word_chars > 16 * n_words OR word_chars < 2 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+b AS (SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(n_symbols > n_words AS INT)
+             + 8 * CAST(word_chars > 16 * n_words OR word_chars < 2 * n_words AS INT) + 16 * CAST(2 * n_dup_lines > n_lines AS INT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits,
+       CASE WHEN fail_bits IN (1, 2, 4, 8, 16) THEN count(*) OVER (PARTITION BY fail_bits) END AS removed_alone
 FROM b""",
 }
 

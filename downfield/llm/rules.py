@@ -81,6 +81,13 @@ def apply_policy(held: DataFrame, policy: str) -> DataFrame:
     return held.withColumn("base_failed", fails("base")).withColumn("kept", ~fails("base") & ~fails(policy))
 
 
+def with_ablation(held: DataFrame, policy: str) -> DataFrame:
+    """Adds removed_alone: to a document that fails just one rule of the policy, the number of documents that this rule removes alone."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)))
+    alone = held.groupBy(bits.alias("__bits")).agg(F.count("*").alias("removed_alone")).where(F.bit_count("__bits") == 1)  # a row a rule at most
+    return held.withColumn("__bits", bits).join(F.broadcast(alone), "__bits", "left").drop("__bits")
+
+
 def ablations(held: DataFrame, policy: str) -> DataFrame:
     """(rule, failed, removed_alone): documents that fail each rule, and that would stay without it."""
     bits = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)))
