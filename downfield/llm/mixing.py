@@ -13,7 +13,8 @@ whole in each full pass and once more while its middle lies before the rest of t
 target.
 
 A null text has size 0; a null source is a source, the last in order; a null id has
-the md5 of the empty text. Size 0 is never taken. Repeated rows are separate rows.
+an order of its own in each row. Size 0 is never taken. Repeated rows are separate rows;
+rows of one id follow in order of size and text.
 """
 
 from __future__ import annotations
@@ -54,12 +55,14 @@ def position(q: Column, g: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ramps: tuple[float, ...] = (-0.6, 0.0, 0.6), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, positions) and the columns keep, one row for each row of docs.
 
-    positions has the place in [0, 1] of each time that the document is taken.
+    positions has the place in [0, 1] of each time that the document is taken. Texts are
+    read once; what is sorted and joined is narrow, so keep should be, too.
     """
     skey = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
-    narrow = docs.select(F.col(key).alias("doc_id"), "source", skey.alias("skey"), F.size(words_of(F.col("text"))).cast("long").alias("size"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("order"), *keep)
-    if not keep:
-        narrow = written(narrow, "sizes")
+    nameless = F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string"))
+    order = F.md5(F.coalesce(F.col(key).cast("string"), nameless).cast("binary"))
+    narrow = docs.select(F.col(key).alias("doc_id"), "source", skey.alias("skey"), F.size(words_of(F.col("text"))).cast("long").alias("size"), order.alias("order"), F.xxhash64("text").alias("tie"), *keep)
+    narrow = written(narrow, "sizes")
     by_source = narrow.groupBy("skey").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
     rows = narrow.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) ** 0.5 + 1, 16)))
@@ -68,7 +71,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ramps: tuple[fl
     ahead = Window.partitionBy("skey").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("offset", F.coalesce(F.sum("held").over(ahead), F.lit(0))).drop("held")
     groups = groups.join(source_targets(by_source, weights, share, cap), "skey")
-    inner = Window.partitionBy("skey", "prefix").orderBy("order", "size", F.col("doc_id")).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("skey", "prefix").orderBy("order", "size", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(groups, ["skey", "prefix"])
     ahead_of = F.col("offset") + F.col("inner")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -85,3 +88,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ramps: tuple[fl
 def training_order(mixed: DataFrame) -> DataFrame:
     """A row for each time that a document is taken, range-sorted by position."""
     return mixed.select("*", F.explode("positions").alias("position")).drop("positions").sort("position", "doc_id")
+
+
+def mixed_rows(docs: DataFrame, **options: tuple | float) -> DataFrame:
+    """The rows of docs (doc_id, source, text and others), each as often as the mix takes it, range-sorted by position.
+
+    Rows are numbered in a written table; only numbers, sizes and sources are mixed, and
+    the whole rows join the positions at the end.
+    """
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    mixed = mix(rows.select("row", *(F.col(f"doc.{c}").alias(c) for c in ("doc_id", "source", "text"))), keep=("row",), **options)
+    spots = mixed.where("taken > 0").select("row", "doc_id", F.explode("positions").alias("position"))
+    return spots.join(rows, "row").sort("position", "doc_id", "row").select("doc.*")

@@ -4,7 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
 
 import duckdb
 import numpy as np
@@ -112,15 +112,79 @@ def test_warc_round_trip(spark):
 def test_tiles_find_reordered_passages():
     words = [f"w{i}" for i in range(40)]
     text = " ".join(["filler", *words[20:], "other things", *words[:20], "end"])
-    block = next(iter([decontam.BenchmarkBlock([9], {w.encode(): i + 1 for i, w in enumerate(words)}, [np.arange(1, 41)], *_seeds(np.arange(1, 41)), 5)]))
+    block = decontam.benchmark_block([(9, " ".join(words)), (8, "too short")], 5, 0.5)
     found = list(decontam.matches([b"", text.encode(), " ".join(words[:12]).encode()], block, 0.5))
     assert found == [(1, 0, 1.0, 40, 20)]
 
 
-def _seeds(ids):
-    h = decontam._windows(ids, 5)
-    order = np.argsort(h, kind="stable")
-    return h[order], np.zeros(len(h), int), np.arange(len(h))[order]
+def _plain_tiling(item, doc, seed):
+    """Greedy string tiling by definition: all pairs of places, the longest free run first."""
+    in_item, in_doc, out = [False] * len(item), [False] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and not in_item[a + n] and not in_doc[b + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        n, a, b = best
+        if n < seed:
+            return out
+        in_item[a : a + n], in_doc[b : b + n] = [True] * n, [True] * n
+        out.append((a, b, n))
+
+
+def _decontaminated(docs, bench, threshold=0.5):
+    """All pairs by plain tiling."""
+    out = []
+    for i, t in docs:
+        doc = decontam.tokens((t or "").encode())
+        for k, u in bench:
+            item = decontam.tokens((u or "").encode())
+            tiles = _plain_tiling(item, doc, 5)
+            marked = sum(x[2] for x in tiles)
+            if tiles and marked >= threshold * len(item):
+                out.append((i, k, round(marked / len(item), 9), marked, max(x[2] for x in tiles)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 10])
+def test_decontamination_equals_plain_tiling(spark, block_bytes):
+    """Random repetitive texts over few words, by broadcast and by joins on seeds."""
+    rng = random.Random(8)
+    run = lambda n, signs: " ".join(rng.choice(signs) for _ in range(n))
+    bench = [(k, run(rng.randrange(3, 30), "abc" if k % 2 else "abcdefgh")) for k in range(14)] + [(99, None), (None, "p q r s t u")]
+    docs = [(i, " ".join([run(rng.randrange(10), "abcdefgh"), bench[i % 14][1], run(rng.randrange(10), "xyz"), bench[(i + 5) % 14][1][6:]])) for i in range(24)] + [(50, ""), (51, None), (52, "p q r s t")]
+    args = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = [(r.doc_id, r.item_id, round(r.coverage, 9), r.marked_words, r.longest_tile) for r in decontam.contaminations(*args, block_bytes=block_bytes).collect()]
+    want = _decontaminated(docs, bench)
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 20
+    kept = sorted(r.doc_id for r in decontam.without_contaminated(*args, block_bytes=block_bytes).collect())
+    assert kept == sorted({i for i, _ in docs} - {r[0] for r in want})
+
+
+def test_tiling_equals_plain_tiling():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        item, doc = (rng.integers(1, rng.integers(2, 6), rng.integers(5, 40)).astype(np.uint64) for _ in range(2))
+        assert decontam.tile(item, doc, 3) == _plain_tiling(item.tolist(), doc.tolist(), 3)
+
+
+def test_repetitive_texts_stay_small():
+    """A repetitive item and document: memory is linear in both."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    line = " ".join(rng.choice("ab") for _ in range(9))
+    item, doc = " ".join([line] * 400), " ".join([line + " c"] * 4000)
+    block = decontam.benchmark_block([(1, item)], 5, 0.5)
+    tracemalloc.start()
+    found = list(decontam.matches([doc.encode()], block, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][:3] == (0, 0, 1.0) and peak < 100e6
 
 
 def test_lm_equals_brute_force(spark):
@@ -145,11 +209,18 @@ def test_lm_equals_brute_force(spark):
 
 
 def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
     enc, rng = tokens.CachingEncoder(tokenizer_path(), 50), random.Random(1)
-    signs = ["a", "Bc", " ", "  ", "\n", ".", ",", "é", "1", "'s", "\t", "!?", "<|endoftext|>", "漢", "\xa0"]
-    for _ in range(3000):
-        t = "".join(rng.choice(signs) for _ in range(rng.randrange(14)))
-        assert list(np.frombuffer(enc.encode(t), "<u4")) == enc.spaced.tokenizer.encode(t, add_special_tokens=False).ids
+    assert enc.by_piece
+    signs = ["a", "Bc", " ", "  ", "\n", ".", ",", "é", "1", "'s", "\t", "!?", "<|endoftext|>", "漢", "\xa0", "end.\nNext", "ß,", "\r\n"]
+    texts = ["hi <|endoftext|> x", *("".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(4000))]
+    for t in texts:
+        assert list(np.frombuffer(enc.encode(t), "<u4")) == fresh.encode(t, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(enc.encode(texts[0]), "<u4")
+    enc.by_piece = False
+    assert all(list(np.frombuffer(enc.encode(t), "<u4")) == fresh.encode(t, add_special_tokens=False).ids for t in texts[:50])
 
 
 def test_codes_are_directly_addressable():
@@ -163,7 +234,9 @@ def test_codes_are_directly_addressable():
 
 
 def test_token_query(spark):
-    lib = tokens.CachingEncoder(tokenizer_path()).spaced.tokenizer
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer_path())
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     start = 0
     got = {r.doc_id: r for r in QUERIES["op9_token_ids"](spark, SF).collect()}
@@ -191,6 +264,67 @@ def test_classifiers_on_held_out_rows(spark):
         assert out.where((F.col("score") >= 0.7).cast("int") == F.col(label)).count() >= 0.95 * out.count()
 
 
+def _kneser_ney(words, order, discount, strength):
+    """By definition, over words (bytes: documents of each class): share of byte x after h in a class."""
+    full, kinds = Counter(), set()
+    for w, n in words.items():
+        s = b"\x02" + w + b"\x03"
+        for i in range(1, len(s)):
+            for c in (0, 1):
+                full[c, s[max(0, i + 1 - order) : i + 1]] += n[c]
+            kinds |= {s[i + 1 - k : i + 1] for k in range(2, order + 1) if i + 1 >= k}
+    before = Counter(k[1:] for k in kinds)
+
+    def lower(h, x):
+        own = {g: n for g, n in before.items() if g[:-1] == h}
+        freed = sum(min(n, discount) for n in own.values())
+        return (max(own.get(h + x, 0) - discount, 0) + freed * (lower(h[1:], x) if h else 1 / 256)) / sum(own.values())
+
+    def share(c, h, x):
+        tables = [{g: full[k, g] for k, g in list(full) if k == y and g[:-1] == h} for y in (0, 1)]
+        pooled = {g: tables[0].get(g, 0) + tables[1].get(g, 0) for g in tables[0] | tables[1]}
+        own = tables[c]
+        freed = sum(min(n, discount) for n in pooled.values())
+        both = (max(pooled.get(h + x, 0) - discount, 0) + freed * lower(h[1:], x)) / sum(pooled.values())
+        freed = sum(min(n, discount) for n in own.values())
+        return (max(own.get(h + x, 0) - discount, 0) + (freed + strength) * both) / (sum(own.values()) + strength)
+
+    contexts = {g[:-1] for (_, g), n in full.items() if n}
+    return share, contexts
+
+
+def test_kneser_ney_equals_definition_and_sums_to_one():
+    rng = random.Random(6)
+    words = {}
+    for _ in range(25):
+        w = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 6)))
+        words[w] = [rng.randrange(0, 5), rng.randrange(0, 3)]
+    words = {w: n for w, n in words.items() if sum(n)}
+    share, contexts = _kneser_ney(words, 3, 0.75, 3.0)
+    names = sorted(words)
+    table = {}
+    for n in (2, 3):
+        packed, place, word = toxicity.grams(names, n)
+        for k, p, w in zip(packed.tolist(), place.tolist(), word.tolist(), strict=True):
+            if p >= n - 1:
+                whole = n == 3 or k >> 8 * (n - 1) == 2
+                have = table.setdefault(k, [whole, 0, 0])
+                have[1], have[2] = have[1] + words[names[w]][0], have[2] + words[names[w]][1]
+    ends = Counter(int(toxicity.without_first(np.array([k], np.uint64))[0]) for k in table)
+    full = sorted(k for k, v in table.items() if v[0])
+    model = toxicity.build_model(np.array(full, np.uint64), tuple(np.array([table[k][c] for k in full], float) for c in (1, 2)), np.array(sorted(ends), np.uint64), np.array([ends[k] for k in sorted(ends)], float), order=3)
+    unpack = lambda k: int(k).to_bytes(8, "big").lstrip(b"\0")
+    for k, e in zip(model.grams, model.evidence, strict=True):
+        g = unpack(k)
+        assert e == pytest.approx(log(share(1, g[:-1], g[-1:]) / share(0, g[:-1], g[-1:])))
+    for h, e in zip(model.contexts, model.other, strict=True):
+        h = unpack(h)
+        assert e == pytest.approx(log(share(1, h, b"z") / share(0, h, b"z")))
+        for c in (0, 1):
+            assert sum(share(c, h, bytes([x])) for x in range(256)) == pytest.approx(1)
+    assert {unpack(h) for h in model.contexts} == contexts
+
+
 def test_chat_is_reversible(spark):
     rows = [(1, 0, "user", "a\\|b"), (1, 1, "user", "<|im_join|>"), (1, 2, "assistant", None), (1, 3, "assistant", "x<|im_end|>\n"), (2, None, "a\nb\\n", "<"), (2, 1, None, "|>"), (None, 1, "assistant", "ok")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
