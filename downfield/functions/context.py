@@ -14,8 +14,15 @@ def half(quarter: Column) -> Column:
     return F.when(quarter <= 2, 1).when(quarter <= 4, 2).otherwise(3)
 
 
+def loaded_half_seconds(quarter: Column, clock: Column) -> Column:
+    """Seconds left in the half as tables of plays store them: 0 in overtime, null without a quarter and for a bad clock."""
+    parts = F.split(clock, ":")
+    left = F.get(parts, F.lit(0)).try_cast("int") * 60 + F.get(parts, F.lit(1)).try_cast("int")
+    return F.when(left.isNotNull(), F.when(quarter >= 5, 0).when(quarter.isin(1, 3), left + 900).when(quarter.isNotNull(), left))
+
+
 def half_seconds(quarter: Column, clock: Column) -> Column:
-    """Seconds left in the half; 0 in overtime and for a bad clock."""
+    """Seconds left in the half as a feature; 0 in overtime and for a bad clock."""
     parts = F.split(clock, ":")
     left = F.get(parts, F.lit(0)).try_cast("int") * 60 + F.get(parts, F.lit(1)).try_cast("int")
     return F.when(quarter >= 5, 0).otherwise(F.coalesce(left + F.when(quarter.isin(1, 3), 900).otherwise(0), F.lit(0)))
@@ -37,8 +44,10 @@ def scrimmage(two_point: bool = True) -> Column:
     return ok & ~is_two_point(F.col("description")) if two_point else ok
 
 
-def is_two_point(description: Column) -> Column:
-    return F.coalesce(description.rlike("(?i)2 point|conversion"), F.lit(False))
+def is_two_point(description: Column, any_case: bool = True) -> Column:
+    """Tries for two points by their text: in any case for models, as written for box scores."""
+    told = F.lower(description) if any_case else description
+    return F.coalesce(told.contains("2 point") | told.contains("conversion"), F.lit(False))
 
 
 def distance_bucket(distance: Column) -> Column:

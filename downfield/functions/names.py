@@ -21,7 +21,7 @@ def normalized(name: Column) -> Column:
 def last_first(name: Column) -> Column:
     """'First Rest' to 'rest, f'; null with a comma or a single word."""
     words = F.split(normalized(name), " ")
-    return F.when(~name.contains(",") & (F.size(words) >= 2), F.concat(F.array_join(F.slice(words, 2, 100), " "), F.lit(", "), F.substring(F.get(words, F.lit(0)), 1, 1)))
+    return F.when(~name.contains(",") & (F.size(words) >= 2), F.concat(F.array_join(F.slice(words, F.lit(2), F.size(words)), " "), F.lit(", "), F.substring(F.get(words, F.lit(0)), 1, 1)))
 
 
 def initial_last(name: Column) -> Column:
@@ -39,7 +39,7 @@ def roster_key(name: Column, relaxed: bool) -> Column:
     clean = lambda c: F.trim(F.regexp_replace(c, r"( (jr|sr|ii|iii|iv|v)\.?)+$", "")) if relaxed else F.trim(F.regexp_replace(c, r"\.+$", ""))
     comma = F.split(plain, ",", 2)
     words = F.split(F.trim(clean(plain) if relaxed else plain), r"\s+")
-    rest = F.element_at(words, -1) if relaxed else F.array_join(F.when(F.size(words) > 1, F.slice(words, 2, 1000)).otherwise(words), " ")
+    rest = F.element_at(words, -1) if relaxed else F.array_join(F.when(F.size(words) > 1, F.slice(words, F.lit(2), F.size(words))).otherwise(words), " ")
     last = F.when(plain.contains(","), clean(F.trim(F.get(comma, F.lit(0))))).otherwise(clean(rest))
     initial = F.when(plain.contains(","), F.substring(F.trim(F.get(comma, F.lit(1))), 1, 1)).otherwise(F.substring(F.get(words, F.lit(0)), 1, 1))
     return F.when(last != "", F.concat(last, F.lit("|"), initial))

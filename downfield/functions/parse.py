@@ -7,48 +7,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NAME = r"(.+?)"
-_STOP = r"\.(?=\.|<|\s|$)"
-_SPOT = r".+? at .+? yard line and returned for -?\d+"
-_GAIN = r"(?:(-?\d+) yds|a short gain)"
-#: Text formats, first match wins (fixed values): name, play type, pattern, and the groups of its fields.
-RULES: tuple[tuple[str, str, str, dict[str, int]], ...] = (
-    ("quarter_marker", "quarter_marker", r"^\d+:\d+ - .*(?:Quarter|Half|Overtime|OVERTIME)|End of Game|00:00", {}),
-    ("kickoff_touchback", "kickoff", rf"Kickoff by {_NAME} (?:through the back|deep into the endzone)", {"kicker": 1}),
-    ("kickoff_return", "kickoff", rf"Kickoff of (\d+) yards.*?Returned by {_NAME} for (\d+) yards", {"kick_yards": 1, "returner": 2, "yards_gained": 3}),
-    ("onside_recovery", "kickoff", rf"Onsides? Kickoff by {_NAME}\. Recovered by", {"kicker": 1}),
-    ("onside", "kickoff", rf"Onsides? Kickoff by {_NAME} of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
-    ("free_kick", "kickoff", rf"Free Kick by {_NAME} of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
-    ("kickoff_yards", "kickoff", rf"Kickoff by {_NAME} of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
-    ("kicks_off", "kickoff", rf"{_NAME} kicks off", {"kicker": 1}),
-    ("punt", "punt", rf"Punt by {_NAME} of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
-    ("punt_blocked", "punt", rf"Punt by {_NAME} is BLOCKED BY ([^<]+){_STOP}", {"kicker": 1}),
-    ("field_goal", "field_goal", rf"(\d+) yard FG by {_NAME} is (good|NO good)", {"fg_distance": 1, "kicker": 2}),
-    ("field_goal_blocked", "field_goal", rf"(\d+) yard FG by {_NAME} is BLOCKED by ([^<]+){_STOP}", {"fg_distance": 1, "kicker": 2}),
-    ("sack", "sack", rf"{_NAME} (?:is )?SACKED by {_NAME} - \w+ for (-?\d+) yds", {"passer": 1, "sacker": 2, "yards_gained": 3}),
-    ("complete", "pass", rf"Pass by {_NAME}, complete to {_NAME} for {_GAIN}", {"passer": 1, "receiver": 2, "yards_gained": 3}),
-    ("broken_up", "pass", rf"Pass by {_NAME} to {_NAME} is incomplete\. Broken up by ([^<]+){_STOP}", {"passer": 1, "receiver": 2, "tackler": 3}),
-    ("falls", "pass", rf"Pass by {_NAME} to {_NAME} falls incomplete", {"passer": 1, "receiver": 2}),
-    ("dropped", "pass", rf"Pass by {_NAME} to {_NAME} was dropped", {"passer": 1, "receiver": 2}),
-    ("intercepted", "pass", rf"^(?=.*INTERCEPTION by {_SPOT}).*?Pass by {_NAME},? to {_NAME}\.\.", {"passer": 1, "receiver": 2}),
-    ("rush", "rush", rf"Rush by {_NAME} for {_GAIN}", {"rusher": 1, "yards_gained": 2}),
-    ("kneel", "kneel", r"Offense kneels", {}),
-    ("spike", "spike", r"spikes the ball", {}),
-    ("penalty_nullify", "penalty", rf"(?:Pass |Rush )?Play nullified by {_NAME} Penalty on {_NAME}: (.+?)(?:\.|<)", {"penalty_team": 1, "penalty_type": 3}),
-    ("penalty", "penalty", rf"^{_NAME} Penalty on {_NAME}: (.+?)(?:\.|$)", {"penalty_team": 1, "penalty_type": 3}),
-    ("timeout", "timeout", r"^Timeout called by \w+", {}),
-    ("timeout_old", "timeout", r"^.+?\s*:\s*Timeout", {}),
-    ("throwaway", "pass", rf"{_NAME} throws the ball away", {"passer": 1}),
-    ("on_downs", "pass", r"^Turnover on downs", {}),
-    ("kickoff_touchdown", "kickoff", r"^(?=.*TOUCHDOWN).*(?:kicks off|yard return)", {}),
+#: Text formats, first match wins (fixed values): name, play type, a text that every such play holds, pattern, and the groups of its fields.
+RULES: tuple[tuple[str, str, str, str, dict[str, int]], ...] = (
+    ("quarter_marker", "quarter_marker", "", r"^\d+:\d+ - .*(?:Quarter|Half|Overtime|OVERTIME)|End of Game|00:00", {}),
+    ("kickoff_touchback", "kickoff", "Kickoff by ", r"Kickoff by (.+?) (?:through the back|deep into the endzone)", {"kicker": 1}),
+    ("kickoff_return", "kickoff", "Kickoff of ", r"Kickoff of (\d+) yards.*?Returned by (.+?) for (\d+) yards", {"kick_yards": 1, "returner": 2, "yards_gained": 3}),
+    ("onside_recovery", "kickoff", "Recovered by", r"Onsides? Kickoff by (.+?)\. Recovered by", {"kicker": 1}),
+    ("onside", "kickoff", "Kickoff by ", r"Onsides? Kickoff by (.+?) of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
+    ("free_kick", "kickoff", "Free Kick by ", r"Free Kick by (.+?) of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
+    ("kickoff_yards", "kickoff", "Kickoff by ", r"Kickoff by (.+?) of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
+    ("kicks_off", "kickoff", " kicks off", r"(.+?) kicks off", {"kicker": 1}),
+    ("punt", "punt", "Punt by ", r"Punt by (.+?) of (\d+) yards", {"kicker": 1, "kick_yards": 2}),
+    ("punt_blocked", "punt", "Punt by ", r"Punt by (.+?) is BLOCKED BY ([^<]+)\.(?=\.|<|\s|$)", {"kicker": 1}),
+    ("field_goal", "field_goal", " yard FG by ", r"(\d+) yard FG by (.+?) is (good|NO good)", {"fg_distance": 1, "kicker": 2}),
+    ("field_goal_blocked", "field_goal", " yard FG by ", r"(\d+) yard FG by (.+?) is BLOCKED by ([^<]+)\.(?=\.|<|\s|$)", {"fg_distance": 1, "kicker": 2}),
+    ("sack", "sack", "SACKED by ", r"(.+?) (?:is )?SACKED by (.+?) - \w+ for (-?\d+) yds", {"passer": 1, "sacker": 2, "yards_gained": 3}),
+    ("complete", "pass", ", complete to ", r"Pass by (.+?), complete to (.+?) for (?:(-?\d+) yds|a short gain)", {"passer": 1, "receiver": 2, "yards_gained": 3}),
+    ("broken_up", "pass", "Broken up by ", r"Pass by (.+?) to (.+?) is incomplete\. Broken up by ([^<]+)\.(?=\.|<|\s|$)", {"passer": 1, "receiver": 2, "tackler": 3}),
+    ("falls", "pass", " falls incomplete", r"Pass by (.+?) to (.+?) falls incomplete", {"passer": 1, "receiver": 2}),
+    ("dropped", "pass", " was dropped", r"Pass by (.+?) to (.+?) was dropped", {"passer": 1, "receiver": 2}),
+    ("intercepted", "pass", "INTERCEPTION by ", r"^(?=.*INTERCEPTION by .+? at .+? yard line and returned for -?\d+).*?Pass by (.+?),? to (.+?)\.\.", {"passer": 1, "receiver": 2}),
+    ("rush", "rush", "Rush by ", r"Rush by (.+?) for (?:(-?\d+) yds|a short gain)", {"rusher": 1, "yards_gained": 2}),
+    ("kneel", "kneel", "Offense kneels", r"Offense kneels", {}),
+    ("spike", "spike", "spikes the ball", r"spikes the ball", {}),
+    ("penalty_nullify", "penalty", "Play nullified by ", r"(?:Pass |Rush )?Play nullified by (.+?) Penalty on (.+?): (.+?)(?:\.|<)", {"penalty_team": 1, "penalty_type": 3}),
+    ("penalty", "penalty", " Penalty on ", r"^(.+?) Penalty on (.+?): (.+?)(?:\.|$)", {"penalty_team": 1, "penalty_type": 3}),
+    ("timeout", "timeout", "Timeout called by ", r"^Timeout called by \w+", {}),
+    ("timeout_old", "timeout", "Timeout", r"^.+?\s*:\s*Timeout", {}),
+    ("throwaway", "pass", " throws the ball away", r"(.+?) throws the ball away", {"passer": 1}),
+    ("on_downs", "pass", "Turnover on downs", r"^Turnover on downs", {}),
+    ("kickoff_touchdown", "kickoff", "TOUCHDOWN", r"^(?=.*TOUCHDOWN).*(?:kicks off|yard return)", {}),
 )
 #: Formats that hold a return, a tackle, or a play of no gain (fixed values).
 _RETURNED = ("onside", "free_kick", "kickoff_yards", "punt", "punt_blocked")
 _TACKLED, _NO_GAIN = ("complete", "rush"), ("complete", "rush", "broken_up", "falls", "dropped", "intercepted", "throwaway", "on_downs")
-RETURN, RETURN_YARDS, TACKLE = rf"Returned by {_NAME} for (\d+) yards", r"A (\d+) yard return", rf"Tackle by ([^<]+){_STOP}"
+RETURN, RETURN_YARDS, TACKLE = r"Returned by (.+?) for (\d+) yards", r"A (\d+) yard return", r"Tackle by ([^<]+)\.(?=\.|<|\s|$)"
 #: Outcomes that any text may tell besides (fixed values).
-FUMBLE_LOST, FUMBLE_KEPT = rf"FUMBLE recovered by {_NAME} at .+? yard line and returned for \d+", rf"FUMBLE by {_NAME}, recovered by ([^<]+){_STOP}"
-INTERCEPTION, PAT = rf"INTERCEPTION by {_NAME} at .+? yard line and returned for -?\d+", r"(?i)\(.+? kick (good|no good)\)"
+FUMBLE_LOST, FUMBLE_KEPT = r"FUMBLE recovered by (.+?) at .+? yard line and returned for \d+", r"FUMBLE by (.+?), recovered by ([^<]+)\.(?=\.|<|\s|$)"
+INTERCEPTION, PAT = r"INTERCEPTION by (.+?) at .+? yard line and returned for -?\d+", r"(?i)\(.+? kick (good|no good)\)"
 _TEXTS = ("passer", "rusher", "receiver", "tackler", "sacker", "kicker", "returner", "penalty_team", "penalty_type")
 _NUMBERS = ("yards_gained", "kick_yards", "fg_distance")
 
@@ -61,9 +57,14 @@ def _rule(*names: str) -> Column:
     return F.col("rule").isin(*(k for k, r in enumerate(RULES) if r[0] in names))
 
 
+def _has(text: Column, part: str, pattern: str) -> Column:
+    """Whether the text has the pattern, which is tried only where its fixed part stands."""
+    return text.contains(part) & text.rlike(pattern) if part else text.rlike(pattern)
+
+
 def rule_of(text: Column) -> Column:
     """Number of the first rule whose pattern the text has; null if none."""
-    return reduce(lambda c, k: c.when(text.rlike(RULES[k][2]), k), range(1, len(RULES)), F.when(text.rlike(RULES[0][2]), 0))
+    return reduce(lambda c, k: c.when(_has(text, *RULES[k][2:4]), k), range(1, len(RULES)), F.when(_has(text, *RULES[0][2:4]), 0))
 
 
 def parse_plays(df: DataFrame, text: str = "description") -> DataFrame:
@@ -71,7 +72,7 @@ def parse_plays(df: DataFrame, text: str = "description") -> DataFrame:
     d, df = F.col(text), df.withColumn("rule", rule_of(F.col(text)))
 
     def field(name: str) -> Column:
-        of = [(k, r[3][name], r[2]) for k, r in enumerate(RULES) if name in r[3]]
+        of = [(k, r[4][name], r[3]) for k, r in enumerate(RULES) if name in r[4]]
         return reduce(lambda c, x: c.when(F.col("rule") == x[0], _group(d, x[2], x[1])), of[1:], F.when(F.col("rule") == of[0][0], _group(d, of[0][2], of[0][1])))
 
     types = reduce(lambda c, k: c.when(F.col("rule") == k, RULES[k][1]), range(1, len(RULES)), F.when(F.col("rule") == 0, RULES[0][1])).otherwise("unknown")
@@ -82,17 +83,18 @@ def parse_plays(df: DataFrame, text: str = "description") -> DataFrame:
     cols["parsed_penalty_type"] = F.trim(cols["parsed_penalty_type"])
     back = F.when(_rule(*_RETURNED), F.coalesce(told, _group(d, RETURN, 2)).try_cast("int"))
     cols["parsed_yards_gained"] = F.coalesce(cols["parsed_yards_gained"], back, F.when(_rule(*_NO_GAIN), 0))
-    pat = F.lower(_group(d, PAT, 1))
+    pat = F.lower(F.when(F.lower(d).contains(" kick "), _group(d, PAT, 1)))
+    lost, kept, picked = (_has(d, part, pattern) for part, pattern in (("FUMBLE recovered by ", FUMBLE_LOST), ("FUMBLE by ", FUMBLE_KEPT), ("INTERCEPTION by ", INTERCEPTION)))
     flags = {
         "parsed_touchdown": d.contains("TOUCHDOWN"),
-        "parsed_interception": d.rlike(INTERCEPTION),
-        "parsed_interceptor": _group(d, INTERCEPTION, 1),
-        "parsed_fumble": d.rlike(FUMBLE_LOST) | d.rlike(FUMBLE_KEPT),
-        "parsed_fumble_lost": d.rlike(FUMBLE_LOST),
-        "parsed_fumbler": _group(d, FUMBLE_KEPT, 1),
-        "parsed_fumble_recoverer": F.coalesce(_group(d, FUMBLE_KEPT, 2), _group(d, FUMBLE_LOST, 1)),
+        "parsed_interception": picked,
+        "parsed_interceptor": F.when(picked, _group(d, INTERCEPTION, 1)),
+        "parsed_fumble": lost | kept,
+        "parsed_fumble_lost": lost,
+        "parsed_fumbler": F.when(kept, _group(d, FUMBLE_KEPT, 1)),
+        "parsed_fumble_recoverer": F.coalesce(F.when(kept, _group(d, FUMBLE_KEPT, 2)), F.when(lost, _group(d, FUMBLE_LOST, 1))),
         "parsed_safety": d.contains("Safety"),
-        "parsed_first_down": d.rlike("First Down"),
+        "parsed_first_down": d.contains("First Down"),
         "parsed_auto_first_down": d.contains("Automatic First Down"),
         "parsed_turnover_on_downs": d.contains("Turnover on downs"),
         "parsed_complete": d.contains(", complete to"),

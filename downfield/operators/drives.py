@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from downfield.functions.context import half, half_seconds, play_points, scrimmage, yardline_100
+from downfield.functions.context import half, loaded_half_seconds, play_points, scrimmage, yardline_100
 
 
 def _game() -> WindowSpec:
@@ -39,18 +39,25 @@ def with_drives(plays: DataFrame) -> DataFrame:
 
 
 def with_next_score(plays: DataFrame) -> DataFrame:
-    """Adds next_score: td, fg or safety, _pos or _neg for the side in possession, or no_score, within the half."""
-    other = F.when(F.col("defense_team").isNotNull(), F.regexp_extract("defense_team", r"(\d+)$", 1).cast("long") + 1)
-    against = F.coalesce(F.col("interception") | F.col("fumble_lost"), F.lit(False))
+    """Adds next_score: td, fg or safety, _pos or _neg for the side in possession, or no_score, within the half.
+
+    A touchdown counts for the side in possession, one after a turnover too; a safety for the other of
+    the first two ids of the game. Needs half and pts.
+    """
+    whole, poss = _game().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.col("possession_team_id")
+    plays = plays.withColumn("__one", F.first(poss, ignorenulls=True).over(whole))
+    plays = plays.withColumn("__two", F.first(F.when(poss != F.col("__one"), poss), ignorenulls=True).over(whole))
+    other = F.when(poss == F.col("__one"), F.col("__two")).when(poss == F.col("__two"), F.col("__one"))
+    goal = (F.col("play_type") == "field_goal") & F.coalesce("fg_good", F.lit(False))
     event = (
-        F.when(F.col("touchdown"), F.struct(F.lit("td").alias("kind"), F.when(against, other).otherwise(F.col("possession_team_id")).alias("team")))
-        .when(F.col("pts") == 3, F.struct(F.lit("fg").alias("kind"), F.col("possession_team_id").alias("team")))
-        .when(F.col("pts") == -2, F.struct(F.lit("safety").alias("kind"), other.alias("team")))
+        F.when(F.col("touchdown"), F.struct(F.lit("td").alias("kind"), poss.alias("team")))
+        .when(goal, F.struct(F.lit("fg").alias("kind"), poss.alias("team")))
+        .when(F.col("safety"), F.struct(F.lit("safety").alias("kind"), other.alias("team")))
     )
     ahead = Window.partitionBy("game_id", "half").orderBy("play_index").rowsBetween(0, Window.unboundedFollowing)
     df = plays.withColumn("next_event", F.first(event, ignorenulls=True).over(ahead))
     side = F.when(F.col("possession_team_id") == F.col("next_event.team"), "_pos").otherwise("_neg")
-    return df.withColumn("next_score", F.when(F.col("next_event").isNull(), "no_score").otherwise(F.concat("next_event.kind", side))).drop("next_event")
+    return df.withColumn("next_score", F.when(F.col("next_event").isNull(), "no_score").otherwise(F.concat("next_event.kind", side))).drop("next_event", "__one", "__two")
 
 
 def stub_ep() -> Column:
@@ -151,9 +158,9 @@ def all_abbreviations(plays: DataFrame) -> DataFrame:
 def backfill(plays: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """Fills half_seconds and yl100 where they are null; a side is the own one if it is among the id's all_abbreviations().
 
-    What lacks a clock, a quarter, a yard line, its side or a possession stays null.
+    What lacks a clock that can be read, a quarter, a yard line, its side or a possession stays null.
     """
-    seconds = F.when(F.col("clock").isNotNull() & F.col("quarter").isNotNull(), half_seconds(F.col("quarter"), F.col("clock")))
+    seconds = loaded_half_seconds(F.col("quarter"), F.col("clock"))
     known = F.col("yard_line").isNotNull() & F.col("yard_line_team").isNotNull() & F.col("possession_team_id").isNotNull()
     own = F.coalesce(F.array_contains("__teams", F.col("yard_line_team")), F.lit(False))
     yards = F.when(known, F.when(own, F.col("yard_line")).otherwise(100 - F.col("yard_line")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from downfield.functions.names import initial_last, last_first, normalized, roster_key
+from downfield.sources.tables import written
 
 OFFENSE, DEFENSE, TEAMLESS = ("passer", "rusher", "receiver", "kicker"), ("tackler", "sacker", "interceptor", "returner"), ("fumbler", "fumble_recoverer")
 
@@ -35,7 +36,8 @@ def with_player_key(rows: DataFrame, overrides: DataFrame | None = None, roster:
     ambiguous names of ``roster``. A 'First Last' name not in ``apart`` (name) takes the key
     of the 'Last, F.' name that is found first: all words but the first in the same team, the
     last word in the same team, itself in ``known`` (player_key), then both again in any
-    team. Work on names is done once a distinct name and team.
+    team. Work on names is done once a distinct name and team, and written; what is left is
+    one join of the rows with these keys.
     """
     names = rows.select("name", "team").distinct()
     if overrides is not None:
@@ -52,23 +54,34 @@ def with_player_key(rows: DataFrame, overrides: DataFrame | None = None, roster:
     if apart is not None:
         names = names.join(apart.select(F.col("name"), F.lit(True).alias("__apart")).distinct(), "name", "left")
         names = names.withColumns({c: F.when(F.col("__apart").isNull(), F.col(c)) for c in ("long", "short")})
+    names = written(names, "names")  # a row a distinct name and team
     comma = names.where(F.col("shown").contains(",")).select("norm", "team", "own")
-    in_team = comma.where("team is not null").groupBy("norm", "team").agg(F.min("own").alias("hit"))
-    anywhere = comma.groupBy("norm").agg(F.min("own").alias("hit"))
+    # Teams of a name are few: its keys go by team in one map.
+    of_team = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("team").isNotNull(), F.struct("team", "own")))))
+    comma = comma.groupBy("norm", "team").agg(F.min("own").alias("own")).groupBy("norm").agg(of_team.alias("by_team"), F.min("own").alias("any"))
     for c in ("long", "short"):
-        names = names.join(in_team.withColumnsRenamed({"norm": c, "hit": f"team_{c}"}), [c, "team"], "left")
-        names = names.join(anywhere.withColumnsRenamed({"norm": c, "hit": f"any_{c}"}), c, "left")
+        found = comma.withColumnsRenamed({"norm": c, "by_team": f"by_team_{c}", "any": f"any_{c}"})
+        names = names.join(found, c, "left").withColumn(f"team_{c}", F.try_element_at(f"by_team_{c}", F.coalesce("team", F.lit("")))).drop(f"by_team_{c}")
     names = names.withColumn("__known", F.lit(None).cast("string")) if known is None else names.join(known.select(F.col("player_key").alias("own"), F.col("player_key").alias("__known")).distinct(), "own", "left")
     keys = names.select(F.col("name").alias("__name"), F.col("team").alias("__team"), F.coalesce("team_long", "team_short", "__known", "any_long", "any_short", "own").alias("player_key"))
+    keys = written(keys, "name-keys")
     return rows.join(keys, F.col("name").eqNullSafe(F.col("__name")) & F.col("team").eqNullSafe(F.col("__team"))).drop("__name", "__team")
 
 
+def with_defensive_keys(keyed: DataFrame, aliases: DataFrame, roles: tuple[str, ...] = ("tackler", "sacker", "interceptor", "fumble_recoverer")) -> DataFrame:
+    """Gives defenders named in ``aliases`` (name, canonical) the key of the canonical name, if a player has it; other roles keep theirs."""
+    known = keyed.select(F.col("player_key").alias("__key")).distinct()
+    fixed = aliases.select(normalized(F.col("name")).alias("__norm"), normalized(F.col("canonical")).alias("__key")).join(known, "__key", "left_semi").groupBy("__norm").agg(F.min("__key").alias("__key"))
+    rows = keyed.withColumn("__norm", F.when(F.col("role").isin(*roles), normalized(F.col("name")))).join(fixed, "__norm", "left")
+    return rows.withColumn("player_key", F.coalesce("__key", "player_key")).select(keyed.columns)
+
+
 def players(keyed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row a key: player_id, name (of the first mention), first and last season, number of mentions.
 
     Ids of ``known`` (player_key, player_id) stay; new ones follow its largest in the order of the
     first mention (season, game, play, role, key). Numbers are running sums over games, then
-    seasons, so that no task holds all players.
+    seasons, so that no task holds all players. The mentions are grouped once and written.
     """
     first = F.struct("season", "game_id", "play_index", "role")
     rows = keyed.groupBy("player_key").agg(F.min(first).alias("first"), F.min_by("name", F.struct(first, "name")).alias("name"), F.min("season").alias("first_season"), F.max("season").alias("last_season"), F.count("*").alias("mentions"))
@@ -76,6 +89,7 @@ def players(keyed: DataFrame, known: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumn("player_id", F.lit(None).cast("long"))
     else:
         rows = rows.join(known.select("player_key", "player_id"), "player_key", "left")
+    rows = written(rows, "players")
     place = [F.col("first.season").alias("__s"), F.col("first.game_id").alias("__g")]
     new = rows.where("player_id is null").select("player_key", "first", *place)
     games = new.groupBy("__s", "__g").agg(F.count("*").alias("n"))
@@ -91,7 +105,7 @@ def players(keyed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     new = new.withColumn("__c", number).join(games, ["__s", "__g"]).join(seasons, "__s")
     new = new.select("player_key", (F.col("__a") + F.col("__b") + F.col("__c")).alias("__new"))
     out = rows.join(new, "player_key", "left").withColumn("player_id", F.coalesce("player_id", "__new").cast("long"))
-    return out.select("player_id", "player_key", "name", "first_season", "last_season", "mentions")
+    return written(out.select("player_id", "player_key", "name", "first_season", "last_season", "mentions"), "player-ids")
 
 
 def attach_ids(plays: DataFrame, keyed: DataFrame, dimension: DataFrame, roles: tuple[str, ...] = OFFENSE + DEFENSE + ("fumble_recoverer",)) -> DataFrame:
@@ -112,14 +126,44 @@ def duplicates(people: DataFrame) -> DataFrame:
     return rows.select("norm", F.get("ids", F.lit(0)).alias("kept"), F.slice("ids", 2, 2**30).alias("removed"), "names")
 
 
+def followed(merges: DataFrame, steps: int = 40) -> DataFrame:
+    """(removed, kept) with chains followed to their ends: an id that is kept in one row and removed in another.
+
+    Each step doubles the length of what is followed; a circle fails.
+    """
+    links = written(merges.select("removed", "kept").where("removed <> kept").distinct(), "merges")
+    for _ in range(steps):
+        onward = links.select(F.col("removed").alias("kept"), F.col("kept").alias("__next"))
+        if links.join(onward, "kept", "left_semi").isEmpty():
+            return links
+        links = written(links.join(onward, "kept", "left").select("removed", F.coalesce("__next", "kept").alias("kept")), "merges")
+        if not links.where("removed = kept").isEmpty():
+            break
+    raise ValueError("merges go in a circle")
+
+
+def moved_rows(df: DataFrame, merges: DataFrame, *key: str) -> DataFrame:
+    """Rows of player_id with removed ids replaced by those kept, as aliases and positions move; where the kept id has a row of the same ``key``, its own stays."""
+    rows = df.join(merges.select(F.col("removed").alias("player_id"), "kept"), "player_id", "left")
+    whole = F.struct(F.col("kept").isNotNull().cast("int").alias("__moved"), F.col("player_id").alias("__was"), *(c for c in df.columns if c not in ("player_id", *key)))
+    best = rows.groupBy(F.coalesce("kept", "player_id").alias("player_id"), *key).agg(F.min(whole).alias("__row"))
+    return best.select(*(c if c in ("player_id", *key) else F.col(f"__row.{c}").alias(c) for c in df.columns))
+
+
 def merge_ids(df: DataFrame, merges: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Replaces removed ids by those kept in all ``columns``; ``merges``: (removed, kept), one row a removed id. Chains are not followed."""
+    """Replaces removed ids by those kept in all ``columns``; ``merges``: (removed, kept), one row a removed id; see followed() for chains."""
     order = df.columns
     for c in columns:
         df = df.join(merges.select(F.col("removed").alias(c), F.col("kept").alias("__kept")), c, "left").withColumn(c, F.coalesce("__kept", c)).drop("__kept")
     return df.select(order)
 
 
+def without_removed(df: DataFrame, merges: DataFrame) -> DataFrame:
+    """Aggregates of player_id without those of ids that a merge touches: they are stale and must be made anew."""
+    touched = merges.select(F.explode(F.array("removed", "kept")).alias("player_id")).distinct()
+    return df.join(touched, "player_id", "left_anti")
+
+
 def merge_people(people: DataFrame, merges: DataFrame) -> DataFrame:
     """The player dimension after merges: seasons widened, mentions added, names of the kept rows."""
     moved = people.withColumn("__was", F.col("player_id"))

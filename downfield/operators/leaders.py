@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from downfield.operators.drives import resolve_team_ids
+from downfield.operators.games import with_week
+
 OFFENSE, DEFENSE = ("passer", "rusher", "receiver"), ("tackler", "sacker", "interceptor")
 #: Positions as football lists them (fixed values); others follow in alphabetical order.
 POSITIONS = ("QB", "RB", "FB", "WR", "TE", "OL", "DL", "DE", "DT", "LB", "CB", "S", "FS", "SS", "K", "P")
@@ -20,17 +23,32 @@ class Category:
     plays: str
     ident: str
     stats: tuple[str, ...]
+    types: tuple[str, ...]
+    least: int
     ascending: bool = False
 
 
+#: Plays that each category counts, and the least number of them for a leader (fixed values).
 CATEGORIES = {
-    "passing": Category("pass_epa", "dropbacks", "passer_id", ("comp", "att", "yards", "td", "interceptions", "sacks")),
-    "rushing": Category("rush_epa", "rush_plays", "rusher_id", ("att", "yards", "td", "fumbles")),
-    "receiving": Category("recv_epa", "targets", "receiver_id", ("rec", "yards", "td")),
-    "defense": Category("def_epa", "def_plays", "player_id", ("tackles", "sacks", "interceptions", "fumble_recoveries", "forced_fumbles"), ascending=True),
+    "passing": Category("pass_epa", "dropbacks", "passer_id", ("comp", "att", "yards", "td", "interceptions", "sacks"), ("pass", "sack"), 100),
+    "rushing": Category("rush_epa", "rush_plays", "rusher_id", ("att", "yards", "td", "fumbles"), ("rush",), 50),
+    "receiving": Category("recv_epa", "targets", "receiver_id", ("rec", "yards", "td"), ("pass",), 30),
+    "defense": Category("def_epa", "def_plays", "player_id", ("tackles", "sacks", "interceptions", "fumble_recoveries", "forced_fumbles"), ("pass", "rush", "sack"), 50, ascending=True),
 }
 
 
+def _category(name: str) -> Category:
+    if name not in CATEGORIES:
+        raise ValueError(f"{name}: a category is one of {', '.join(CATEGORIES)}")
+    return CATEGORIES[name]
+
+
+def paged(rows: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Part of an ordered list."""
+    rows = rows.offset(offset) if offset else rows
+    return rows.limit(limit) if limit is not None else rows
+
+
 def player_season_epa(plays: DataFrame) -> DataFrame:
     """One row a player, season and game type: EPA and plays passing, rushing, receiving and defending; needs epa.
 
@@ -70,7 +88,7 @@ def leaderboard(epa: DataFrame, games: DataFrame, positions: DataFrame, category
     game_type, ``positions``: one row a player and season. A career's team is the last in
     alphabetical order. Ties go by player_id and season. ``limit`` is the length of the report.
     """
-    c = CATEGORIES[category]
+    c = _category(category)
     if career:
         rows = epa.where(F.col(c.plays) > 0).groupBy("player_id").agg(F.max("team").alias("team"), F.sum(c.epa).alias(c.epa), F.sum(c.plays).alias(c.plays))
         on, pos, extra = ["player_id"], common_position(positions), []
@@ -82,8 +100,7 @@ def leaderboard(epa: DataFrame, games: DataFrame, positions: DataFrame, category
     rows = rows.where(F.col("team") == team) if team else rows
     rows = rows.withColumn("epa_per_play", F.col(c.epa) / F.col(c.plays)).fillna(0, subset=[*c.stats, "games"])
     order = F.asc_nulls_last("epa_per_play") if c.ascending else F.desc_nulls_last("epa_per_play")
-    rows = rows.orderBy(order, *on, *extra)
-    return rows.limit(limit) if limit else rows
+    return paged(rows.orderBy(order, *on, *extra), limit=limit)
 
 
 def position_baseline(epa: DataFrame, positions: DataFrame, category: str, min_plays: int = 1) -> DataFrame:
@@ -91,7 +108,7 @@ def position_baseline(epa: DataFrame, positions: DataFrame, category: str, min_p
 
     A player without a position is held against all players.
     """
-    c = CATEGORIES[category]
+    c = _category(category)
     rows = epa.where(F.col(c.plays) >= min_plays).select("player_id", "season", "game_type", (F.col(c.epa) / F.col(c.plays)).alias("per_play"), c.epa, c.plays).join(positions, ["player_id", "season"], "left")
     by = ["season", "game_type"]
     average = lambda df, *k: df.groupBy(*k).agg((F.sum(c.epa) / F.nullif(F.sum(c.plays), F.lit(0))).alias(f"avg_{len(k)}"))
@@ -128,6 +145,13 @@ def team_dashboard(epa: DataFrame, games: DataFrame, results: DataFrame, side: s
     return out.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(order)))
 
 
+def ranked_by(df: DataFrame, column: str, *by: str, ascending: bool = False) -> DataFrame:
+    """Adds rank by any column among ``by``, nulls last; equals share a rank. A record ('3-1') ranks by its wins."""
+    value = F.get(F.split(column, "-"), F.lit(0)).try_cast("int") if df.schema[column].dataType.simpleString() == "string" else F.col(column)
+    order = F.asc_nulls_last(value) if ascending else F.desc_nulls_last(value)
+    return df.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(order)))
+
+
 def with_heat(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Adds heat: distance of ``column`` from its mean among ``by``, 1 at the farther of minimum and maximum."""
     bounds = df.groupBy(*by).agg(F.avg(column).alias("__mid"), F.greatest(F.max(column) - F.avg(column), F.avg(column) - F.min(column)).alias("__half"))
@@ -139,29 +163,85 @@ def any_of(roles: tuple[str, ...]) -> Column:
     return F.array(*(F.col(f"{r}_id") for r in roles))
 
 
-def plays_of(plays: DataFrame, player_id: Column, roles: tuple[str, ...] = OFFENSE + DEFENSE) -> DataFrame:
-    """Plays in which the player has one of the roles, in order."""
-    return plays.where(F.coalesce(F.array_contains(any_of(roles), player_id), F.lit(False))).orderBy("game_id", "play_index")
+def play_list(plays: DataFrame, season: int | None = None, game_id: int | None = None, play_type: str | None = None, player_id: int | None = None, roles: tuple[str, ...] = OFFENSE + DEFENSE, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Plays that pass the filters given, in order of game and play; offset and limit are a page of the list.
 
+    A player's plays are those in which one of the roles is his.
+    """
+    for name, value in (("season", season), ("game_id", game_id), ("play_type", play_type)):
+        plays = plays.where(F.col(name) == value) if value is not None else plays
+    if player_id is not None:
+        plays = plays.where(F.coalesce(F.array_contains(any_of(roles), F.lit(player_id)), F.lit(False)))
+    return paged(plays.orderBy("game_id", "play_index"), offset, limit)
 
-def browse(plays: DataFrame, positions: DataFrame, side: str, position: str | None = None, team: str | None = None, sort: str = "epa") -> DataFrame:
-    """Plays with a player on the given side: teams, first player, and players with roles as an array.
 
-    ``position`` keeps plays with a player of that position on the side. Sorted by ``sort``
-    descending, nulls last, then by game and play.
+def epa_leaders(epa: DataFrame, plays: DataFrame, kind: str, season: int, game_type: str = "regular", least: int | None = None, top: int | None = 20) -> DataFrame:
+    """The best players of a season and game type by EPA a play, with epa_plus = 100 (EPA a play - league average), to one digit.
+
+    epa: player_season_epa(), plays: with epa; the average is over all plays of the category.
+    Of equals the smallest ids come first. least: plays that a leader has, top: length of the report.
+    """
+    c = _category(kind)
+    here = (F.col("season") == season) & (F.col("game_type") == game_type)
+    league = plays.where(here & F.col("play_type").isin(*c.types) & F.col("epa").isNotNull()).groupBy("season").agg(F.avg("epa").alias("__league"))
+    rows = epa.where(here & (F.col(c.plays) >= (c.least if least is None else least)))
+    rows = rows.select("player_id", "season", "team", c.epa, c.plays, (F.col(c.epa) / F.col(c.plays)).alias("epa_per_play")).join(league, "season", "left")
+    rows = rows.withColumn("epa_plus", F.round((F.col("epa_per_play") - F.col("__league")) * 100, 1)).drop("__league")
+    order = F.asc_nulls_last if c.ascending else F.desc_nulls_last
+    return paged(rows.orderBy(order("epa_per_play"), "player_id"), limit=top)
+
+
+def game_logs(games: DataFrame, kind: str, player_id: int | None = None, season: int | None = None) -> DataFrame:
+    """Game rows of a category in order of player, season and game; an unknown category is an error."""
+    c = _category(kind)
+    rows = games.where(F.col(c.ident) == player_id) if player_id is not None else games
+    rows = rows.where(F.col("season") == season) if season is not None else rows
+    return rows.select(F.col(c.ident).alias("player_id"), "season", "game_id", *c.stats).orderBy("player_id", "season", "game_id")
+
+
+#: Roles on each side, in the order in which a play's first player is taken, and in which its players are listed (fixed values).
+SIDES = {"offense": (("passer", "rusher", "receiver"), ("passer", "receiver", "rusher")), "defense": (("interceptor", "fumble_recoverer", "sacker", "tackler"), ("interceptor", "fumble_recoverer", "sacker", "tackler"))}
+
+
+def browse(
+    plays: DataFrame, positions: DataFrame, side: str, seasons: tuple[int, int] | None = None, game_type: str | None = "regular", play_type: str | None = None, position: str | None = None, player_id: int | None = None,
+    team: str | None = None, sort: str = "season", ascending: bool = False, offset: int = 0, limit: int | None = None,
+) -> DataFrame:
+    """Plays with a player on the given side: week, teams by resolved ids, first player, players with roles as text, and EPA.
+
+    Weeks count from the season's first game among the rows. ``team`` keeps the games of a team
+    and, if an id resolves to it, the plays in which that id has the ball (offense) or not
+    (defense). ``position`` keeps plays with a player of that position on the side.
+    Sorted by season, the last first, or by epa or yards_gained, nulls last; then by game and play.
     """
-    roles = ("interceptor", "sacker", "tackler") if side == "defense" else ("passer", "receiver", "rusher")
-    rows = plays.where(F.coalesce(*(F.col(f"{r}_id") for r in roles)).isNotNull())
-    rows = rows.where(F.col("defense_team" if side == "defense" else "possession_team") == team) if team else rows
-    players = F.array_compact(F.array(*(F.when(F.col(f"{r}_id").isNotNull(), F.struct(F.col(f"{r}_id").alias("player_id"), F.lit(r).alias("role"))) for r in roles)))
-    rows = rows.withColumn("players", players)
+    first, listed = SIDES[side]
+    ids = [F.col(f"{r}_id") for r in first]
+    rows = plays.where(F.coalesce(*ids).isNotNull())
+    rows = rows.where(F.col("season").between(*seasons)) if seasons else rows
+    rows = rows.where(F.col("game_type") == game_type) if game_type else rows
+    rows = rows.where(F.col("play_type") == play_type) if play_type else rows
+    known = plays.where(F.col("home_team").isNotNull())
+    known = known.where(F.col("season").between(*seasons)) if seasons else known
+    if team:
+        in_game = (F.col("home_team") == team) | (F.col("away_team") == team)
+        own = resolve_team_ids(known.where(in_game), "season").where(F.col("team") == team).select(F.col("id").alias("possession_team_id")).distinct()
+        rows = rows.where(in_game)
+        if not own.isEmpty():
+            rows = rows.where("possession_team_id is not null").join(own, "possession_team_id", "left_semi" if side == "offense" else "left_anti")
+    rows = rows.where(F.array_contains(F.array(*ids), F.lit(player_id))) if player_id is not None else rows
+    named = F.array_compact(F.array(*(F.when(F.col(f"{r}_id").isNotNull(), F.struct(F.col(f"{r}_id").alias("player_id"), F.lit(r).alias("role"))) for r in listed)))
+    rows = rows.withColumn("players", named)
     if position:
         wanted = positions.where(F.col("position") == position).select("player_id", "season")
         keys = rows.select("game_id", "play_index", "season", F.explode("players.player_id").alias("player_id")).join(wanted, ["player_id", "season"], "left_semi")
         rows = rows.join(keys.select("game_id", "play_index").distinct(), ["game_id", "play_index"], "left_semi")
-    first = F.coalesce(*(F.col(f"{r}_id") for r in roles))
-    out = rows.select("game_id", "play_index", "season", "play_type", F.col("possession_team").alias("off_team"), F.col("defense_team").alias("def_team"), first.alias("player_id"), F.array_join(F.transform("players", lambda x: F.concat_ws(":", x.role, x.player_id)), ",").alias("players"), "yards_gained", "epa")
-    return out.orderBy(F.desc_nulls_last(sort), "game_id", "play_index")
+    teams = resolve_team_ids(known, "season").select("season", F.col("id").alias("possession_team_id"), F.col("team").alias("off_team"))
+    rows = with_week(rows).join(teams, ["season", "possession_team_id"], "left")
+    other = F.when(F.col("off_team").isNotNull() & F.col("home_team").isNotNull() & F.col("away_team").isNotNull(), F.when(F.col("off_team") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team")))
+    told = F.array_join(F.transform("players", lambda x: F.concat_ws(":", x.role, x.player_id)), ",")
+    out = rows.select("game_id", "play_index", "season", "week", "play_type", "off_team", other.alias("def_team"), F.coalesce(*ids).alias("player_id"), told.alias("players"), "yards_gained", "epa")
+    order = F.desc("season") if sort == "season" else F.asc_nulls_last(sort) if ascending else F.desc_nulls_last(sort)
+    return paged(out.orderBy(order, "game_id", "play_index"), offset, limit)
 
 
 def positions_in_order(positions: DataFrame) -> DataFrame:

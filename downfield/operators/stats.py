@@ -20,7 +20,12 @@ def _sum(cond: Column, value: Column) -> Column:
 
 
 def regular(plays: DataFrame) -> DataFrame:
-    return plays.where(~is_two_point(F.col("description")))
+    return plays.where(~is_two_point(F.col("description"), any_case=False))
+
+
+def _first(team: str) -> Column:
+    """The team of the first play that has one."""
+    return F.min_by(team, F.when(F.col(team).isNotNull(), F.col("play_index"))).alias("team")
 
 
 def player_passing(plays: DataFrame) -> DataFrame:
@@ -30,17 +35,17 @@ def player_passing(plays: DataFrame) -> DataFrame:
     return regular(plays).where("passer_id is not null").groupBy("game_id", "passer_id").agg(
         _n(thrown & done).alias("comp"), _n(thrown).alias("att"), _sum(thrown & done, F.col("yards_gained")).alias("yards"), _n(thrown & done & F.col("touchdown")).alias("td"),
         _n(thrown & F.col("interception")).alias("interceptions"), _n(F.col("play_type") == "sack").alias("sacks"), _sum(F.col("play_type") == "sack", F.col("yards_gained")).alias("sack_yards"),
-        F.min_by("possession_team", "play_index").alias("team"),
+        _first("possession_team"),
     )
 
 
 def player_rushing(plays: DataFrame) -> DataFrame:
-    return regular(plays).where("rusher_id is not null AND play_type = 'rush'").groupBy("game_id", "rusher_id").agg(F.count("*").alias("att"), F.sum("yards_gained").cast("long").alias("yards"), _n(F.col("touchdown")).alias("td"), _n(F.col("fumble_lost")).alias("fumbles"), F.min_by("possession_team", "play_index").alias("team"))
+    return regular(plays).where("rusher_id is not null AND play_type = 'rush'").groupBy("game_id", "rusher_id").agg(F.count("*").alias("att"), F.sum("yards_gained").cast("long").alias("yards"), _n(F.col("touchdown")).alias("td"), _n(F.col("fumble_lost")).alias("fumbles"), _first("possession_team"))
 
 
 def player_receiving(plays: DataFrame) -> DataFrame:
     caught = regular(plays).where((F.col("play_type") == "pass") & F.col("receiver_id").isNotNull() & F.col("description").contains(", complete to"))
-    return caught.groupBy("game_id", "receiver_id").agg(F.count("*").alias("rec"), F.sum("yards_gained").cast("long").alias("yards"), _n(F.col("touchdown")).alias("td"), F.min_by("possession_team", "play_index").alias("team"))
+    return caught.groupBy("game_id", "receiver_id").agg(F.count("*").alias("rec"), F.sum("yards_gained").cast("long").alias("yards"), _n(F.col("touchdown")).alias("td"), _first("possession_team"))
 
 
 def player_defense(plays: DataFrame) -> DataFrame:
@@ -48,7 +53,7 @@ def player_defense(plays: DataFrame) -> DataFrame:
     who = {r: F.col(f"{r}_id") for r in ("tackler", "sacker", "interceptor", "fumble_recoverer")} | {"forcer": F.when(F.col("fumble"), F.coalesce("tackler_id", "sacker_id"))}
     roles = F.array(*(F.struct(F.lit(r).alias("role"), c.alias("player_id")) for r, c in who.items()))
     rows = plays.select("game_id", "play_index", "defense_team", F.explode(roles).alias("r")).where("r.player_id is not null")
-    return rows.groupBy("game_id", F.col("r.player_id").alias("player_id")).agg(*(_n(F.col("r.role") == r).alias(n) for r, n in (("tackler", "tackles"), ("sacker", "sacks"), ("interceptor", "interceptions"), ("fumble_recoverer", "fumble_recoveries"), ("forcer", "forced_fumbles"))), F.min_by("defense_team", "play_index").alias("team"))
+    return rows.groupBy("game_id", F.col("r.player_id").alias("player_id")).agg(*(_n(F.col("r.role") == r).alias(n) for r, n in (("tackler", "tackles"), ("sacker", "sacks"), ("interceptor", "interceptions"), ("fumble_recoverer", "fumble_recoveries"), ("forcer", "forced_fumbles"))), _first("defense_team"))
 
 
 def team_games(plays: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from downfield.functions.context import half_seconds
+from downfield.operators import curves as C
 from downfield.operators import drives as D
 from downfield.operators import games as G
 from downfield.plans.queries import CONTEXT, DRIVES, EPA, _context, _epa, query
@@ -88,8 +88,7 @@ def d7_drive_starts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(EPA + STARTS.format(src="epa") + " SELECT CAST(floor(yl100 / 5) * 5 AS BIGINT) AS yards, avg(ep_before) AS avg_ep, count(*) AS n FROM st WHERE ep_before IS NOT NULL GROUP BY 1 HAVING count(*) >= 30")
 def q29_ep_at_drive_starts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = G.drive_starts(_epa(spark, sf)).where("ep_before is not null")
-    return rows.groupBy((F.floor(F.col("yl100") / 5) * 5).cast("long").alias("yards")).agg(F.avg("ep_before").alias("avg_ep"), F.count("*").alias("n")).where("n >= 30")
+    return C.points_at_starts(G.drive_starts(_epa(spark, sf)))
 
 
 @query(DRIVES + """, r AS (SELECT *, CAST(greatest(least(yl100, 100), 0) AS DOUBLE) AS span_start FROM drv WHERE play_type IN ('pass','rush','sack') AND yl100 IS NOT NULL),
@@ -127,10 +126,9 @@ def p8_game_teams(spark: SparkSession, sf: str) -> DataFrame:
     return G.game_teams(plays(spark, sf))
 
 
-@query(EPA + f" SELECT CAST(floor({SECONDS} / 60) AS BIGINT) AS minute, down, avg(ep_before) AS avg_ep, count(*) AS n FROM epa WHERE ep_before IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10")
+@query(EPA + f" SELECT CAST(floor({SECONDS} / 60) AS BIGINT) AS minute, down, avg(ep_before) AS avg_ep, count(*) AS n FROM epa WHERE ep_before IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100")
 def q28_ep_by_minute(spark: SparkSession, sf: str) -> DataFrame:
-    minute = F.floor(half_seconds(F.col("quarter"), F.col("clock")) / 60).cast("long")
-    return _epa(spark, sf).where("ep_before is not null").groupBy(minute.alias("minute"), "down").agg(F.avg("ep_before").alias("avg_ep"), F.count("*").alias("n")).where("n >= 10")
+    return C.points_by_minute(_epa(spark, sf))
 
 
 SHARES = "count(*) AS n, " + ", ".join(f"100 * avg(CASE WHEN play_type IN ({t}) THEN 1.0 ELSE 0.0 END) AS {n}_pct" for n, t in (("go", "'pass','rush','sack'"), ("punt", "'punt'"), ("fg", "'field_goal'")))
@@ -143,10 +141,10 @@ def q31_fourth_downs_by_minute(spark: SparkSession, sf: str) -> DataFrame:
     return G.fourth_downs(_context(spark, sf), by="minute")
 
 
-for _score, _sign in (("winning", ">"), ("losing", "<"), ("tied", "=")):
+for _score, _where in (("", ""), ("winning", f" AND {LEAD} > 0"), ("losing", f" AND {LEAD} < 0"), ("tied", f" AND {LEAD} = 0")):
 
-    def _fourth(spark: SparkSession, sf: str, score: str = _score) -> DataFrame:
-        return G.fourth_downs(_scores(spark, sf), score=score, at_least=5)
+    def _fourth(spark: SparkSession, sf: str, score: str = _score or "all") -> DataFrame:
+        return G.fourth_downs(_scores(spark, sf), score=score)
 
-    _fourth.__name__ = f"q30_fourth_downs_{_score}"
-    query(SCORES + f" SELECT CAST(floor(yl100 / 5) * 5 AS BIGINT) AS yards, {SHARES} FROM sc WHERE {FOURTH} AND yl100 BETWEEN 1 AND 99 AND {LEAD} {_sign} 0 GROUP BY 1 HAVING count(*) >= 5")(_fourth)
+    _fourth.__name__ = f"q30_fourth_downs_{_score}".rstrip("_")
+    query(SCORES + f" SELECT CAST(floor(yl100 / 5) * 5 AS BIGINT) AS yards, {SHARES} FROM sc WHERE {FOURTH} AND yl100 BETWEEN 1 AND 99{_where} GROUP BY 1 HAVING count(*) >= 20")(_fourth)

@@ -9,6 +9,7 @@ from downfield.functions.parse import parse_plays
 from downfield.operators import identity as I
 from downfield.plans.queries import query
 from downfield.sources.projection import plays
+from downfield.sources.tables import written
 
 _LETTERS = (("passer", "A"), ("rusher", "B"), ("receiver", "C"), ("tackler", "D"), ("sacker", "D"), ("interceptor", "I"))
 #: Roles that a text of the games names, from its ids; even seasons write the first name first.
@@ -30,6 +31,11 @@ def _mentions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("name", F.when(F.col("season") % 2 == 0, turned).otherwise(F.concat(F.regexp_replace("name", r"\.$", ""), F.lit("."))))
 
 
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions with keys; texts are parsed once, as several steps read the names."""
+    return I.with_player_key(written(_mentions(spark, sf), "mentions"))
+
+
 @query(MENTIONS + " SELECT season, game_id, play_index, role, name, team FROM mn")
 def r1_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return _mentions(spark, sf).select("season", "game_id", "play_index", "role", "name", "team")
@@ -37,12 +43,12 @@ def r1_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(PEOPLE + " SELECT * FROM people")
 def r2_players(spark: SparkSession, sf: str) -> DataFrame:
-    return I.players(I.with_player_key(_mentions(spark, sf)))
+    return I.players(_keyed(spark, sf))
 
 
 @query(PEOPLE + " SELECT DISTINCT player_id, ky.name, season, team FROM ky JOIN people USING (player_key)")
 def r5_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    keyed = I.with_player_key(_mentions(spark, sf))
+    keyed = _keyed(spark, sf)
     return I.aliases(keyed, I.players(keyed))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from downfield.operators import curves as C
 from downfield.operators import games as G
 from downfield.operators import leaders as L
 from downfield.operators import stats as S
@@ -97,11 +98,6 @@ def q5_team_seasons(spark: SparkSession, sf: str) -> DataFrame:
     return rows.orderBy(F.desc("total_yards"), "season", "team")
 
 
-@query(GAMES + tail("gr", "a1_player_passing") + " SELECT passer_id, season, game_id, comp, att, yards, td, interceptions FROM gr JOIN gi USING (game_id)")
-def q6_passing_logs(spark: SparkSession, sf: str) -> DataFrame:
-    return _game_rows(spark, sf, "passing").select("passer_id", "season", "game_id", "comp", "att", "yards", "td", "interceptions").orderBy("passer_id", "season", "game_id")
-
-
 @query(EPA + " SELECT game_id, play_index, quarter, clock, play_type, possession_team, ep_before, ep_after, epa FROM epa")
 def q12_plays_with_epa(spark: SparkSession, sf: str) -> DataFrame:
     return _epa(spark, sf).select("game_id", "play_index", "quarter", "clock", "play_type", "possession_team", "ep_before", "ep_after", "epa").orderBy("game_id", "play_index")
@@ -135,19 +131,6 @@ for _side, _who, _nr in (("offense", "team", 17), ("defense", "opponent", 18)):
     )(_dash)
 
 
-for _side, _order in (("offense", ("passer", "receiver", "rusher")), ("defense", ("interceptor", "sacker", "tackler"))):
-
-    def _browse(spark: SparkSession, sf: str, side: str = _side) -> DataFrame:
-        return L.browse(_epa(spark, sf), positions(spark, sf), side, position="WR" if side == "offense" else "CB")
-
-    _browse.__name__ = f"q24_browse_{_side}"
-    _ids = ", ".join(f"{r}_id" for r in _order)
-    query(
-        EPA + POSITIONS_SQL + f" SELECT game_id, play_index, season, play_type, possession_team AS off_team, defense_team AS def_team, coalesce({_ids}) AS player_id, concat_ws(',', " + ", ".join(f"'{r}:' || {r}_id" for r in _order)
-        + f") AS players, yards_gained, epa FROM epa e WHERE coalesce({_ids}) IS NOT NULL AND EXISTS (SELECT 1 FROM positions p WHERE p.season = e.season AND p.position = '{'WR' if _side == 'offense' else 'CB'}' AND p.player_id IN ({_ids}))"
-    )(_browse)
-
-
 @query(tail("te", "h6_team_epa") + ", m AS (SELECT *, avg(epa_per_play) OVER g AS mid, greatest(max(epa_per_play) OVER g - avg(epa_per_play) OVER g, avg(epa_per_play) OVER g - min(epa_per_play) OVER g) AS h FROM te WINDOW g AS (PARTITION BY season, side)) SELECT team, season, game_type, side, epa_per_play, coalesce(least(abs(epa_per_play - mid) / nullif(h, 0), 1.0), 0.0) AS heat FROM m")
 def q32_team_heat(spark: SparkSession, sf: str) -> DataFrame:
     return L.with_heat(S.team_epa(_epa(spark, sf)), "epa_per_play", "season", "side").select("team", "season", "game_type", "side", "epa_per_play", "heat")
@@ -155,7 +138,7 @@ def q32_team_heat(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(tail("c", "q27_ep_by_yardline") + " SELECT yards, " + ", ".join(f"max(CASE WHEN down = {d} THEN avg_ep END) AS value_{d}, coalesce(max(CASE WHEN down = {d} THEN n END), 0) AS n_{d}" for d in (1, 2, 3, 4)) + " FROM c GROUP BY yards")
 def q33_ep_series(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _epa(spark, sf).where("ep_before is not null").groupBy((F.floor(F.col("yl100") / 5) * 5).alias("yards"), "down").agg(F.avg("ep_before").alias("avg_ep"), F.count("*").alias("n")).where("n >= 10")
+    rows = C.points_by_yards(_epa(spark, sf))
     return L.series(rows, "yards", "down", [1, 2, 3, 4], "avg_ep")
 
 

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from downfield.functions.context import distance_bucket, half, half_seconds, scrimmage, yardline_100
+from downfield.functions.context import half, half_seconds, loaded_half_seconds, scrimmage, yardline_100
 from downfield.functions.names import last_first, normalized
 from downfield.functions.parse import parse_plays
+from downfield.operators import curves as C
 from downfield.operators import drives as D
 from downfield.operators import stats as S
 from downfield.sources.projection import plays, sql
+from downfield.sources.tables import repeated_plays
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,9 +86,24 @@ def _epa(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(" SELECT * FROM plays")
 def s2_plays(spark: SparkSession, sf: str) -> DataFrame:
+    """The plays as stored and read again."""
     return plays(spark, sf)
 
 
+@query(""" SELECT game_id, play_index, CASE WHEN play_index % 7 = 0 THEN NULL WHEN quarter >= 5 THEN 0 ELSE CAST(split_part(clock, ':', 1) AS INT) * 60 + CAST(split_part(clock, ':', 2) AS INT) + CASE WHEN quarter IN (1, 3) THEN 900 ELSE 0 END END AS half_seconds FROM plays""")
+def f1_loaded_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """Seconds as tables store them; each seventh clock can't be read."""
+    clock = F.when(F.col("play_index") % 7 == 0, F.lit("x:y")).otherwise(F.col("clock"))
+    return plays(spark, sf).select("game_id", "play_index", loaded_half_seconds(F.col("quarter"), clock).alias("half_seconds"))
+
+
+@query(" SELECT game_id, play_index, CAST(2 AS BIGINT) AS n FROM plays WHERE game_id % 5 = 0 AND play_index % 50 = 3")
+def d4_repeated_plays(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys of rows that were loaded twice."""
+    base = plays(spark, sf).select("game_id", "play_index")
+    return repeated_plays(base.unionByName(base.where("game_id % 5 = 0 AND play_index % 50 = 3")))
+
+
 @query("""SELECT game_id, play_index, play_type AS parsed_type, CASE WHEN passer_id IS NOT NULL THEN 'P' || CAST(passer_id AS VARCHAR) || ', A.' END AS passer, CASE WHEN rusher_id IS NOT NULL THEN 'P' || CAST(rusher_id AS VARCHAR) || ', B.' END AS rusher,
   CASE WHEN receiver_id IS NOT NULL THEN 'P' || CAST(receiver_id AS VARCHAR) || CASE WHEN interception THEN ', C' ELSE ', C.' END END AS receiver, CASE WHEN tackler_id IS NOT NULL THEN 'P' || CAST(tackler_id AS VARCHAR) || ', D.' END AS tackler, CASE WHEN sacker_id IS NOT NULL THEN 'P' || CAST(sacker_id AS VARCHAR) || ', D.' END AS sacker,
   CASE WHEN interceptor_id IS NOT NULL THEN 'P' || CAST(interceptor_id AS VARCHAR) || ', I.' END AS interceptor, CASE WHEN play_type IN ('pass', 'rush', 'sack') THEN CAST(yards_gained AS INT) END AS yards, fumble, fumble_lost, CASE WHEN fumble_recoverer_id IS NOT NULL THEN 'P' || fumble_recoverer_id || CASE WHEN fumble_lost THEN ', F.' ELSE ', B.' END END AS fumble_recoverer, CASE WHEN fumbler_id IS NOT NULL THEN 'P' || fumbler_id || ', B.' END AS fumbler, touchdown, interception, safety, fg_good FROM plays""")
@@ -131,7 +148,7 @@ def d1_drives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(CONTEXT + """, ev AS (SELECT *, CASE WHEN touchdown THEN 'td' WHEN pts = 3 THEN 'fg' WHEN pts = -2 THEN 'safety' END AS kind,
-  CASE WHEN (touchdown AND (interception OR fumble_lost)) OR (NOT touchdown AND pts = -2) THEN defense_team ELSE possession_team END AS scorer FROM ctx),
+  CASE WHEN NOT touchdown AND pts = -2 THEN defense_team ELSE possession_team END AS scorer FROM ctx),
 nx AS (SELECT *, first_value(CASE WHEN kind IS NOT NULL THEN {'k': kind, 't': scorer} END IGNORE NULLS) OVER (PARTITION BY game_id, half ORDER BY play_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM ev)
 SELECT game_id, play_index, CASE WHEN n IS NULL THEN 'no_score' WHEN n.t = possession_team THEN n.k || '_pos' ELSE n.k || '_neg' END AS next_score FROM nx""")
 def d3_next_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,30 +239,20 @@ def q16_epa_plus(spark: SparkSession, sf: str) -> DataFrame:
     return S.average_plus(S.team_epa(_epa(spark, sf)), "epa_per_play", "plays", ("side", "season", "game_type")).select("team", "season", "game_type", "side", "epa_per_play", "league", "plus")
 
 
-@query(EPA + " SELECT distance, down, avg(ep_before) AS avg_ep, count(*) AS n FROM epa WHERE ep_before IS NOT NULL AND distance <= 30 GROUP BY 1, 2 HAVING count(*) >= 10")
+@query(EPA + " SELECT distance, down, avg(ep_before) AS avg_ep, count(*) AS n FROM epa WHERE ep_before IS NOT NULL AND distance <= 30 GROUP BY 1, 2 HAVING count(*) >= 100")
 def q25_ep_by_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return _epa(spark, sf).where("ep_before is not null AND distance <= 30").groupBy("distance", "down").agg(F.avg("ep_before").alias("avg_ep"), F.count("*").alias("n")).where("n >= 10")
+    return C.points_by_distance(_epa(spark, sf))
 
 
 @query(EPA + """ SELECT down, CASE WHEN distance <= 3 THEN 'Short' WHEN distance <= 7 THEN 'Medium' WHEN distance <= 12 THEN 'Long' ELSE 'Very Long' END AS bucket, CASE WHEN play_type = 'sack' THEN 'pass' ELSE play_type END AS kind,
-  avg(CASE WHEN epa > 0 THEN 1.0 ELSE 0.0 END) AS success_rate, count(*) AS n FROM epa WHERE epa IS NOT NULL AND play_type IN ('pass','rush','sack') GROUP BY 1, 2, 3 HAVING count(*) >= 10""")
+  avg(CASE WHEN epa > 0 THEN 1.0 ELSE 0.0 END) AS success_rate, count(*) AS n FROM epa WHERE epa IS NOT NULL AND play_type IN ('pass','rush','sack') GROUP BY 1, 2, 3 HAVING count(*) >= 50""")
 def q26_success_by_down(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _epa(spark, sf).where("epa is not null AND play_type IN ('pass','rush','sack')")
-    kind = F.when(F.col("play_type") == "sack", "pass").otherwise(F.col("play_type"))
-    return rows.groupBy("down", distance_bucket(F.col("distance")).alias("bucket"), kind.alias("kind")).agg(F.avg((F.col("epa") > 0).cast("double")).alias("success_rate"), F.count("*").alias("n")).where("n >= 10")
+    return C.success_by_down(_epa(spark, sf))
 
 
-@query(EPA + " SELECT CAST(floor(yl100 / 5) * 5 AS BIGINT) AS yards, down, avg(ep_before) AS avg_ep, count(*) AS n FROM epa WHERE ep_before IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10")
+@query(EPA + " SELECT CAST(floor(yl100 / 5) * 5 AS BIGINT) AS yards, down, avg(ep_before) AS avg_ep, count(*) AS n FROM epa WHERE ep_before IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100")
 def q27_ep_by_yardline(spark: SparkSession, sf: str) -> DataFrame:
-    return _epa(spark, sf).where("ep_before is not null").groupBy((F.floor(F.col("yl100") / 5) * 5).alias("yards"), "down").agg(F.avg("ep_before").alias("avg_ep"), F.count("*").alias("n")).where("n >= 10")
-
-
-@query(CONTEXT + """ SELECT CAST(floor(yl100 / 5) * 5 AS BIGINT) AS yards, count(*) AS n, avg(CASE WHEN play_type IN ('pass','rush','sack') THEN 1.0 ELSE 0.0 END) AS go, avg(CASE WHEN play_type = 'punt' THEN 1.0 ELSE 0.0 END) AS punt,
-  avg(CASE WHEN play_type = 'field_goal' THEN 1.0 ELSE 0.0 END) AS fg FROM ctx WHERE down = 4 AND yl100 IS NOT NULL AND play_type IN ('pass','rush','sack','punt','field_goal') GROUP BY 1 HAVING count(*) >= 5""")
-def q30_fourth_downs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _context(spark, sf).where("down = 4 AND yl100 is not null AND play_type IN ('pass','rush','sack','punt','field_goal')")
-    share = lambda *t: F.avg(F.col("play_type").isin(*t).cast("double"))
-    return rows.groupBy((F.floor(F.col("yl100") / 5) * 5).alias("yards")).agg(F.count("*").alias("n"), share("pass", "rush", "sack").alias("go"), share("punt").alias("punt"), share("field_goal").alias("fg")).where("n >= 5")
+    return C.points_by_yards(_epa(spark, sf))
 
 
 @query(""" SELECT season, count(DISTINCT game_id) AS games, count(*) AS plays, CAST(sum(CASE WHEN play_type = 'pass' THEN 1 ELSE 0 END) AS BIGINT) AS passes, CAST(sum(CASE WHEN play_type = 'rush' THEN 1 ELSE 0 END) AS BIGINT) AS rushes,

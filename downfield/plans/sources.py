@@ -39,7 +39,7 @@ def _game_pages(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.split("m", r"<br/>\s*")
     image = F.coalesce(F.concat(F.lit('<img src="/logos/'), F.col("possession_team_id").cast("string"), F.lit('_s.png">')), F.lit(""))
     first = F.concat(F.lit("<tr>"), cell(image), cell(F.col("c")), cell(F.col("t")), cell(F.col("o")), cell(F.get(parts, F.lit(0)), ' class="c"'), F.lit("</tr>"))
-    more = F.transform(F.slice(parts, 2, 100), lambda p: F.concat(F.lit("<tr>"), *(cell(F.lit("")) for _ in range(4)), cell(p, ' class="d"'), F.lit("</tr>")))
+    more = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.lit("<tr>"), *(cell(F.lit("")) for _ in range(4)), cell(p, ' class="d"'), F.lit("</tr>")))
     body = F.when(F.col("play_type") == "quarter_marker", F.concat(F.lit("<tr><th colspan=5>"), F.col("head"), F.lit("</th></tr>"))).otherwise(F.concat(first, F.array_join(more, "")))
     body = F.when((F.col("quarter") == 5) & (F.col("play_index") % 200 == 190), F.concat(F.lit("<tr><th>Overtime</th></tr>"), body)).otherwise(body)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("play_index", body.alias("b")))), lambda x: x.b), "\n")
@@ -76,15 +76,32 @@ def s7_roster_pages(spark: SparkSession, sf: str) -> DataFrame:
     return P.roster_rows(who.groupBy("team").agg(html.alias("html")), "team")
 
 
-@query(" SELECT DISTINCT game_id, game_type FROM plays")
-def s8_result_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Games as a page of results for each season, with playoff games linked again on pages of their own, read back."""
+#: Games on a page of results at most; a page is a week, so that no page grows with the table.
+PAGE = 16
+
+
+def _result_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Games as pages of results with a header of each week, and playoff games linked again on pages of their own."""
     games = plays(spark, sf).select("season", "game_id", "game_type").distinct()
     order = F.when(F.col("game_type") == "preseason", 0).otherwise(1)
     row = F.concat(F.lit("<tr><td>"), F.when(order == 0, "Pre-Season Week 1").otherwise("Week 2"), F.lit('</td></tr><tr><td>at</td><td><a href="/Boxscores/'), F.col("game_id").cast("string"), F.lit('.html">box</a></td></tr>'))
-    pages = games.groupBy("season").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "game_id", row.alias("r")))), lambda x: x.r), "").alias("html"))
-    late = games.where("game_type = 'playoff'").select(F.concat(F.lit('<a href="Boxscore.html?id='), F.col("game_id").cast("string"), F.lit('">x</a>')).alias("html"))
-    return P.game_types(pages, "season", late)
+    page = F.concat_ws("-", "season", F.floor(F.col("game_id") / PAGE)).alias("page")
+    pages = games.groupBy(page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "game_id", row.alias("r")))), lambda x: x.r), "").alias("html"))
+    late = games.where("game_type = 'playoff'").select(F.concat(F.lit("late-"), F.col("game_id").cast("string")).alias("page"), F.concat(F.lit('<a href="Boxscore.html?id='), F.col("game_id").cast("string"), F.lit('">x</a> <a href="/Logs/'), F.col("game_id").cast("string"), F.lit('.html">y</a>')).alias("html"))
+    return pages, late
+
+
+@query(" SELECT DISTINCT game_id, game_type FROM plays")
+def s8_result_pages(spark: SparkSession, sf: str) -> DataFrame:
+    pages, late = _result_pages(spark, sf)
+    return P.game_types(pages, "page", late)
+
+
+@query(" SELECT CAST(game_id AS VARCHAR) AS link, CAST(CASE WHEN min(game_type) = 'playoff' THEN 2 ELSE 1 END AS BIGINT) AS pages FROM plays GROUP BY game_id")
+def s9_game_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links to games in their three forms; a page counts once."""
+    pages, late = _result_pages(spark, sf)
+    return P.links(pages.unionByName(late), "page")
 
 
 @query(""", l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) SELECT link, count(*) AS pages FROM l GROUP BY 1""")
@@ -112,6 +129,31 @@ def s13_player_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return T.upsert(seen("season < 28"), seen("season >= 28"), "player_id", widen=("first_season", "last_season"))
 
 
+@query(" SELECT game_id, min(season) AS season, CASE WHEN game_id % 4 = 0 THEN 'playoff' ELSE min(game_type) END AS game_type FROM plays GROUP BY 1")
+def s13_game_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Games of even ids, then each second of these again with another type and season, and those of odd ids: of an existing row just the type is replaced."""
+    rows = plays(spark, sf).groupBy("game_id").agg(F.min("season").alias("season"), F.min("game_type").alias("game_type"))
+    again = rows.where("game_id % 4 = 0").withColumn("game_type", F.lit("playoff")).withColumn("season", F.lit(0).cast("long"))
+    return T.upsert(rows.where("game_id % 2 = 0"), again.unionByName(rows.where("game_id % 2 = 1")), "game_id", only=("game_type",))
+
+
+@query(""", n AS (SELECT DISTINCT 'P' || passer_id AS name, season, passer_id, possession_team AS team FROM plays WHERE passer_id IS NOT NULL)
+SELECT name, season, max(CASE WHEN season % 2 = 0 THEN passer_id + 1000 ELSE passer_id END) AS player_id, max(CASE WHEN season % 2 = 0 THEN 'NEW' ELSE team END) AS team FROM n GROUP BY 1, 2""")
+def s13_name_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Names are unique with the season: those of even seasons come again with another id and team."""
+    rows = plays(spark, sf).where("passer_id is not null").select(F.concat(F.lit("P"), F.col("passer_id").cast("string")).alias("name"), "season", F.col("passer_id").alias("player_id"), F.col("possession_team").alias("team"))
+    again = rows.where("season % 2 = 0").withColumns({"player_id": F.col("player_id") + 1000, "team": F.lit("NEW")})
+    return T.upsert(rows, again, "name", "season")
+
+
+@query(""", m AS (SELECT DISTINCT rusher_id AS player_id, season FROM plays WHERE rusher_id IS NOT NULL)
+SELECT player_id, season, CASE WHEN player_id % 3 = 0 THEN 'FB' ELSE 'RB' END AS position FROM m""")
+def s13_position_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions are unique with player and season: a third of them come again with another position."""
+    rows = plays(spark, sf).where("rusher_id is not null").select(F.col("rusher_id").alias("player_id"), "season", F.lit("RB").alias("position")).distinct()
+    return T.upsert(rows, rows.where("player_id % 3 = 0").withColumn("position", F.lit("FB")), "player_id", "season")
+
+
 @query(" SELECT game_id % 10 + 1 AS bucket, count(*) AS plays, CAST(sum(CASE WHEN game_id % 10 + 1 >= 9 THEN 100 ELSE play_index END) AS BIGINT) AS marks FROM plays GROUP BY 1")
 def s14_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Plays in ten buckets of games; the last two are written anew."""
@@ -138,12 +180,26 @@ def f17_game_type_fill(spark: SparkSession, sf: str) -> DataFrame:
     return T.fill_game_type(rows, types)
 
 
-@query(tail("te", "h6_team_epa") + " SELECT DISTINCT team FROM te")
+@query(tail("te", "h6_team_epa") + " SELECT team, season, game_type, side, plays, total_epa, success_rate FROM te")
 def s11_csv_export(spark: SparkSession, sf: str) -> DataFrame:
     """Team EPA as CSV and back."""
     path = T.shared_folder(spark, "teams") + ".csv"
     T.export(S.team_epa(_epa(spark, sf)), path)
-    return spark.read.option("header", True).csv(path).select("team").distinct()
+    kinds = {"season": "long", "plays": "long", "total_epa": "double", "success_rate": "double"}
+    return spark.read.option("header", True).csv(path).select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in ("team", "season", "game_type", "side", "plays", "total_epa", "success_rate")))
+
+
+@query(tail("tg", "a5_team_games") + """, b AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY team) AS k FROM tg)
+ SELECT game_id, CASE WHEN k = 1 THEN 'away' ELSE 'home' END AS side, CAST(pass_yards AS INT) AS passing, CAST(pass_comp AS INT) AS comp, CASE WHEN game_id % 3 <> 0 THEN CAST(pass_att AS INT) END AS att, CAST(rush_yards AS INT) AS rushing, CAST(rush_att AS INT) AS rushes FROM b""")
+def s3_box_score_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Team games as box-score files, with attempts that are no number in each third game, read back."""
+    both = S.team_games(plays(spark, sf)).groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("team", *BOX))).alias("g"))
+    value = lambda n, c: F.get("g", F.lit(n)).getField(c).cast("string")
+    att = lambda n: F.when(F.col("game_id") % 3 == 0, F.lit("-")).otherwise(value(n, "pass_att"))
+    cols = [a for n, s in ((0, "a"), (1, "h")) for a in (value(n, "pass_yards").alias(f"{s}Passing"), value(n, "pass_comp").alias(f"{s}Comp"), att(n).alias(f"{s}Att"), value(n, "rush_yards").alias(f"{s}Rushing"), value(n, "rush_att").alias(f"{s}Rushes"))]
+    path = T.shared_folder(spark, "boxes")
+    both.select(F.col("game_id").alias("id"), *cols).write.json(path)
+    return T.read_box_scores(spark, path, multi_line=False)
 
 
 @query(" SELECT game_id, play_index, CAST(CASE WHEN down IS NOT NULL THEN coalesce(distance, 1) END AS INT) AS distance FROM plays")

@@ -13,7 +13,7 @@ from downfield.operators import identity as I
 from downfield.operators import leaders as L
 from downfield.operators import stats as S
 from downfield.plans.games import SECONDS
-from downfield.plans.identity import PEOPLE, _mentions
+from downfield.plans.identity import PEOPLE, _keyed
 from downfield.plans.leaders import GAME_ROWS, GAMES, _game_rows
 from downfield.plans.queries import EPA, _epa, query, tail
 from downfield.plans.sources import RAW, _raw
@@ -193,7 +193,7 @@ _ROLES = ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor")
 @query(PEOPLE + ", w AS (SELECT game_id, play_index, " + ", ".join(f"max(CASE WHEN role = '{r}' THEN player_id END) AS {r}_id" for r in _ROLES) + " FROM ky JOIN people USING (player_key) GROUP BY 1, 2) SELECT p.game_id, p.play_index, " + ", ".join(f"w.{r}_id" for r in _ROLES) + " FROM plays p LEFT JOIN w USING (game_id, play_index)")
 def r7_play_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of the identity queries at the plays whose texts name the players."""
-    keyed = I.with_player_key(_mentions(spark, sf))
+    keyed = _keyed(spark, sf)
     return I.attach_ids(plays(spark, sf).select("game_id", "play_index"), keyed, I.players(keyed), _ROLES)
 
 

@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from downfield.sources.tables import shared_folder
+
+#: Invented teams; their place here is their number, and the id that a possession has is one more.
+TEAMS = "ASH BRK CAN DOV ELM FAR GLD HIL"
 PLAYS_SQL = """
 WITH k AS (
   SELECT event_id AS e, CAST(floor(event_id / 200) AS BIGINT) AS game_id, event_id % 200 AS play_index,
@@ -27,17 +31,17 @@ g AS (
   FROM k),
 p AS (
   SELECT game_id, play_index, season, game_type, quarter, play_type, h1, h2, h3,
-         'T' || CAST(hm AS STRING) AS home_team, 'T' || CAST(aw AS STRING) AS away_team,
+         split_part('{teams}', ' ', CAST(hm + 1 AS INT)) AS home_team, split_part('{teams}', ' ', CAST(aw + 1 AS INT)) AS away_team,
          CASE WHEN play_type = 'quarter_marker' THEN NULL WHEN side = 0 THEN hm + 1 ELSE aw + 1 END AS possession_team_id,
          CASE WHEN side = 0 THEN aw + 1 ELSE hm + 1 END AS other_id,
          CAST(CAST(floor(clk / 60) AS BIGINT) AS STRING) || ':' || lpad(CAST(clk % 60 AS STRING), 2, '0') AS clock,
          CASE WHEN play_type IN ('pass','rush','sack','field_goal','punt','penalty') THEN 1 + h2 % 4 END AS down,
          CASE WHEN play_type IN ('pass','rush','sack','field_goal','punt','penalty') AND h3 % 41 <> 0 THEN 1 + h3 % 15 END AS distance,
          CASE WHEN play_type NOT IN ('quarter_marker','timeout') THEN 1 + h2 % 50 END AS yard_line,
-         CASE WHEN play_type NOT IN ('quarter_marker','timeout') THEN 'T' || CAST(CASE WHEN h3 % 2 = 0 THEN hm ELSE aw END AS STRING) END AS yard_line_team,
+         CASE WHEN play_type NOT IN ('quarter_marker','timeout') THEN split_part('{teams}', ' ', CAST(CASE WHEN h3 % 2 = 0 THEN hm ELSE aw END + 1 AS INT)) END AS yard_line_team,
          play_type = 'pass' AND h2 % 9 < 6 AND h2 % 37 <> 0 AS complete,
          CASE WHEN play_type = 'pass' AND h2 % 9 < 6 AND h2 % 37 <> 0 OR play_type = 'rush' THEN h3 % 23 - 3 WHEN play_type = 'sack' THEN -(h3 % 11) ELSE 0 END AS yards_gained,
-         (play_type = 'pass' AND h2 % 9 < 6 AND h2 % 37 <> 0 OR play_type = 'rush') AND h3 % 29 = 0 AS touchdown,
+         (play_type = 'pass' AND h2 % 9 < 6 AND h2 % 37 <> 0 OR play_type = 'rush') AND h3 % 29 = 0 OR play_type IN ('pass', 'rush') AND (h2 % 37 = 0 AND play_type = 'pass' OR h2 % 41 = 0 AND play_type = 'rush') AND h3 % 5 = 0 AS touchdown,
          play_type = 'pass' AND h2 % 37 = 0 AS interception,
          play_type = 'rush' AND h2 % 41 = 0 AND h3 % 29 <> 0 AS fumble_lost,
          play_type = 'rush' AND h2 % 43 = 0 AND h2 % 41 <> 0 AND h3 % 29 <> 0 AS fumble_kept,
@@ -45,8 +49,8 @@ p AS (
          CASE WHEN play_type = 'field_goal' THEN h2 % 5 <> 0 END AS fg_good
   FROM g)
 SELECT game_id, play_index, season, game_type, quarter, play_type, home_team, away_team, possession_team_id,
-       CASE WHEN possession_team_id IS NOT NULL THEN 'T' || CAST(possession_team_id - 1 AS STRING) END AS possession_team,
-       CASE WHEN possession_team_id IS NOT NULL THEN 'T' || CAST(other_id - 1 AS STRING) END AS defense_team,
+       CASE WHEN possession_team_id IS NOT NULL THEN split_part('{teams}', ' ', CAST(possession_team_id AS INT)) END AS possession_team,
+       CASE WHEN possession_team_id IS NOT NULL THEN split_part('{teams}', ' ', CAST(other_id AS INT)) END AS defense_team,
        clock, down, distance, yard_line, yard_line_team, yards_gained, complete, touchdown, interception, fumble_lost OR fumble_kept AS fumble, fumble_lost, safety, fg_good,
        CASE WHEN touchdown THEN h2 % 8 <> 0 END AS pat_good,
        play_type IN ('pass','rush') AND yards_gained >= coalesce(distance, 10) AS first_down,
@@ -60,28 +64,49 @@ SELECT game_id, play_index, season, game_type, quarter, play_type, home_team, aw
        CASE WHEN fumble_lost THEN other_id * 40 + 33 + h3 % 3 WHEN fumble_kept THEN possession_team_id * 40 + 10 + (h1 + 1) % 4 END AS fumble_recoverer_id,
        CASE play_type
          WHEN 'quarter_marker' THEN '15:00 - Quarter ' || CAST(quarter AS STRING)
-         WHEN 'kickoff' THEN CASE WHEN h3 % 3 = 0 THEN 'Kickoff by Wang, W. through the back of the endzone. Touchback.' ELSE 'Kickoff of ' || CAST(40 + h3 % 30 AS STRING) || ' yards. Returned by Dangle (C), Z. for ' || CAST(h3 % 35 AS STRING) || ' yards.' END
-         WHEN 'punt' THEN 'Punt by Robinson (R), T. of ' || CAST(30 + h3 % 25 AS STRING) || ' yards.'
-         WHEN 'field_goal' THEN CAST(20 + h3 % 35 AS STRING) || ' yard FG by Wang, W. is ' || CASE WHEN fg_good THEN 'good.' ELSE 'NO good.' END
+         WHEN 'kickoff' THEN CASE WHEN h3 % 3 = 0 THEN 'Kickoff by Ostrov, K. through the back of the endzone. Touchback.' ELSE 'Kickoff of ' || CAST(40 + h3 % 30 AS STRING) || ' yards. Returned by Marle (C), V. for ' || CAST(h3 % 35 AS STRING) || ' yards.' END
+         WHEN 'punt' THEN 'Punt by Tindel (R), H. of ' || CAST(30 + h3 % 25 AS STRING) || ' yards.'
+         WHEN 'field_goal' THEN CAST(20 + h3 % 35 AS STRING) || ' yard FG by Ostrov, K. is ' || CASE WHEN fg_good THEN 'good.' ELSE 'NO good.' END
          WHEN 'pass' THEN 'Pass by P' || CAST(possession_team_id * 40 + h1 % 2 AS STRING) || ', A.' ||
-              CASE WHEN interception THEN ', to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C..<br/> INTERCEPTION by P' || CAST(other_id * 40 + 36 + h3 % 3 AS STRING) || ', I. at the T0 - 42 yard line and returned for 4 yards.'
+              CASE WHEN interception THEN ', to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C..<br/> INTERCEPTION by P' || CAST(other_id * 40 + 36 + h3 % 3 AS STRING) || ', I. at the ASH - 42 yard line and returned for 4 yards.'
                    WHEN complete THEN ', complete to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C. for ' || CASE WHEN yards_gained = 0 THEN 'a short gain' ELSE CAST(yards_gained AS STRING) || ' yds' END || '. Tackle by P' || CAST(other_id * 40 + 30 + h3 % 6 AS STRING) || ', D..'
                    ELSE ' to P' || CAST(possession_team_id * 40 + 20 + h2 % 6 AS STRING) || ', C. falls incomplete.' END
          WHEN 'rush' THEN 'Rush by P' || CAST(possession_team_id * 40 + 10 + h1 % 4 AS STRING) || ', B. for ' || CASE WHEN yards_gained = 0 THEN 'a short gain' ELSE CAST(yards_gained AS STRING) || ' yds' END || '. Tackle by P' || CAST(other_id * 40 + 30 + h3 % 6 AS STRING) || ', D..' ||
-              CASE WHEN fumble_lost THEN '<br/> FUMBLE recovered by P' || CAST(other_id * 40 + 33 + h3 % 3 AS STRING) || ', F. at the T0 - 30 yard line and returned for 4 yards.'
+              CASE WHEN fumble_lost THEN '<br/> FUMBLE recovered by P' || CAST(other_id * 40 + 33 + h3 % 3 AS STRING) || ', F. at the ASH - 30 yard line and returned for 4 yards.'
                    WHEN fumble_kept THEN '<br/> FUMBLE by P' || CAST(possession_team_id * 40 + 10 + h1 % 4 AS STRING) || ', B., recovered by P' || CAST(possession_team_id * 40 + 10 + (h1 + 1) % 4 AS STRING) || ', B..' ELSE '' END
          WHEN 'sack' THEN 'P' || CAST(possession_team_id * 40 + h1 % 2 AS STRING) || ', A. is SACKED by P' || CAST(other_id * 40 + 30 + h3 % 6 AS STRING) || ', D. - DT for ' || CAST(yards_gained AS STRING) || ' yds.'
-         WHEN 'penalty' THEN 'SaberCats Penalty on Justice, T.: Delay of Game.'
-         WHEN 'timeout' THEN 'Timeout called by SJS'
+         WHEN 'penalty' THEN 'Herons Penalty on Quill, B.: Delay of Game.'
+         WHEN 'timeout' THEN 'Timeout called by ASH'
          WHEN 'spike' THEN 'P1, A. spikes the ball.'
          ELSE 'Offense kneels the ball.' END || CASE WHEN touchdown THEN '<br/>TOUCHDOWN!' ELSE '' END || CASE WHEN safety THEN '<br/>Safety!' ELSE '' END AS description
-FROM p"""
+FROM p""".replace("{teams}", TEAMS)
+
+
+PLAYS_SCHEMA = (
+    "game_id BIGINT, play_index BIGINT, season BIGINT, game_type STRING, quarter BIGINT, play_type STRING, home_team STRING, away_team STRING, possession_team_id BIGINT, possession_team STRING, defense_team STRING, clock STRING, "
+    "down BIGINT, distance BIGINT, yard_line BIGINT, yard_line_team STRING, yards_gained BIGINT, complete BOOLEAN, touchdown BOOLEAN, interception BOOLEAN, fumble BOOLEAN, fumble_lost BOOLEAN, safety BOOLEAN, fg_good BOOLEAN, pat_good BOOLEAN, first_down BOOLEAN, "
+    + ", ".join(f"{r}_id BIGINT" for r in ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor", "fumbler", "fumble_recoverer"))
+    + ", description STRING"
+)
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plays of all games as PLAYS_SQL makes them from the events."""
+    return spark.sql(PLAYS_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plays of all games, dealt by game: windows and sums of a game need no other exchange. The order within a game is play_index."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
-    return spark.sql(PLAYS_SQL, events=events).repartition("game_id")
+    """The plays of all games, read from a table that the session writes once to the shared folder: queries see stored columns and read those that they need.
+
+    The order within a game is play_index.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = shared_folder(spark, "plays")
+        projected(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema(PLAYS_SCHEMA).parquet(_WRITTEN[key])
 
 
 def sql(rest: str) -> str:

@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: what several steps read is made once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_games(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Files of games: a JSON array each, or with multi_line=False one game a line, which can be split."""
     return spark.read.schema(GAME).option("multiLine", multi_line).json(path)
@@ -62,6 +69,11 @@ def read_seasons(spark: SparkSession, path: str, seasons: list[int] | None = Non
     return df if preseason else df.where("game_type <> 'preseason'")
 
 
+def repeated_plays(plays: DataFrame) -> DataFrame:
+    """(game_id, play_index, n) of the keys that more than one row has; a sound table has none."""
+    return plays.groupBy("game_id", "play_index").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def season_list(season: int | None = None, season_range: str | None = None) -> list[int]:
     """The seasons of one number or of 'first-last'; exactly one of both must be given."""
     if (season is None) == (season_range is None):
@@ -89,17 +101,27 @@ def bucket(game_id: Column) -> Column:
     return F.pmod(game_id, F.lit(10)) + 1
 
 
-def upsert(old: DataFrame, new: DataFrame, *key: str, widen: tuple[str, ...] = ()) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, *key: str, widen: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
     """``new`` rows replace ``old`` rows of equal key. Columns of ``widen`` (first_…, last_…) take the smallest or largest of both.
 
-    Of equal keys on the same side the row with the largest values wins.
+    With ``only``, just these columns of an existing row are replaced. Of equal keys on the same
+    side the row with the largest values wins.
     """
     cols = [c for c in old.columns if c not in key]
     both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
     best = F.max(F.struct("__v", *cols)).alias("__row")
+    kept = F.max(F.when(F.col("__v") == 0, F.struct(*cols))).alias("__old")
     bounds = [(F.min if c.startswith("first") else F.max)(c).alias(f"__{c}") for c in widen]
-    rows = both.groupBy(*key).agg(best, *bounds)
-    return rows.select(*key, *(F.col(f"__{c}").alias(c) if c in widen else F.col(f"__row.{c}") for c in cols)).select(old.columns)
+    rows = both.groupBy(*key).agg(best, kept, *bounds)
+
+    def value(c: str) -> Column:
+        if c in widen:
+            return F.col(f"__{c}").alias(c)
+        if only is not None and c not in only:
+            return F.when(F.col("__old").isNotNull(), F.col(f"__old.{c}")).otherwise(F.col(f"__row.{c}")).alias(c)
+        return F.col(f"__row.{c}").alias(c)
+
+    return rows.select(*key, *map(value, cols)).select(old.columns)
 
 
 def fill_game_type(df: DataFrame, types: DataFrame, default: str = "regular") -> DataFrame:
