@@ -5,13 +5,16 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from downfield.functions.context import half_seconds, loaded_half_seconds
 from downfield.functions.names import initial_last, roster_key
 from downfield.functions.parse import filled_distance
+from downfield.operators import curves as C
 from downfield.operators import drives as D
 from downfield.operators import games as G
 from downfield.operators import identity as I
 from downfield.operators import leaders as L
 from downfield.operators import models as M
+from downfield.operators import stats as S
 from downfield.sources import pages as P
 from downfield.sources import tables as T
 
@@ -212,9 +215,9 @@ def test_season_lists():
             T.season_list(**bad)
 
 
-@pytest.mark.parametrize("name", ["m1_drive_model", "c1_model_epa", "m2_label_models", "m4_calibrated_labels"])
-def test_model_queries_fit_at_full_size(spark, monkeypatch, name):
-    """No query gives a smaller size than the operators', and no season of the split is fitted on but 25."""
+@pytest.mark.parametrize(("name", "size"), [("m1_drive_model", {}), ("c1_model_epa", {}), ("m2_label_models", {}), ("m4_calibrated_labels", {"iterations": 20})])
+def test_model_queries_and_their_split(spark, monkeypatch, name, size):
+    """The queries fit at the operators' size, but for the calibration, and on no season of the split but 25."""
     from downfield.plans import models as Q
 
     class Asked(Exception):
@@ -227,4 +230,71 @@ def test_model_queries_fit_at_full_size(spark, monkeypatch, name):
         monkeypatch.setattr(M, f, fit)
     with pytest.raises(Asked) as asked:
         getattr(Q, name)(spark, "/root/testdata/sf0.001")
-    assert asked.value.args == ({25, 28, 29}, (), {})
+    assert asked.value.args == ({25, 28, 29}, (), size)
+
+
+NEXT = "game_id long, play_index long, possession_team_id long, play_type string, touchdown boolean, interception boolean, fumble_lost boolean, safety boolean, fg_good boolean, pts int, half int"
+
+
+def test_next_scores(spark):
+    """Names play no part; a touchdown after a turnover counts for the side in possession; a safety for the other id."""
+    rows = [
+        (1, 0, 7, "rush", False, False, False, False, None, None, 1), (1, 1, None, "timeout", False, False, False, False, None, None, 1), (1, 2, 4, "pass", True, True, False, False, None, -7, 1),
+        (1, 3, 7, "sack", False, False, False, True, None, -2, 1), (1, 4, 4, "rush", False, False, False, False, None, None, 1),
+        (1, 5, 4, "field_goal", False, False, False, False, True, 3, 2), (2, 0, 9, "sack", False, False, False, True, None, -2, 1),
+    ]
+    got = [r.next_score for r in D.with_next_score(spark.createDataFrame(rows, NEXT)).orderBy("game_id", "play_index").collect()]
+    assert got == ["td_neg", "td_neg", "td_pos", "safety_neg", "no_score", "fg_pos", "safety_neg"]
+
+
+def test_box_scores_know_tries_as_written_and_first_known_teams(spark):
+    rows = [(1, 0, "Pass by A, complete to B for 3 yds. 2 point conversion", None), (1, 1, "Pass by A, complete to B for 3 yds. Conversion", None), (1, 2, "Pass by A, complete to B for 4 yds", "X"), (1, 3, "Pass by A to B falls incomplete", "Y")]
+    df = spark.createDataFrame(rows, "game_id long, play_index long, description string, possession_team string").withColumns({"play_type": F.lit("pass"), "passer_id": F.lit(5), "yards_gained": F.lit(3), "touchdown": F.lit(False), "interception": F.lit(False)})
+    got = S.player_passing(df).collect()[0]
+    assert (got.att, got.comp, got.team) == (3, 2, "X")
+
+
+def test_clocks_that_cannot_be_read(spark):
+    df = spark.createDataFrame([(1, "x:y"), (5, "x:y"), (5, "3:00"), (3, "1:05"), (None, "1:00"), (2, None)], "q int, c string")
+    got = [tuple(r) for r in df.select(half_seconds(F.col("q"), F.col("c")), loaded_half_seconds(F.col("q"), F.col("c"))).collect()]
+    assert got == [(0, None), (0, None), (0, 0), (965, 965), (60, None), (0, None)]
+    rows = spark.createDataFrame([(1, "A", 20, 1, "x:y", None, None)], "possession_team_id long, yard_line_team string, yard_line int, quarter int, clock string, half_seconds int, yl100 int")
+    assert D.backfill(rows, spark.createDataFrame([(1, ["A"])], "id long, teams array<string>")).collect()[0].half_seconds is None
+
+
+def test_curves_leave_small_groups_out(spark):
+    df = spark.createDataFrame([(1, 3, 0.5, 0.2, "pass")] * 4 + [(2, 3, 0.5, -0.2, "sack")] * 2, "down int, distance int, ep_before double, epa double, play_type string").withColumn("yl100", F.lit(42))
+    assert [(r.down, r.n) for r in C.points_by_distance(df, at_least=3).collect()] == [(1, 4)]
+    assert [(r.yards, r.n) for r in C.points_by_yards(df, at_least=4).collect()] == [(40, 4)]
+    assert [(r.down, r.kind, r.success_rate) for r in C.success_by_down(df, at_least=2).orderBy("down").collect()] == [(1, "pass", 1.0), (2, "pass", 0.0)]
+
+
+def test_merges_follow_chains(spark):
+    merges = spark.createDataFrame([(3, 2), (2, 1), (5, 4), (9, 9)], "removed long, kept long")
+    assert {r.removed: r.kept for r in I.followed(merges).collect()} == {3: 1, 2: 1, 5: 4}
+    with pytest.raises(ValueError, match="circle"):
+        I.followed(spark.createDataFrame([(1, 2), (2, 1)], "removed long, kept long"))
+    names = spark.createDataFrame([(1, "a", 25), (2, "b", 25), (2, "c", 26), (7, "d", 26)], "player_id long, name string, season int")
+    got = sorted(map(tuple, I.moved_rows(names, I.followed(merges), "season").collect()))
+    assert got == [(1, "a", 25), (1, "c", 26), (7, "d", 26)]
+    assert [r.player_id for r in I.without_removed(names, I.followed(merges)).collect()] == [7]
+
+
+def test_lists_and_unknown_categories(spark):
+    df = spark.createDataFrame([(1, k, 25 + k % 2, "pass", k) for k in range(6)], "game_id long, play_index long, season int, play_type string, passer_id long").withColumns({f"{r}_id": F.lit(None).cast("long") for r in ("rusher", "receiver", "tackler", "sacker", "interceptor")})
+    assert [r.play_index for r in L.play_list(df, season=25, offset=1, limit=1).collect()] == [2]
+    assert [r.play_index for r in L.play_list(df, player_id=4).collect()] == [4]
+    with pytest.raises(ValueError, match="kicking"):
+        L.game_logs(df, "kicking")
+    rows = spark.createDataFrame([("3-1", 1), ("10-0-1", 1), (None, 1)], "record string, k int")
+    assert {r.record: r["rank"] for r in L.ranked_by(rows, "record", "k").collect()} == {"10-0-1": 1, "3-1": 2, None: 3}
+
+
+def test_defensive_aliases_and_upserts(spark):
+    keyed = spark.createDataFrame([("tackler", "Sorel, J.", "sorel, j"), ("passer", "Sorel, J.", "sorel, j"), ("sacker", "Jon Sorel", "jon sorel"), ("tackler", "Nobody, N.", "nobody, n")], "role string, name string, player_key string")
+    aliases = spark.createDataFrame([("Sorel, J.", "Jon Sorel"), ("Nobody, N.", "Not There")], "name string, canonical string")
+    assert sorted(map(tuple, I.with_defensive_keys(keyed, aliases).collect())) == [("passer", "Sorel, J.", "sorel, j"), ("sacker", "Jon Sorel", "jon sorel"), ("tackler", "Nobody, N.", "nobody, n"), ("tackler", "Sorel, J.", "jon sorel")]
+    old, new = (spark.createDataFrame(r, "id long, season int, kind string") for r in ([(1, 5, "a")], [(1, 6, "b"), (2, 7, "c")]))
+    assert sorted(map(tuple, T.upsert(old, new, "id", only=("kind",)).collect())) == [(1, 5, "b"), (2, 7, "c")]
+    twice = spark.createDataFrame([(1, 1), (1, 1), (1, 2)], "game_id long, play_index long")
+    assert [tuple(r) for r in T.repeated_plays(twice).collect()] == [(1, 1, 2)]
