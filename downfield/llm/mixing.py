@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +91,27 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return mixed.select("*", F.explode("positions").alias("position")).drop("positions").sort("position", "doc_id")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(file, row, doc) of each row, doc being all of its columns: file and row are the same whenever the rows are read.
+
+    Rows as read from Parquet files have their file and place; rows from elsewhere are numbered in a written copy.
+    """
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    if docs.inputFiles():
+        try:
+            return docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), doc)
+        except AnalysisException:  # files without such places
+            pass
+    return written(docs.select(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"), doc), "rows")
+
+
 def mixed_rows(docs: DataFrame, **options: tuple | float) -> DataFrame:
     """The rows of docs (doc_id, source, text and others), each as often as the mix takes it, range-sorted by position.
 
-    Rows are numbered in a written table; only numbers, sizes and sources are mixed, and
-    the whole rows join the positions at the end.
+    docs: a table as read, or any rows; see numbered(). Only numbers, sizes and sources are
+    mixed, and the whole rows join the positions at the end.
     """
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
-    mixed = mix(rows.select("row", *(F.col(f"doc.{c}").alias(c) for c in ("doc_id", "source", "text"))), keep=("row",), **options)
-    spots = mixed.where("taken > 0").select("row", "doc_id", F.explode("positions").alias("position"))
-    return spots.join(rows, "row").sort("position", "doc_id", "row").select("doc.*")
+    rows = numbered(docs)
+    mixed = mix(rows.select("file", "row", *(F.col(f"doc.{c}").alias(c) for c in ("doc_id", "source", "text"))), keep=("file", "row"), **options)
+    spots = mixed.where("taken > 0").select("file", "row", "doc_id", F.explode("positions").alias("position"))
+    return spots.join(rows, ["file", "row"]).sort("position", "doc_id", "file", "row").select("doc.*")

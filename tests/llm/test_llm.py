@@ -4,7 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
-from math import log, log10
+from math import exp, log, log10
 
 import duckdb
 import numpy as np
@@ -349,12 +349,87 @@ def test_mix_follows_the_schedule(spark):
     assert max(r.n / r.target for r in early) > 0.55  # the first source's weight falls with time
 
 
-def test_pipeline_on_small_tables(spark):
-    import corpus_pipeline
+def _plain_score(model, text):
+    """Score by definition: a word at a time, all windows."""
+    e = [float(model.of_words([w])[0]) for w in toxicity.tokens(text)]
+    best = lambda n: max(sum(e[i : i + n]) / n for i in range(len(e) - n + 1)) if e else 0.0
+    x = [sum(e) / len(e) if e else 0.0, *(best(min(n, len(e))) for n in model.windows)]
+    return 1 / (1 + exp(-(sum(a * b for a, b in zip(x, model.weights[:-1], strict=True)) + model.weights[-1])))
 
-    assert len(corpus_pipeline.STAGES) == 5
-    out = corpus_pipeline.run(spark, SF)
-    assert set(out.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"} and out.count() > 0
+
+def _plain_near_copies(docs):
+    """The smallest id of each class of texts chained by a Jaccard similarity of 0.8 of their 5-word shingles, over all pairs."""
+    words = [(t or "").encode().lower().split() for _, t in docs]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if v == old else v for v in label]
+    return {min(docs[i][0] for i in range(len(docs)) if label[i] == v) for v in set(label)}
+
+
+def _plain_mix(docs):
+    """(position, doc_id) of all times that documents are taken; docs: (doc_id, text, source)."""
+    size = {i: len((t or "").encode().split()) for i, t, _ in docs}
+    source = sorted({s for *_, s in docs}, key=lambda s: (s is None, s))
+    whole = {s: sum(size[i] for i, _, o in docs if o == s) for s in source}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(source)}
+    ramp = {s: (-0.6, 0.0, 0.6)[k % 3] for k, s in enumerate(source)}
+    target, left, open_ = {}, 1.5 * sum(whole.values()), set(source)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 2 * whole[s]}
+        for s in full or set(open_):
+            target[s] = 2.0 * whole[s] if s in full else level * weight[s]
+            left -= target[s]
+        open_ -= full or set(open_)
+    out = []
+    for s in source:
+        ahead = 0
+        for i in sorted((i for i, _, o in docs if o == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+            passes = int(target[s] // whole[s]) if whole[s] else 0
+            times = passes + (2 * ahead + size[i] <= 2 * (target[s] - passes * whole[s])) if size[i] else 0
+            for p in range(times):
+                q, g = min((p * whole[s] + ahead) / target[s], 1.0), ramp[s]
+                out.append((q if not g else (((1 - g) ** 2 + 4 * g * q) ** 0.5 - (1 - g)) / (2 * g), i))
+            ahead += size[i]
+    return sorted(out)
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage in plain Python over the whole small table, each on what the one before kept."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as C
+    from downfield.llm.common import held_out, table
+    from downfield.llm.queries import CUT
+
+    tables = {n: table(spark, SF, n) for n in ("documents", "labels", "benchmark")}
+    model = toxicity.fit_toxicity(tables["documents"], tables["labels"], ~held_out(F.col("doc_id"), 3, 1))
+    docs = [(r.doc_id, r.text, r.source) for r in tables["documents"].collect()]
+    docs = [d for d in docs if _plain_score(model, d[1] or "") < CUT]
+    stay = _plain_near_copies([d[:2] for d in docs])
+    docs = [d for d in docs if d[0] in stay]
+    bad, items = set(), [(r.item_id, decontam.tokens((r.text or "").encode())) for r in tables["benchmark"].collect()]
+    seeds = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    seeds_of = [(w, seeds(w)) for _, w in items]
+    for i, text, _ in docs:
+        words = decontam.tokens((text or "").encode())
+        own = seeds(words)
+        for item, s in seeds_of:
+            if len(s & own) * 5 >= len(item) / 2 and sum(n for *_, n in _plain_tiling(item, words, 5)) * 2 >= len(item):
+                bad.add(i)
+    docs = [d for d in docs if d[0] not in bad]
+    mixed = _plain_mix(docs)
+    lib, text, start, want = Tokenizer.from_file(tokenizer_path()), {i: t for i, t, _ in docs}, 0, []
+    for i in sorted(i for _, i in mixed):
+        ids = np.array([*lib.encode(text[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in C.run(spark, SF).collect())
+    assert got == want and bad and len(stay) < len(tables["documents"].collect())
 
 
 def test_stages_on_odd_rows(spark, tmp_path):
@@ -444,9 +519,16 @@ def test_mixing_query_has_positions_in_order(spark):
     assert any(r.first_position < r.last_position for r in rows if r.taken > r.size)
 
 
-def test_mixing_stage_writes_training_order(spark):
+def test_mixing_stage_writes_training_order(spark, tmp_path):
     import corpus_pipeline as C
 
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "s0" if i % 3 else "s1") for i in range(600)], "doc_id long, text string, source string").repartition(5)
     want = sorted((p, r.doc_id) for r in mixing.mix(docs).collect() for p in r.positions)
     assert [r.doc_id for r in C.mix_sources(spark, docs, "").collect()] == [i for _, i in want]
+    path = f"file://{tmp_path}/docs"
+    docs.write.parquet(path)
+    read = spark.read.parquet(path)
+    assert set(mixing.numbered(read).select("file", "row").distinct().collect()).__len__() == 600
+    assert [r.doc_id for r in C.mix_sources(spark, read, "").collect()] == [i for _, i in want]
+    both = mixing.numbered(read.unionByName(read.limit(5)))  # rows of a file that are read twice are not one row
+    assert both.select("file", "row").distinct().count() == 605
