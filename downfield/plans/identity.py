@@ -11,22 +11,35 @@ from downfield.plans.queries import query
 from downfield.sources.projection import plays
 from downfield.sources.tables import written
 
-_LETTERS = (("passer", "A"), ("rusher", "B"), ("receiver", "C"), ("tackler", "D"), ("sacker", "D"), ("interceptor", "I"))
-#: Roles that a text of the games names, from its ids; even seasons write the first name first.
-MENTIONS = ", mn AS (" + " UNION ALL ".join(
-    f"SELECT season, game_id, play_index, '{r}' AS role, {r}_id AS pid, '{x}' AS letter, CASE WHEN season % 2 = 0 THEN '{x}nn P' || {r}_id ELSE 'P' || {r}_id || ', {x}.' END AS name, {'possession_team' if r in I.OFFENSE else 'defense_team'} AS team FROM plays WHERE {r}_id IS NOT NULL"
-    + (" AND play_type = 'pass'" if r == "receiver" else "")
+_LETTERS = (("passer", "A"), ("rusher", "B"), ("receiver", "C"), ("tackler", "D"), ("sacker", "D"), ("interceptor", "I"), ("fumbler", "B"))
+_ROLE_ORDER = sorted((*I.OFFENSE, *I.DEFENSE, *I.TEAMLESS))
+
+
+def _team_of(role: str) -> str:
+    return "possession_team" if role in I.OFFENSE else "defense_team" if role in I.DEFENSE else "CAST(NULL AS VARCHAR)"
+
+
+_ROWS = [
+    f"SELECT season, game_id, play_index, '{r}' AS role, {r}_id AS pid, 'P' || {r}_id AS stem, '{x}' AS letter, {_team_of(r)} AS team, '' AS tag FROM plays WHERE {r}_id IS NOT NULL" + (" AND play_type = 'pass'" if r == "receiver" else "")
     for r, x in _LETTERS
-) + ")"
-KEYED = MENTIONS + ", ky AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM mn o WHERE o.pid = mn.pid AND o.letter = mn.letter AND o.season % 2 = 1) OR season % 2 = 1 THEN 'p' || pid || ', ' || lower(letter) ELSE lower(letter) || 'nn p' || pid END AS player_key FROM mn)"
-PEOPLE = KEYED + """, pf AS (SELECT player_key, arg_min(name, season * 1e13::BIGINT + game_id * 100000 + play_index * 100 + CASE role WHEN 'interceptor' THEN 1 WHEN 'passer' THEN 2 WHEN 'receiver' THEN 3 WHEN 'rusher' THEN 4 WHEN 'sacker' THEN 5 ELSE 6 END) AS name, min({'s': season, 'g': game_id, 'p': play_index, 'r': role}) AS f,
+]
+_ROWS.append("SELECT season, game_id, play_index, 'fumble_recoverer', fumble_recoverer_id, 'P' || fumble_recoverer_id, CASE WHEN fumble_lost THEN 'F' ELSE 'B' END, NULL, '' FROM plays WHERE fumble_recoverer_id IS NOT NULL")
+_ROWS += [
+    f"SELECT season, game_id, play_index, '{r}', NULL, '{stem}', '{x}', {_team_of(r)}, '{tag}' FROM plays WHERE {cond}"
+    for r, stem, x, tag, cond in (("kicker", "Ostrov", "K", "", "play_type = 'field_goal' OR description LIKE 'Kickoff by%'"), ("kicker", "Tindel", "H", " (R)", "play_type = 'punt'"), ("returner", "Marle", "V", " (C)", "description LIKE 'Kickoff of%'"))
+]
+#: Roles that a text of the games names; even seasons write the first name first.
+MENTIONS = ", mn AS (SELECT *, CASE WHEN season % 2 = 0 THEN letter || 'nn ' || stem ELSE stem || tag || ', ' || letter || '.' END AS name FROM (" + " UNION ALL ".join(_ROWS) + "))"
+KEYED = MENTIONS + ", ky AS (SELECT *, CASE WHEN season % 2 = 1 OR EXISTS (SELECT 1 FROM mn o WHERE o.stem = mn.stem AND o.letter = mn.letter AND o.season % 2 = 1) THEN lower(stem) || ', ' || lower(letter) ELSE lower(letter) || 'nn ' || lower(stem) END AS player_key FROM mn)"
+_ORDER = "CASE role " + " ".join(f"WHEN '{r}' THEN {k}" for k, r in enumerate(_ROLE_ORDER)) + " END"
+PEOPLE = KEYED + f""", pf AS (SELECT player_key, arg_min(name, season * 1e13::BIGINT + game_id * 100000 + play_index * 100 + {_ORDER}) AS name, min({{'s': season, 'g': game_id, 'p': play_index, 'r': role}}) AS f,
   min(season) AS first_season, max(season) AS last_season, count(*) AS mentions FROM ky GROUP BY 1),
 people AS (SELECT row_number() OVER (ORDER BY f, player_key) AS player_id, player_key, name, first_season, last_season, mentions FROM pf)"""
 
 
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Names read from the texts; in even seasons turned to 'First Last', so that both forms occur."""
-    rows = I.mentions(parse_plays(plays(spark, sf)).drop("parsed_kicker", "parsed_returner", "parsed_fumbler", "parsed_fumble_recoverer"), "parsed_").where("name like 'P%'")
+    rows = I.mentions(parse_plays(plays(spark, sf)), "parsed_")
     turned = F.concat(F.regexp_extract("name", r", (\w)\.?", 1), F.lit("nn "), F.regexp_extract("name", r"^(\w+)", 1))
     return rows.withColumn("name", F.when(F.col("season") % 2 == 0, turned).otherwise(F.concat(F.regexp_replace("name", r"\.$", ""), F.lit("."))))
 

@@ -129,7 +129,7 @@ def q32_ranked_again(spark: SparkSession, sf: str) -> DataFrame:
     return L.ranked_by(S.team_epa(_epa(spark, sf)), "success_rate", "season", "game_type", "side").select("team", "season", "game_type", "side", "success_rate", "rank")
 
 
-@query(KEYED + " SELECT season, game_id, play_index, role, name, CASE WHEN role IN ('tackler', 'sacker', 'interceptor') AND pid % 40 = 30 AND name = 'P' || pid || ', D.' AND EXISTS (SELECT 1 FROM ky o WHERE o.player_key = 'p' || (ky.pid + 1) || ', d') THEN 'p' || (pid + 1) || ', d' ELSE player_key END AS player_key FROM ky")
+@query(KEYED + " SELECT season, game_id, play_index, role, name, CASE WHEN role IN ('tackler', 'sacker', 'interceptor', 'fumble_recoverer') AND pid % 40 = 30 AND name = 'P' || pid || ', D.' AND EXISTS (SELECT 1 FROM ky o WHERE o.player_key = 'p' || (ky.pid + 1) || ', d') THEN 'p' || (pid + 1) || ', d' ELSE player_key END AS player_key FROM ky")
 def r4_defensive_aliases(spark: SparkSession, sf: str) -> DataFrame:
     """Each first linebacker's short name is taken for the second's, in defensive roles only."""
     keyed = written(_keyed(spark, sf), "keyed")

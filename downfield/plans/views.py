@@ -187,7 +187,7 @@ def q9_totals(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count_distinct("season").alias("seasons"), F.count_distinct("game_id").alias("games"), F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("n"))).alias("plays"), F.count_distinct("player_id").alias("players"))
 
 
-_ROLES = ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor")
+_ROLES = ("passer", "rusher", "receiver", "kicker", "tackler", "sacker", "interceptor", "returner", "fumbler", "fumble_recoverer")
 
 
 @query(PEOPLE + ", w AS (SELECT game_id, play_index, " + ", ".join(f"max(CASE WHEN role = '{r}' THEN player_id END) AS {r}_id" for r in _ROLES) + " FROM ky JOIN people USING (player_key) GROUP BY 1, 2) SELECT p.game_id, p.play_index, " + ", ".join(f"w.{r}_id" for r in _ROLES) + " FROM plays p LEFT JOIN w USING (game_id, play_index)")
