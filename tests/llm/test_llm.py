@@ -512,7 +512,10 @@ def test_stage_removes_near_copies(spark):
 
 
 def test_mixing_query_has_positions_in_order(spark):
-    rows = QUERIES["op4_mixing"](spark, SF).collect()
+    df = QUERIES["op4_mixing"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(first_position" in plan and "Python" not in plan
+    rows = df.collect()
     first = [r.first_position for r in rows if r.taken]
     assert first and first == sorted(first) and all(0 <= r.first_position <= r.last_position <= 1 for r in rows if r.taken)
     assert all((r.first_position is None) == (r.taken == 0) for r in rows) and [bool(r.taken) for r in rows] == sorted((bool(r.taken) for r in rows), reverse=True)
