@@ -215,9 +215,9 @@ def test_season_lists():
             T.season_list(**bad)
 
 
-@pytest.mark.parametrize(("name", "size"), [("m1_drive_model", {}), ("c1_model_epa", {}), ("m2_label_models", {}), ("m4_calibrated_labels", {"iterations": 20})])
+@pytest.mark.parametrize(("name", "size"), [("m1_drive_model", {}), ("c1_model_epa", {}), ("m2_label_models", {"iterations": 20}), ("m4_calibrated_labels", {"iterations": 20})])
 def test_model_queries_and_their_split(spark, monkeypatch, name, size):
-    """The queries fit at the operators' size, but for the calibration, and on no season of the split but 25."""
+    """The regressions fit at the operators' size, labels with fewer iterations, and none on a season of the split but 25."""
     from downfield.plans import models as Q
 
     class Asked(Exception):
