@@ -15,7 +15,7 @@ turns. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, JOIN, END = "<|im_start|>", "<|im_join|>", "<|im_end|>\n"
@@ -55,18 +55,14 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
         (x["role"] == loss_role).alias("loss"),
     )
     pieces = turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    size = lambda p, *names: sum((F.length(p[n]).cast("long") for n in names), F.lit(0).cast("long"))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def add(held: Column, p: Column) -> Column:
-        span = F.struct((held["at"] + size(p, "before")).alias("start"), size(p, "body").alias("length"))
-        return F.struct((held["at"] + size(p, "before", "body", "after")).alias("at"), F.when(p["loss"], F.concat(held["spans"], F.array(span))).otherwise(held["spans"]).alias("spans"))
-
-    return pieces.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["body"], p["after"])), "").alias("formatted"),
-        F.aggregate("pieces", empty, add, lambda held: held["spans"]).alias("loss_spans"),
-    )
+    # Places are sums over the pieces before; the exchange by conversation serves the grouping, the sums and the second grouping.
+    size = lambda *names: sum((F.length(F.col(f"p.{n}")).cast("long") for n in names), F.lit(0).cast("long"))
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.select("conv_id", F.posexplode("pieces").alias("at", "p")).withColumn("place", F.coalesce(F.sum(size("before", "body", "after")).over(before), F.lit(0)))
+    part = F.struct("at", F.concat("p.before", "p.body", "p.after").alias("text"), (F.col("place") + size("before")).alias("start"), size("body").alias("length"), F.col("p.loss").alias("loss"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    spans = F.transform(F.filter("parts", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return whole.select("conv_id", F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def _by_turn(a: Column, b: Column) -> Column:

@@ -334,6 +334,14 @@ def test_chat_is_reversible(spark):
     assert [tuple(t) for t in out[2].t] == [("a\nb\\n", "<"), ("", "|>")] and out[None].loss == "ok"
 
 
+def test_long_chats_are_linear_and_keep_one_exchange(spark):
+    rows = spark.range(20000).selectExpr("id div 100000 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    out = chat.format_conversations(rows)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(conv_id") == 1
+    got = out.select(F.size("loss_spans").alias("n"), F.element_at("loss_spans", -1).alias("last"), "formatted").collect()[0]
+    assert got.n == 10000 and got.formatted[got.last.start : got.last.start + got.last.length] == "t19999"
+
+
 def test_rules_ablation(spark):
     held = rules.ledger(spark.createDataFrame([(1, "a b " * 40), (2, "few"), (3, " ".join(f"word{i}" for i in range(60)))], "doc_id long, text string"))
     assert {r.doc_id: r.kept for r in rules.apply_policy(held, "v1").collect()} == {1: False, 2: False, 3: True}
