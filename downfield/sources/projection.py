@@ -5,6 +5,7 @@ PLAYS_SQL is common to Spark and other engines. Every 200 events are a game.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,12 +102,16 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The order within a game is play_index.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
-        path = shared_folder(spark, "plays")
-        projected(spark, sf_dir).write.parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.schema(PLAYS_SCHEMA).parquet(_WRITTEN[key])
+    key, stored = (spark.sparkContext.applicationId, sf_dir), spark.read.schema(PLAYS_SCHEMA)
+    if key in _WRITTEN:
+        try:
+            return stored.parquet(_WRITTEN[key])
+        except AnalysisException:  # the folder was cleared since
+            pass
+    path = shared_folder(spark, "plays")
+    projected(spark, sf_dir).write.parquet(path)
+    _WRITTEN[key] = path
+    return stored.parquet(path)
 
 
 def sql(rest: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,13 @@ BOX = ("Passing", "Comp", "Att", "Rushing", "Rushes")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session names in spark.checkpoint.dir."""
+    """A new path in the folder that the session names in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='downfield-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
