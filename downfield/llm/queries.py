@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from downfield.llm import chat, decontam, lm, mixing, quality, rules, simhash, tokens, toxicity, warc
+from downfield.llm import chat, decontam, importance, lm, mixing, quality, repair, rules, simhash, substrings, tokens, toxicity, warc
 from downfield.llm.common import held_out, table, written
 
 #: From this score on a document counts as label 1.
@@ -80,10 +80,39 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score_quality(docs, model, ["doc_id"]), 4, 2)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(rows, repair.damage(rows))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_passages(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_warc, op3_simhash, op4_mixing, op5_decontamination, op6_chat, op7_quality_rules, op8_lm_scoring, op9_token_ids, op10_quality_classifier)
-}
+    for f in (
+        op1_toxicity, op2_warc, op3_simhash, op4_mixing, op5_decontamination, op6_chat, op7_quality_rules, op8_lm_scoring, op9_token_ids, op10_quality_classifier,
+        op11_importance_resampling, op12_conversation_repair, op13_substring_dedup,
+    )
+}
+
+#: crc32 of a text in SQL: the table of its 256 remainders, and a fold over the bytes.
+_CRC_TABLE = """t AS (
+  SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc32(text: str) -> str:
+    number = lambda at: f"(strpos('0123456789abcdef', substring(lower(hex(encode({text}))), {at}, 1)) - 1)"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda k: 16 * {number('2 * k + 1')} + {number('2 * k + 2')})"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
 
 _WORD = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL: dict[str, str] = {
@@ -136,5 +165,70 @@ b AS (SELECT *, CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 *
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits,
        CASE WHEN fail_bits IN (1, 2, 4, 8, 16) THEN count(*) OVER (PARTITION BY fail_bits) END AS removed_alone
 FROM b""",
+    "op11_importance_resampling": rf"""
+WITH {_CRC_TABLE},
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+e AS (SELECT r, f, count(*) AS n FROM (SELECT r, unnest(w) AS f FROM w) GROUP BY ALL),
+v AS (SELECT f, {_crc32('f')} % 10000 AS b FROM (SELECT f FROM e UNION SELECT f FROM q), t),
+s AS (SELECT b, sum(n) AS s FROM e JOIN v USING (f) GROUP BY b), g AS (SELECT b, count(*) AS t FROM q JOIN v USING (f) GROUP BY b),
+k AS (SELECT coalesce(sum(s), 0)::DOUBLE AS ss, (SELECT count(*) FROM q)::DOUBLE AS tt FROM s),
+a AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (ss + 10000) / ((s + 1.0::DOUBLE) * (tt + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN g ON s.b = g.b, k),
+m AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM e JOIN v USING (f) JOIN a USING (b) GROUP BY r),
+h AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+             list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substring(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), i, 1)) - 1)), lambda x, y: 16 * x + y) AS h
+      FROM w LEFT JOIN m USING (r)),
+c AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place, count(CASE WHEN n_features >= 20 THEN 1 END) OVER () AS able FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM o""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations),
+c1 AS (SELECT *, {_crc32('place')} % 20 AS m FROM c0, t),
+c2 AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE WHEN m = 1 THEN '' WHEN m = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy FROM c1 WHERE m <> 0),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stripped FROM c2),
+r AS (SELECT conv_id, i, turn, role, text, CASE substring(role, 1, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS who,
+             CASE WHEN stripped = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(stripped, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM c3),
+n AS (SELECT conv_id, count(*) AS n FROM r GROUP BY 1),
+b0 AS (SELECT r.*, n, fault IN (1, 2) AS must, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS more FROM r JOIN n ON r.conv_id IS NOT DISTINCT FROM n.conv_id),
+b AS (
+  SELECT conv_id, n AS i, 0 AS v0, 10 AS v1, 5 AS v2, 0 AS v3 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(r0, 5 + least(r2, 5 + r3)), least(r1, 5 + least(r2, 5 + r3)), least(r2, 5 + r3), least(r3, 5 + r2) FROM (
+    SELECT b.conv_id, b.i - 1 AS i,
+           least(2 + v0, CASE WHEN must THEN 1000000 ELSE more + least(1 + v2, CASE who WHEN 0 THEN v1 WHEN 1 THEN v2 ELSE 1000000 END) END) AS r0,
+           least(2 + v1, CASE WHEN must THEN 1000000 ELSE more + least(1 + v2, CASE who WHEN 1 THEN v2 ELSE 1000000 END) END) AS r1,
+           least(2 + v2, CASE WHEN must THEN 1000000 ELSE more + least(1 + v3, CASE who WHEN 2 THEN v3 ELSE 1000000 END) END) AS r2,
+           least(2 + v3, CASE WHEN must THEN 1000000 ELSE more + least(1 + v2, CASE who WHEN 1 THEN v2 ELSE 1000000 END) END) AS r3
+    FROM b JOIN b0 ON b.conv_id IS NOT DISTINCT FROM b0.conv_id AND b.i = b0.i)),
+v AS (SELECT conv_id, i, [v0, v1, v2, v3] AS v FROM b),
+f AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS told FROM n
+  UNION ALL
+  SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN who + 1 ELSE CASE WHEN s = 2 THEN 3 ELSE 2 END END, audit || e,
+         CASE e WHEN 'D' THEN told WHEN 'K' THEN list_append(told, role || ':' || text) ELSE list_append(told, CASE WHEN s = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT f.*, who, role, text,
+           CASE WHEN who IS NOT NULL AND 2 + x.v[s + 1] = h.v[s + 1] THEN 'D'
+                WHEN 5 + h.v[CASE WHEN s = 2 THEN 4 ELSE 3 END] = h.v[s + 1] THEN 'I'
+                WHEN NOT must AND (who = 0 AND s = 0 OR who = 1 AND s <> 2 OR who = 2 AND s = 2) AND more + x.v[who + 2] = h.v[s + 1] THEN 'K'
+                WHEN who IS NOT NULL THEN 'R' END AS e
+    FROM f JOIN v h ON h.conv_id IS NOT DISTINCT FROM f.conv_id AND h.i = f.i
+    LEFT JOIN v x ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.i = f.i + 1
+    LEFT JOIN b0 ON b0.conv_id IS NOT DISTINCT FROM f.conv_id AND b0.i = f.i + 1) WHERE e IS NOT NULL),
+z AS (SELECT f.conv_id, max_by(audit, len(audit)) AS audit, max_by(array_to_string(told, chr(10)), len(audit)) AS told FROM f GROUP BY f.conv_id),
+p AS (SELECT *, lag(who) OVER (PARTITION BY conv_id ORDER BY i) AS was FROM r),
+y AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(CASE WHEN fault = 1 THEN 1 END) AS blank, count(CASE WHEN fault = 2 THEN 1 END) AS duplicate, count(CASE WHEN fault = 3 THEN 1 END) AS truncated,
+             count(CASE WHEN was IS NOT NULL AND NOT (was = 0 AND who = 1 OR was = 1 AND who = 2 OR was = 2 AND who = 1) THEN 1 END) AS illegal FROM p GROUP BY conv_id)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(v.v[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM d.conv_id AND v.i = 0""",
+    "op13_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+x AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(len(w))) AS j, len(w) AS n FROM d),
+g AS (SELECT r, doc_id, word, j, CASE WHEN j + 50 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY j ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS h FROM x),
+m AS (SELECT h, min(doc_id) AS least FROM g WHERE h IS NOT NULL GROUP BY h),
+l AS (SELECT r, word, j, max(CASE WHEN least < doc_id OR (doc_id IS NULL AND least IS NOT NULL) THEN j END) OVER (PARTITION BY r ORDER BY j) AS last FROM g LEFT JOIN m USING (h)),
+k AS (SELECT r, count(CASE WHEN j - last < 50 THEN 1 END) AS n_removed, string_agg(CASE WHEN last IS NULL OR j - last >= 50 THEN word END, ' ' ORDER BY j) AS kept FROM l GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
 }
-
