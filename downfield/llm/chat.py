@@ -6,7 +6,8 @@ that the single turns can be read back. Every control string begins with ``<|``.
 Inside texts and roles a backslash becomes two and ``<|`` becomes ``<\\|``, so no text
 can hold a control string and the escape is undone in one pass; a line feed in a role
 becomes ``\\n``. The loss mask is a list of spans (start, length) in code points of the
-output: each assistant text once, without marks.
+output, and the same in bytes of its UTF-8 form (byte_start, bytes), by which it is read in
+time linear in the turns: each assistant text once, without marks.
 
 Null texts and roles are empty; a null turn sorts first; ties sort by role and text.
 Rows with a null conversation id form one conversation. Repeated rows are repeated
@@ -56,12 +57,13 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     )
     pieces = turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
     # Places are sums over the pieces before; the exchange by conversation serves the grouping, the sums and the second grouping.
-    size = lambda *names: sum((F.length(F.col(f"p.{n}")).cast("long") for n in names), F.lit(0).cast("long"))
+    count = lambda of, names: sum((of(F.col(f"p.{n}")).cast("long") for n in names), F.lit(0).cast("long"))
+    size, octets = (lambda *names: count(F.length, names)), (lambda *names: count(F.octet_length, names))
     before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.select("conv_id", F.posexplode("pieces").alias("at", "p")).withColumn("place", F.coalesce(F.sum(size("before", "body", "after")).over(before), F.lit(0)))
-    part = F.struct("at", F.concat("p.before", "p.body", "p.after").alias("text"), (F.col("place") + size("before")).alias("start"), size("body").alias("length"), F.col("p.loss").alias("loss"))
+    placed = pieces.select("conv_id", F.posexplode("pieces").alias("at", "p")).withColumns({name: F.coalesce(F.sum(of("before", "body", "after")).over(before), F.lit(0)) for name, of in (("place", size), ("byte", octets))})
+    part = F.struct("at", F.concat("p.before", "p.body", "p.after").alias("text"), (F.col("place") + size("before")).alias("start"), size("body").alias("length"), (F.col("byte") + octets("before")).alias("byte_start"), octets("body").alias("bytes"), F.col("p.loss").alias("loss"))
     whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    spans = F.transform(F.filter("parts", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    spans = F.transform(F.filter("parts", lambda x: x["loss"]), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "length", "byte_start", "bytes"))))
     return whole.select("conv_id", F.array_join(F.transform("parts", lambda x: x["text"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -89,8 +91,9 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The text under the mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The text under the mask, unescaped. Spans are cut out by bytes: code points would be counted from the start for each."""
+    cut = lambda b, s: F.substring(b, (s["byte_start"] + 1).cast("int"), s["bytes"].cast("int")).cast("string")
+    return F.get(F.transform(F.array(formatted.cast("binary")), lambda b: F.array_join(F.transform(spans, lambda s: unescape(cut(b, s))), "")), F.lit(0))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

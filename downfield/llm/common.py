@@ -108,17 +108,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def scored(df: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
-    """The columns keep of df and a double made from the text column, batch by batch on the executors.
+def whole_row(df: DataFrame, *columns: str) -> Column:
+    """One struct of the columns, or of all: operators carry it beside columns of their own, whatever names it holds."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in columns or df.columns))
+
+
+def scored_rows(df: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], keep: list[str], text: str = "text") -> DataFrame:
+    """(row, score): the columns keep of df as one struct, and a double made from the text column, batch by batch on the executors.
 
     make() builds the scoring function once per task.
     """
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    given = df.select(whole_row(df, *keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for b in batches:
-            values = score(b.column("text_").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(values, pa.float64())], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(score(b.column("body").to_pylist()), pa.float64())], names=["row", "score"])
 
-    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text_")).mapInArrow(run, schema)
+    return given.mapInArrow(run, T.StructType([given.schema["row"], T.StructField("score", T.DoubleType())]))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from downfield.llm.common import written
+from downfield.llm.common import whole_row, written
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
@@ -285,15 +285,16 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5, t
     """The rows of docs that reach the threshold with no item; columns stay."""
     items = _items(benchmark)
     if not _is_small(items, block_bytes):
-        rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "texts")
+        rows = written(docs.select(F.monotonically_increasing_id().alias("row"), whole_row(docs).alias("doc")), "texts")
         found = _joined(rows.select("row", F.coalesce(F.col(f"doc.{text}"), F.lit("")).alias("body")), items, seed, threshold)
         return rows.join(found.select("row").distinct(), "row", "left_anti").select("doc.*")
+    carried = docs.select(whole_row(docs).alias("row"), F.col(text).cast("binary").alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(_block(items, seed, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
+            texts = [x or b"" for x in batch.column("body").to_pylist()]
             bad = {d for d, *_ in matches(texts, shared.value, threshold)}
-            yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
+            yield batch.select(["row"]).filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return carried.mapInArrow(run, T.StructType([carried.schema["row"]])).select("row.*")

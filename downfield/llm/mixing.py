@@ -12,8 +12,8 @@ square root of the rows as prefixes, no window holds a source. A document is tak
 whole in each full pass and once more while its middle lies before the rest of the
 target.
 
-A null text has size 0; a null source is a source, the last in order; a null id has
-an order of its own in each row. Size 0 is never taken. Repeated rows are separate rows;
+A null text has size 0; a null source is a source, the last in order; rows without an id
+have the order of their text. Size 0 is never taken. Repeated rows are separate rows;
 rows of one id follow in order of size and text.
 """
 
@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from downfield.llm.common import words_of, written
+from downfield.llm.common import whole_row, words_of, written
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ramps: tuple[fl
     read once; what is sorted and joined is narrow, so keep should be, too.
     """
     skey = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
-    nameless = F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string"))
+    nameless = F.concat(F.lit("null "), F.coalesce("text", F.lit("")))
     order = F.md5(F.coalesce(F.col(key).cast("string"), nameless).cast("binary"))
     narrow = docs.select(F.col(key).alias("doc_id"), "source", skey.alias("skey"), F.size(words_of(F.col("text"))).cast("long").alias("size"), order.alias("order"), F.xxhash64("text").alias("tie"), *keep)
     narrow = written(narrow, "sizes")
@@ -96,7 +96,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
     Rows as read from Parquet files have their file and place; rows from elsewhere are numbered in a written copy.
     """
-    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    doc = whole_row(docs).alias("doc")
     if docs.inputFiles():
         try:
             return docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), doc)

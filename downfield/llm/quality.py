@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from downfield.llm.common import class_totals, fit_logistic, labelled_sample, scored, sigmoid
+from downfield.llm.common import class_totals, fit_logistic, labelled_sample, scored_rows, sigmoid
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(1099511628211)
@@ -140,7 +140,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str =
     return model
 
 
-def score_quality(df: DataFrame, model: QualityModel, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+def score_quality(df: DataFrame, model: QualityModel, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep of df and a score from 0 to 1."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -154,4 +154,4 @@ def score_quality(df: DataFrame, model: QualityModel, keep: list[str], text: str
 
         return score
 
-    return scored(df, make, keep, text, name)
+    return scored_rows(df, make, keep, text).select("row.*", "score")

@@ -68,15 +68,23 @@ class _Pieces(dict):
         self.tail, self.old = self if tail is None else tail, {}
 
     def _cut(self, piece: str) -> bytes | None:
-        """Ids of a piece cut before its closing marks and around a single line feed; None if it can't be cut."""
-        first, feed, rest = piece.partition("\n")
-        word = first.rstrip(_MARKS)
-        if not word or word == piece or not word[-1].isalpha() or (feed and (not rest or rest[0].isspace())):
-            return None
-        ids = self[word]
-        if word != first:
-            ids += self.tail[first[len(word) :]]
-        return ids + self.tail["\n"] + self.tail[rest] if feed else ids
+        """Ids of a piece cut before its closing marks and around single line feeds; None if it can't be cut. What follows the last place to cut is looked up whole."""
+        lines, found, of = piece.split("\n"), [], self
+        last = len(lines) - 1
+        for i, line in enumerate(lines):
+            word = line.rstrip(_MARKS)
+            if not word or not word[-1].isalpha() or (i == last and word == line) or (i < last and (not lines[i + 1] or lines[i + 1][0].isspace())):
+                if not i:
+                    return None
+                found.append(of["\n".join(lines[i:])])
+                break
+            found.append(of[word])
+            if word != line:
+                found.append(self.tail[line[len(word) :]])
+            if i < last:
+                found.append(self.tail["\n"])
+            of = self.tail
+        return b"".join(found)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 from math import exp, log, log10
@@ -29,7 +30,7 @@ def odd_docs(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cols = ", ".join(sorted(df.columns))
@@ -342,6 +343,35 @@ def test_long_chats_are_linear_and_keep_one_exchange(spark):
     assert got.n == 10000 and got.formatted[got.last.start : got.last.start + got.last.length] == "t19999"
 
 
+@pytest.mark.parametrize("turns", [20_000, 80_000])
+def test_long_chats_are_read_back_whole(spark, turns):
+    rows = spark.range(turns).selectExpr("0L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('<|ä', id) as text")
+    began = time.time()
+    (got,) = chat.digests(chat.format_conversations(rows)).collect()
+    assert time.time() - began < 60
+    told = "".join(f"{'assistant' if i % 2 else 'user'}\n<|ä{i}\n" for i in range(turns))
+    loss = "".join(f"<|ä{i}" for i in range(1, turns, 2))
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == (turns, hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_mix_without_ids_agrees_however_rows_lie(spark):
+    rows = [(None, f"w{i} " * (i % 7), f"s{i % 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, other = (sorted(mixing.mix(df.repartition(n), keep=("text",)).select("text", "size", "taken").collect()) for n in (1, 7))
+    assert one == other
+
+
+def test_tokens_of_many_lines():
+    """Texts of one-word lines, long ones too, and lines that can't be cut alone."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    plain, own = Tokenizer.from_file(path), tokens.CachingEncoder(path)
+    texts = ["\n".join(f"w{'abc'[i % 3]}x" for i in range(100_000)), "\n".join(["one,", "two.", "", " three", "four;", "5", "six", "seven!!"] * 300), "x\n" * 700, "\n" * 900, "a\n b\nc,\n\td", "end.\n"]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_rules_ablation(spark):
     held = rules.ledger(spark.createDataFrame([(1, "a b " * 40), (2, "few"), (3, " ".join(f"word{i}" for i in range(60)))], "doc_id long, text string"))
     assert {r.doc_id: r.kept for r in rules.apply_policy(held, "v1").collect()} == {1: False, 2: False, 3: True}
@@ -446,7 +476,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
 
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(3, long, "a", 1), (2, long, "a", 2), (2, long, "a", 2), (None, long, "a", 3), (None, "only here without an id", None, 4), (None, "only here without an id", None, 5), (7, None, "b", 6), (8, "", "b", 7), (9, "some other words stand here", None, 8)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, fp int").withColumns({"positions": F.lit("p"), "size": F.lit("s"), "order": F.lit("o"), "__flag": F.lit(True)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, fp int").withColumns({"positions": F.lit("p"), "size": F.lit("s"), "order": F.lit("o"), "__flag": F.lit(True), "text_": F.lit("t"), "__score": F.lit(0.9), "score": F.lit("s"), "a.b": F.lit(1), "row": F.lit(2), "body": F.lit("c"), "doc": F.lit(0)})
     kept = C.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, long), (7, None), (9, "some other words stand here"), (None, "only here without an id")], key=str)
