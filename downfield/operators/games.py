@@ -212,7 +212,7 @@ def fourth_downs(plays: DataFrame, by: str = "yards", score: str = "all", at_lea
     rows = rows.where("yl100 BETWEEN 1 AND 99") if by == "yards" else rows
     if score != "all":
         ahead = F.col("score_home") - F.col("score_away")
-        lead = F.when(F.col("possession_team") == F.col("home_team"), ahead).otherwise(-ahead)
+        lead = F.when(F.col("possession_team") == F.col("home_team"), ahead).when(F.col("possession_team") == F.col("away_team"), -ahead)  # unknown: no lead
         rows = rows.where({"winning": lead > 0, "losing": lead < 0, "tied": lead == 0}[score])
     share = lambda *t: F.avg(F.col("play_type").isin(*t).cast("double")) * 100
     return rows.groupBy(keys[by].alias(by)).agg(F.count("*").alias("n"), share("pass", "rush", "sack").alias("go_pct"), share("punt").alias("punt_pct"), share("field_goal").alias("fg_pct")).where(F.col("n") >= at_least)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.functions.parse import filled_distance, pattern_counts
 from downfield.operators import stats as S
 from downfield.plans.leaders import BOX
-from downfield.plans.queries import EPA, _epa, query, tail
+from downfield.plans.queries import EPA, TEAM, _epa, query, tail
+from downfield.operators import drives as D
 from downfield.sources import pages as P
+from downfield.sources import refresh as R
 from downfield.sources import tables as T
 from downfield.sources.projection import plays
+from downfield.sources.store import LEAST_BUCKETS
 
 #: Down and place as texts, as the game files hold them.
 DOWN = "CASE WHEN down IS NULL THEN '---' WHEN distance IS NULL THEN concat(down, 'th and inches') ELSE concat(down, 'th and ', distance) END"
@@ -32,12 +37,20 @@ def s1_game_files(spark: SparkSession, sf: str) -> DataFrame:
     return T.flatten_games(T.read_games(spark, path, multi_line=False)).select("game_id", F.col("play_index").cast("long").alias("play_index"), F.col("quarter").cast("long").alias("quarter"), "possession_team_id", "c", "t", "o", "m")
 
 
+#: A club as its pages write it.
+CLUB = "O'Neil & Caf\u00e9"
+
+
 def _game_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """A page a game: headers for the quarters, and each part of a text between line breaks as a row of its own."""
-    rows = _raw(spark, sf).withColumn("head", F.expr(HEADS))
-    cell = lambda c, css="": F.concat(F.lit(f"<td{css}>"), c, F.lit("</td>"))
-    parts = F.split("m", r"<br/>\s*")
-    image = F.coalesce(F.concat(F.lit('<img src="/logos/'), F.col("possession_team_id").cast("string"), F.lit('_s.png">')), F.lit(""))
+    """A page a game: headers for the quarters, and each part of a text between line breaks as a row of its own.
+
+    Texts have references for commas, points and what markup needs, cells white space and marks around the text, logos stand by a table of their own.
+    """
+    rows = _raw(spark, sf).withColumns({"head": F.expr(HEADS), "m": F.replace("m", F.lit("Herons"), F.lit(CLUB))})
+    told = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&#39;")), F.lit("\u00e9"), F.lit("&eacute;")), F.lit(", "), F.lit("&#44; ")), F.lit("."), F.lit("&#x2E;"))
+    cell = lambda c, css="": F.concat(F.lit(f"<td{css}>&nbsp;"), c, F.lit(" <!-- & --></td>"))
+    parts = F.transform(F.split("m", r"<br/>\s*"), told)
+    image = F.concat(F.lit("<table><tr><td>logo</td></tr></table>"), F.coalesce(F.concat(F.lit('<img src="/logos/'), F.col("possession_team_id").cast("string"), F.lit('_s.png">')), F.lit("")))
     first = F.concat(F.lit("<tr>"), cell(image), cell(F.col("c")), cell(F.col("t")), cell(F.col("o")), cell(F.get(parts, F.lit(0)), ' class="c"'), F.lit("</tr>"))
     more = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.lit("<tr>"), *(cell(F.lit("")) for _ in range(4)), cell(p, ' class="d"'), F.lit("</tr>")))
     body = F.when(F.col("play_type") == "quarter_marker", F.concat(F.lit("<tr><th colspan=5>"), F.col("head"), F.lit("</th></tr>"))).otherwise(F.concat(first, F.array_join(more, "")))
@@ -48,7 +61,7 @@ def _game_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(RAW + f""", all_rows AS (
   SELECT r.game_id, r.play_index * 2 AS place, r.quarter, CASE WHEN p.play_type = 'quarter_marker' THEN NULL ELSE r.possession_team_id END AS team_id, CASE WHEN p.play_type = 'quarter_marker' THEN '15:00' ELSE r.c END AS c, r.t, r.o,
-         CASE WHEN p.play_type = 'quarter_marker' THEN {HEADS.replace('quarter', 'r.quarter')} ELSE replace(r.m, '<br/> ', '<br/>') END AS m, CASE WHEN p.play_type = 'quarter_marker' THEN '' ELSE 'c' END AS css FROM raw r JOIN plays p USING (game_id, play_index)
+         CASE WHEN p.play_type = 'quarter_marker' THEN {HEADS.replace('quarter', 'r.quarter')} ELSE replace(replace(r.m, '<br/> ', '<br/>'), 'Herons', '{CLUB.replace("'", "''")}') END AS m, CASE WHEN p.play_type = 'quarter_marker' THEN '' ELSE 'c' END AS css FROM raw r JOIN plays p USING (game_id, play_index)
   UNION ALL SELECT game_id, play_index * 2 - 1, 5, NULL, '15:00', '---', '--', 'Overtime', '' FROM plays WHERE quarter = 5 AND play_index = 190)
 SELECT game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY quarter, place) - 1 AS INT) AS play_index, CAST(quarter AS INT) AS quarter, team_id, c, t, o, m, css FROM all_rows""")
 def s4_play_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,19 +73,19 @@ def s6_box_score_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Team games as box-score pages (the first team by name is away), read back."""
     both = S.team_games(plays(spark, sf)).groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("team", *BOX))).alias("g"))
     cell = lambda n, c: F.get("g", F.lit(n)).getField(c).cast("string")
-    row = lambda label, a, h: F.concat(F.lit(f"<tr><td>{label}</td><td>"), a, F.lit("</td><td>"), h, F.lit("</td></tr>"))
+    row = lambda label, a, h: F.concat(F.lit(f"<tr><td>{label.replace('/', '&#47;')}</td><td>&nbsp;<b>"), a, F.lit("</b></td><td>"), h, F.lit("&#160;</td></tr>"))
     half = lambda n: F.concat(cell(n, "pass_comp"), F.lit("/"), cell(n, "pass_att"))
     numbers = [row(label, cell(0, c), cell(1, c)) for label, c in (("Passing", "pass_yards"), ("Rushing", "rush_yards"), ("Rushing Attempts", "rush_att"))]
-    html = F.concat(F.lit("<table><tr><td>Scoring</td></tr></table><table><tr><td colspan=3>Team Stats</td></tr>"), row("Comp/Att", half(0), half(1)), *numbers, F.lit("</table>"))
+    html = F.concat(F.lit("<table><tr><td><table><tr><td>Scoring</td></tr></table><table><tr><td colspan=3>Team Stats</td></tr><tr><td><table><tr><td>Passing</td><td>1</td></tr></table></td></tr>"), row("Comp/Att", half(0), half(1)), *numbers, F.lit("</table></td></tr></table>"))
     return P.team_stats(both.select("game_id", html.alias("html")), "game_id").select("game_id", "side", "comp", "att", "passing", "rushing", "rushes")
 
 
-@query(" SELECT DISTINCT possession_team AS team, possession_team || ' City' AS team_name, 'Ann P' || passer_id AS name, passer_id AS index_player_id, CASE WHEN passer_id % 2 = 0 THEN 'OL' ELSE 'QB' END AS position, CASE WHEN passer_id % 3 <> 0 THEN CAST(50 + passer_id % 40 AS INT) END AS overall FROM plays WHERE passer_id IS NOT NULL")
+@query(" SELECT DISTINCT possession_team AS team, possession_team || ' City' AS team_name, 'Ann O''P' || passer_id || ' & Co' AS name, passer_id AS index_player_id, CASE WHEN passer_id % 2 = 0 THEN 'OL' ELSE 'QB' END AS position, CASE WHEN passer_id % 3 <> 0 THEN CAST(50 + passer_id % 40 AS INT) END AS overall FROM plays WHERE passer_id IS NOT NULL")
 def s7_roster_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Passers as roster pages of their teams, read back."""
     who = plays(spark, sf).where("passer_id is not null").select(F.col("possession_team").alias("team"), "passer_id").distinct()
-    row = F.expr("concat('<tr><td><a href=\"/player.html?x=1&amp;id=', passer_id, '\">Ann P', passer_id, '</a></td><td>', CASE WHEN passer_id % 2 = 0 THEN 'T' ELSE 'QB' END, '</td><td>', CASE WHEN passer_id % 3 <> 0 THEN CAST(50 + passer_id % 40 AS STRING) ELSE '-' END, '</td></tr>')")
-    html = F.concat(F.lit("<h1>"), F.col("team"), F.lit(" City (3-2-1)</h1><table><tr><td>Active Roster</td></tr><tr><th>Player</th><th>Pos</th><th>Ovr</th></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>"))
+    row = F.expr("concat('<tr><td><a href=\"/player.html?x=1&amp;id=', passer_id, '\">Ann O&#39;P', passer_id, ' &amp; Co&nbsp;</a></td><td>', CASE WHEN passer_id % 2 = 0 THEN 'T' ELSE 'QB' END, '</td><td>', CASE WHEN passer_id % 3 <> 0 THEN CAST(50 + passer_id % 40 AS STRING) ELSE '-' END, '</td></tr>')")
+    html = F.concat(F.lit("<h1>"), F.col("team"), F.lit(" C&#105;ty (3-2-1)</h1><table><tr><td>Active Roster</td></tr><tr><th>Player</th><th>Pos</th><th>Ovr</th></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>"))
     return P.roster_rows(who.groupBy("team").agg(html.alias("html")), "team")
 
 
@@ -164,6 +177,52 @@ def s14_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("plays"), F.sum("mark").alias("marks"))
 
 
+def _plays_epa(rows: DataFrame) -> DataFrame:
+    return D.with_epa(D.with_context(rows))
+
+
+#: Tables that follow the plays of a season.
+DERIVED: dict[str, R.Derive] = {
+    "play_epa": lambda rows: _plays_epa(rows).where("epa is not null").select("season", "game_id", "play_index", "ep_before", "ep_after", "epa"),
+    "team_epa": lambda rows: S.team_epa(_plays_epa(rows)),
+    "passer_epa": lambda rows: S.player_epa(_plays_epa(rows), "passer", ("pass", "sack")),
+    "team_games": S.team_games,
+}
+
+
+@query(TEAM + tail("tg", "a5_team_games") + """
+SELECT 'play_epa' AS kind, season, CAST(game_id AS VARCHAR) AS name, count(*) AS n, sum(epa) AS value FROM epa WHERE epa IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'team_epa', season, team || ' ' || side || ' ' || game_type, plays, total_epa FROM te
+UNION ALL SELECT 'passer_epa', season, passer_id || ' ' || game_type, count(*), sum(epa) FROM epa WHERE epa IS NOT NULL AND passer_id IS NOT NULL AND play_type IN ('pass', 'sack') AND game_type <> 'preseason' GROUP BY 2, 3
+UNION ALL SELECT 'team_games', season, game_id || ' ' || team, pass_att, rush_yards FROM tg""")
+def s14_refreshed_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables built when the games of the last two file buckets of seasons 28 and 29 were half played, then refreshed: they equal a full build."""
+    rows, folder = plays(spark, sf), T.shared_folder(spark, "refreshed")
+    half = rows.where(~(F.col("season").isin(28, 29) & (T.bucket(F.col("game_id")) > R.FILES - 2) & (F.col("play_index") >= 100)))
+    R.build_season_tables(half, folder, DERIVED, LEAST_BUCKETS)
+    R.refresh_last(rows, folder, [28, 29], DERIVED)
+    read = lambda name: spark.read.parquet(R.derived_path(folder, name)).withColumn("season", F.col("season").cast("long"))
+    text = lambda *c: F.concat_ws(" ", *c)
+    games = read("play_epa").groupBy("season", text("game_id").alias("name")).agg(F.count("*").alias("n"), F.sum("epa").alias("value"))
+    parts = {
+        "play_epa": games,
+        "team_epa": read("team_epa").select("season", text("team", "side", "game_type").alias("name"), F.col("plays").alias("n"), F.col("total_epa").alias("value")),
+        "passer_epa": read("passer_epa").select("season", text("player_id", "game_type").alias("name"), F.col("plays").alias("n"), F.col("epa").alias("value")),
+        "team_games": read("team_games").select("season", text("game_id", "team").alias("name"), F.col("pass_att").alias("n"), F.col("rush_yards").cast("double").alias("value")),
+    }
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(name)) for name, df in parts.items()])
+
+
+@query(""", p AS (SELECT passer_id AS player_id, min(season) AS first_season, max(season) AS last_season, CASE WHEN max(CASE WHEN season = 29 AND passer_id % 7 = 0 THEN 1 ELSE 0 END) = 1 THEN 'new' ELSE 'old' END AS name FROM plays WHERE passer_id IS NOT NULL AND (season < 29 OR passer_id % 7 = 0) GROUP BY 1) SELECT * FROM p""")
+def s13_pruned_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Passers in partitions by key; those of season 29 whose id is a multiple of 7 are merged into the partitions that they hit."""
+    rows, path = plays(spark, sf).where("passer_id is not null"), T.shared_folder(spark, "passers")
+    seen = lambda cond, name: rows.where(cond).groupBy(F.col("passer_id").alias("player_id")).agg(F.min("season").alias("first_season"), F.max("season").alias("last_season")).withColumn("name", F.lit(name))
+    R.write_dimension(seen("season < 29", "old"), path, "player_id")
+    R.upsert_dimension(spark, path, seen("season = 29 AND passer_id % 7 = 0", "new"), "player_id", widen=("first_season", "last_season"))
+    return R.read_dimension(spark, path)
+
+
 @query(EPA + " SELECT season, count(*) AS plays, sum(epa) AS epa FROM epa WHERE epa IS NOT NULL AND season >= 27 GROUP BY 1")
 def s17_stored_epa(spark: SparkSession, sf: str) -> DataFrame:
     """EPA of plays that have one, stored by season; a range of seasons is read."""

@@ -1,7 +1,13 @@
-"""Plays, links and game types from HTML pages, by patterns and windows over the rows of a page."""
+"""Plays, links and game types from HTML pages, by patterns and windows over the rows of a page.
+
+Text of a cell is that of its text nodes, decoded, each without white space around it and joined; rows and
+tables are cut by the depth of their tags, so a table within a cell breaks nothing.
+"""
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +25,38 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+#: Code points by name, and those that the numbers 128 to 159 stand for.
+_NAMED = ",".join(f"{name}:{point}" for name, point in sorted(name2codepoint.items()))
+_SHIFTED = ",".join(f"{n}:{ord(bytes([n]).decode('cp1252', 'replace'))}" for n in range(128, 160) if bytes([n]).decode("cp1252", "ignore"))
+_UNKNOWN = 0xFFFD
+
+
+def _letter(point: Column) -> Column:
+    """The character of a code point; what is none becomes the replacement character."""
+    valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+    known = F.when(valid, point).otherwise(_UNKNOWN)
+    return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+
+
+def decoded(text: Column) -> Column:
+    """Text with its references replaced: names of HTML 4, decimal and hexadecimal numbers; what is none of these stays as it is."""
+    named, shifted = (F.str_to_map(F.lit(x), F.lit(","), F.lit(":")) for x in (_NAMED, _SHIFTED))
+
+    def part(p: Column) -> Column:
+        number, digits, name = (F.regexp_extract(p, x, 1) for x in (r"^#([0-9]{1,9});?", r"^#[xX]([0-9a-fA-F]{1,7});?", r"^([A-Za-z][A-Za-z0-9]*);"))
+        told = F.when(number != "", number.cast("bigint")).when(digits != "", F.conv(digits, 16, 10).cast("bigint"))
+        point = F.coalesce(F.try_element_at(shifted, told.cast("string")).cast("bigint"), told, F.try_element_at(named, name).cast("bigint"))
+        rest = F.regexp_replace(p, r"^(#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,7};?|[A-Za-z][A-Za-z0-9]*;)", "")
+        return F.when(point.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(_letter(point), rest))
+
+    parts = F.split(text, "&", -1)
+    told = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), part), ""))
+    return F.when(F.contains(text, F.lit("&")), told).otherwise(text)
+
+
 def _text(cell: Column) -> Column:
-    return F.trim(F.regexp_replace(cell, r"<[^>]+>", ""))
+    nodes = F.split(F.regexp_replace(cell, r"(?s)<!--.*?-->", ""), r"<[^>]+>", -1)
+    return F.array_join(F.transform(nodes, lambda n: F.regexp_replace(decoded(n), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), "")
 
 
 def links(pages: DataFrame, key: str, html: str = "html", pattern: str = GAME_LINK) -> DataFrame:
@@ -30,15 +66,38 @@ def links(pages: DataFrame, key: str, html: str = "html", pattern: str = GAME_LI
 
 
 def table_rows(pages: DataFrame, key: str, html: str | Column = "html") -> DataFrame:
-    """One row a table row: ``key``, pos, row."""
+    """One row a table row, in the order in which they begin: ``key``, pos, row, which has the row's own markup without that of rows within it."""
     source = F.col(html) if isinstance(html, str) else html
-    return pages.select(key, F.posexplode(_all(source, "(?s)<tr.*?</tr>", 0)).alias("pos", "row"))
+    cut = pages.select(key, F.posexplode(F.split(source, r"(?i)(?=<tr[\s>])|(?<=</tr>)", -1)).alias("pos", "row"))
+    opens, closes = F.col("row").rlike(r"(?i)^<tr[\s>]").cast("int"), F.col("row").rlike(r"(?i)</tr>$").cast("int")
+    page = Window.partitionBy(key).orderBy("pos")
+    cut = cut.withColumn("opens", opens).withColumn("depth", F.sum("opens").over(page) - F.coalesce(F.sum(closes).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cut = cut.where("depth > 0").withColumn("nth", F.sum("opens").over(Window.partitionBy(key, "depth").orderBy("pos")))
+    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"]), "")
+    return cut.groupBy(key, "depth", "nth").agg(F.min("pos").alias("pos"), own.alias("row")).select(key, "pos", "row")
 
 
 def titled_table(html: Column, title: str) -> Column:
-    """The first table whose first row says just ``title``; null if none."""
-    first = lambda t: _text(F.regexp_extract(t, r"(?s)<tr[^>]*>(.*?)</tr>", 1)) == title
-    return F.get(F.filter(_all(html, "(?s)<table.*?</table>", 0), first), F.lit(0))
+    """The first table, at any depth, whose first cell says just ``title``, with what is within it; null if none."""
+    pieces = F.split(html, r"(?i)(?=<table[\s>])|(?=</table\s*>)", -1)
+    turn = lambda p: F.when(p.rlike(r"(?i)^<table[\s>]"), 1).when(p.rlike(r"(?i)^</table"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<text:string,turn:int,depth:int>>").alias("done"))
+
+    def step(a: Column, p: Column) -> Column:
+        depth = (a["depth"] + turn(p)).cast("int")
+        return F.struct(depth.alias("depth"), F.concat(a["done"], F.array(F.struct(p.alias("text"), turn(p).cast("int").alias("turn"), depth.alias("depth")))).alias("done"))
+
+    placed = F.aggregate(pieces, start, step, lambda a: a["done"])
+
+    def table(p: Column, i: Column, all_: Column) -> Column:
+        after = F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0)))
+        ends = F.array_position(F.transform(after, lambda x: (x["turn"] == -1) & (x["depth"] < p["depth"])), True)
+        inner = F.when(ends > 0, F.slice(after, F.lit(1), (ends - 1).cast("int"))).otherwise(after)
+        return F.when(p["turn"] == 1, F.concat(p["text"], F.array_join(F.transform(inner, lambda x: x["text"]), "")))
+
+    cell = lambda t: F.regexp_extract(t, r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", 1)
+    tables = F.array_compact(F.get(F.transform(F.array(placed), lambda a: F.transform(a, lambda p, i: table(p, i, a))), F.lit(0)))
+    return F.get(F.filter(tables, lambda t: (_text(cell(t)) == title) & ~cell(t).rlike(r"(?i)<table[\s>]")), F.lit(0))
 
 
 def play_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -101,7 +160,7 @@ def roster_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
     Columns are found by the first row that names Pos; rows without a name are left out.
     """
-    title = F.nullif(F.trim(F.regexp_extract(html, r"([^<>]+?) \(\d+-\d+(?:-\d+)?\)", 1)), F.lit(""))
+    title = F.nullif(_text(F.regexp_extract(html, r"([^<>]+?) \(\d+-\d+(?:-\d+)?\)", 1)), F.lit(""))
     named = pages.select(F.struct(F.col(key).alias("key"), title.alias("team_name")).alias("page"), titled_table(F.col(html), "Active Roster").alias("roster"))
     rows = table_rows(named, "page", "roster")
     rows = rows.withColumn("cells", F.transform(_all(F.col("row"), r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), _text))

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from downfield.sources.store import buckets_for, open_store, write_store
 from downfield.sources.tables import shared_folder
 
 #: Invented teams; their place here is their number, and the id that a possession has is one more.
@@ -89,6 +91,7 @@ PLAYS_SCHEMA = (
     + ", ".join(f"{r}_id BIGINT" for r in ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor", "fumbler", "fumble_recoverer"))
     + ", description STRING"
 )
+_COLUMNS = [c.split()[0] for c in PLAYS_SCHEMA.split(", ")]
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -98,20 +101,20 @@ def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plays of all games, read from a table that the session writes once to the shared folder: queries see stored columns and read those that they need.
+    """The plays of all games, from the store that the session writes once to the shared folder: a partition a season, buckets by game, sorted by game and play.
 
-    The order within a game is play_index.
+    Queries read the columns and seasons they need, and windows over a game need no exchange.
     """
-    key, stored = (spark.sparkContext.applicationId, sf_dir), spark.read.schema(PLAYS_SCHEMA)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key in _WRITTEN:
         try:
-            return stored.parquet(_WRITTEN[key])
+            return open_store(spark, _WRITTEN[key]).select(_COLUMNS)
         except AnalysisException:  # the folder was cleared since
             pass
-    path = shared_folder(spark, "plays")
-    projected(spark, sf_dir).write.parquet(path)
+    path, rows = shared_folder(spark, "plays"), spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    write_store(projected(spark, sf_dir).to(T.StructType.fromDDL(PLAYS_SCHEMA)), path, buckets_for(rows))
     _WRITTEN[key] = path
-    return stored.parquet(path)
+    return open_store(spark, path).select(_COLUMNS)
 
 
 def sql(rest: str) -> str:

@@ -137,8 +137,11 @@ def test_models_learn(spark, tmp_path):
         M.with_model_ep(rows, {"2022": models["2022"]}).agg(F.sum("ep_model")).collect()
     soft = M.logistic_probabilities(M.fit_logistic(rows), rows)
     assert M.log_loss(soft).collect()[0].log_loss < 0.3
-    labels = M.fit_labels(rows, iterations=2, depth=2, min_leaf=5)
-    hard = M.label_probabilities(labels, rows, M.fit_calibration(rows, folds=2, iterations=2, depth=2, min_leaf=5))
+    rows = rows.withColumn("engine_era", F.lit(1))
+    size = {"iterations": 12, "depth": 2, "min_leaf": 5}
+    labels = M.fit_labels(rows, **size)
+    assert len(labels.rounds) == 12 and M.log_loss(M.label_probabilities(labels, rows)).collect()[0].log_loss < 0.5
+    hard = M.calibrated_probabilities(M.fit_calibrated(rows, folds=2, **size), rows)
     assert M.log_loss(hard).collect()[0].log_loss < 0.2
     assert hard.select(F.max(F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b) - 1))).collect()[0][0] < 1e-9
     ep = hard.select(M.points_of(F.col("probabilities")).alias("ep"), "yl100").agg(F.avg(F.when(F.col("yl100") > 60, F.col("ep"))), F.avg(F.when(F.col("yl100") <= 30, F.col("ep")))).collect()[0]
@@ -215,22 +218,21 @@ def test_season_lists():
             T.season_list(**bad)
 
 
-@pytest.mark.parametrize(("name", "size"), [("m1_drive_model", {}), ("c1_model_epa", {}), ("m2_label_models", {"iterations": 20}), ("m4_calibrated_labels", {"iterations": 20})])
-def test_model_queries_and_their_split(spark, monkeypatch, name, size):
-    """The regressions fit at the operators' size, labels with fewer iterations, and none on a season of the split but 25."""
+@pytest.mark.parametrize(("name", "fit", "size"), [("m1_drive_model", "fit_eras", {}), ("c1_model_epa", "fit_eras", {}), ("m2_label_models", "fit_boosted", M.ITERATIONS), ("m4_calibrated_labels", "fit_boosted", M.ITERATIONS)])
+def test_model_queries_and_their_split(spark, monkeypatch, name, fit, size):
+    """Models fit at the operators' size, and none on a season of the split but 25."""
     from downfield.plans import models as Q
 
     class Asked(Exception):
         pass
 
-    def fit(rows, *args, **size):
-        raise Asked({r[0] for r in rows.select("season").distinct().collect()}, args, size)
+    def asked_for(rows, *args, **given):
+        raise Asked({r[0] for r in rows.select("season").distinct().collect()}, given.get("iterations", given))
 
-    for f in ("fit_eras", "fit_labels", "fit_calibration"):
-        monkeypatch.setattr(M, f, fit)
+    monkeypatch.setattr(M, fit, asked_for)
     with pytest.raises(Asked) as asked:
         getattr(Q, name)(spark, "/root/testdata/sf0.001")
-    assert asked.value.args == ({25, 28, 29}, (), size)
+    assert asked.value.args == ({25, 28, 29}, size)
 
 
 NEXT = "game_id long, play_index long, possession_team_id long, play_type string, touchdown boolean, interception boolean, fumble_lost boolean, safety boolean, fg_good boolean, pts int, half int"

@@ -1,6 +1,7 @@
 """Play operators: text cases, invariants, and all queries against their SQL."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -10,7 +11,8 @@ from downfield.functions.names import last_first, normalized
 from downfield.functions.parse import down_distance, field_position, parse_plays, score, typed_plays
 from downfield.operators import drives as D
 from downfield.registry import ORACLE_SQL, QUERIES
-from downfield.sources.projection import plays
+from downfield.sources.projection import plays, projected
+from downfield.sources.store import LEAST_BUCKETS
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,9 +98,19 @@ def test_epa_telescopes(spark):
     assert told > 50
 
 
-def test_one_exchange(spark):
-    plan = D.with_epa(D.with_drives(D.with_context(plays(spark, SF))))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Python" not in plan
+def test_no_exchange(spark):
+    """The stored plays are dealt by game: windows over games move no row, in as many tasks as there are buckets; one exchange if they come from elsewhere."""
+    rows = plays(spark, SF)
+    windows = lambda df: D.with_epa(D.with_drives(D.with_context(df)))
+    plan = windows(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 0 and "Python" not in plan
+    assert windows(rows).rdd.getNumPartitions() == LEAST_BUCKETS
+    assert windows(projected(spark, SF))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_seasons_are_pruned(spark):
+    plan = QUERIES["f18_season_range"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*season", plan), plan
 
 
 @pytest.mark.parametrize(("name", "most"), [("r2_players", 10), ("r5_aliases", 10), ("r7_play_ids", 10), ("a1_player_passing", 1), ("a5_team_games", 1)])
