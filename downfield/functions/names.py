@@ -15,7 +15,7 @@ def normalized(name: Column) -> Column:
     """Key of a name: no tags, marks or letters beyond ASCII; lower case; no closing dots; one space after a comma."""
     plain = F.regexp_replace(F.translate(strip_tags(name), "™®©", ""), r"[^\x00-\x7F]", "")
     tight = F.regexp_replace(F.regexp_replace(F.lower(F.trim(plain)), r"\.+$", ""), r"\s*,\s*", ", ")
-    return F.trim(tight)
+    return F.trim(F.regexp_replace(tight, r"\s+", " "))
 
 
 def last_first(name: Column) -> Column:

@@ -5,11 +5,12 @@ All of it is joins and groupings on names; the outcome does not depend on the or
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from downfield.functions.names import initial_last, last_first, normalized, roster_key
-from downfield.sources.tables import written
+from downfield.sources.refresh import key_part, read_dimension, upsert_dimension
+from downfield.sources.tables import write_partitions, written
 
 OFFENSE, DEFENSE, TEAMLESS = ("passer", "rusher", "receiver", "kicker"), ("tackler", "sacker", "interceptor", "returner"), ("fumbler", "fumble_recoverer")
 
@@ -29,14 +30,14 @@ def ambiguous_names(roster: DataFrame) -> DataFrame:
     return roster.groupBy(normalized(F.col("name")).alias("norm")).agg(F.count_distinct("index_player_id").alias("n")).where("n > 1").select("norm")
 
 
-def with_player_key(rows: DataFrame, overrides: DataFrame | None = None, roster: DataFrame | None = None, apart: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+def with_player_key(rows: DataFrame, overrides: DataFrame | None = None, roster: DataFrame | None = None, apart: DataFrame | None = None, known: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """Adds player_key to rows with name and team.
 
     The key is the normalized name after ``overrides`` (name, canonical), with the team for
     ambiguous names of ``roster``. A 'First Last' name not in ``apart`` (name) takes the key
     of the 'Last, F.' name that is found first: all words but the first in the same team, the
     last word in the same team, itself in ``known`` (player_key), then both again in any
-    team. Work on names is done once a distinct name and team, and written; what is left is
+    team. ``stored`` (name, team, player_key) are keys given before: their 'Last, F.' names are found, too. Work on names is done once a distinct name and team, and written; what is left is
     one join of the rows with these keys.
     """
     names = rows.select("name", "team").distinct()
@@ -56,6 +57,8 @@ def with_player_key(rows: DataFrame, overrides: DataFrame | None = None, roster:
         names = names.withColumns({c: F.when(F.col("__apart").isNull(), F.col(c)) for c in ("long", "short")})
     names = written(names, "names")  # a row a distinct name and team
     comma = names.where(F.col("shown").contains(",")).select("norm", "team", "own")
+    if stored is not None:
+        comma = comma.unionByName(stored.where(F.col("name").contains(",")).select(normalized(F.col("name")).alias("norm"), "team", F.col("player_key").alias("own")))
     # Teams of a name are few: its keys go by team in one map.
     of_team = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("team").isNotNull(), F.struct("team", "own")))))
     comma = comma.groupBy("norm", "team").agg(F.min("own").alias("own")).groupBy("norm").agg(of_team.alias("by_team"), F.min("own").alias("any"))
@@ -108,6 +111,55 @@ def players(keyed: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return written(out.select("player_id", "player_key", "name", "first_season", "last_season", "mentions"), "player-ids")
 
 
+def name_keys(keyed: DataFrame) -> DataFrame:
+    """(name, team, player_key) of each distinct name and team, to be stored: later builds resolve only what it lacks."""
+    return keyed.select("name", "team", "player_key").distinct()
+
+
+def extend_keys(rows: DataFrame, stored: DataFrame, **options: DataFrame) -> DataFrame:
+    """Adds player_key to rows: the stored one of the name and team, else as with_player_key() finds it among the new names and the stored ones."""
+    found = stored.select(F.col("name").alias("__name"), F.col("team").alias("__team"), "player_key")
+    same = F.col("name").eqNullSafe(F.col("__name")) & F.col("team").eqNullSafe(F.col("__team"))
+    old = rows.join(found, same).drop("__name", "__team")
+    new = with_player_key(rows.join(found, same, "left_anti"), known=stored.select("player_key").distinct(), stored=stored, **options)
+    return old.unionByName(new.select(old.columns))
+
+
+def extend_players(spark: SparkSession, path: str, keyed: DataFrame) -> list[int]:
+    """Takes later mentions into the stored players (a dimension by player_key): ids stay, those of new keys follow the largest, seasons widen, mentions add up.
+
+    Of the table only the partitions that hold the keys are read and written; these are returned. keyed must not hold mentions that are in it.
+    """
+    known = read_dimension(spark, path)
+    top = known.agg(F.coalesce(F.max("player_id"), F.lit(0)).alias("player_id")).select(F.lit(None).cast("string").alias("player_key"), "player_id")
+    met = known.join(keyed.select("player_key").distinct(), "player_key", "left_semi")
+    now = players(keyed, met.select("player_key", "player_id").unionByName(top))
+    was = met.select("player_key", F.col("name").alias("__name"), F.col("mentions").alias("__mentions"))
+    merged = now.join(was, "player_key", "left").withColumns({"name": F.coalesce("__name", "name"), "mentions": F.col("mentions") + F.coalesce("__mentions", F.lit(0))})
+    return upsert_dimension(spark, path, merged.select(known.columns), "player_key", widen=("first_season", "last_season"))
+
+
+def split_by_roster(keyed: DataFrame, roster: DataFrame) -> DataFrame:
+    """Keys of names that several roster ids share become one key a player, by the evidence of team and season.
+
+    roster: index_player_id, name, team, first_season and last_season of each stay. A mention takes the id that has its name,
+    team and season, so a player who changes teams stays one; where several have, or none, the key is that of the team, and
+    without a team the name's. Other names keep their keys.
+    """
+    named = roster.withColumn("norm", normalized(F.col("name")))
+    shared = ambiguous_names(roster)
+    stays = named.join(shared, "norm", "left_semi").select("norm", "team", "index_player_id", "first_season", "last_season").distinct()
+    rows = keyed.withColumn("norm", normalized(F.col("name")))
+    asked = rows.join(shared, "norm", "left_semi").select("norm", "team", "season").distinct()  # evidence is joined once a name, team and season
+    s, a = stays.alias("s"), asked.alias("a")
+    met = a.join(s, (F.col("a.norm") == F.col("s.norm")) & (F.col("a.team") == F.col("s.team")) & F.col("a.season").between(F.col("s.first_season"), F.col("s.last_season")), "left")
+    told = met.groupBy("a.norm", "a.team", "a.season").agg(F.count_distinct("s.index_player_id").alias("n"), F.min("s.index_player_id").alias("id"))
+    key = F.when(F.col("n") == 1, F.concat_ws("|", "norm", F.concat(F.lit("#"), F.col("id").cast("string")))).when(F.col("team").isNotNull(), F.concat_ws("|", "norm", "team")).otherwise(F.col("norm"))
+    told = told.select(F.col("norm").alias("__norm"), F.col("team").alias("__team"), F.col("season").alias("__season"), key.alias("__key"))
+    both = (F.col("norm") == F.col("__norm")) & F.col("team").eqNullSafe(F.col("__team")) & (F.col("season") == F.col("__season"))
+    return rows.join(told, both, "left").withColumn("player_key", F.coalesce("__key", "player_key")).select(keyed.columns)
+
+
 def attach_ids(plays: DataFrame, keyed: DataFrame, dimension: DataFrame, roles: tuple[str, ...] = OFFENSE + DEFENSE + ("fumble_recoverer",)) -> DataFrame:
     """Adds <role>_id to plays for the names of their roles; from with_player_key() and players(). A role without a name has no id."""
     ids = keyed.select("game_id", "play_index", "role", "player_key").join(dimension.select("player_key", "player_id"), "player_key")
@@ -209,6 +261,38 @@ def search_players(people: DataFrame, names: DataFrame, name: str | None = None,
     return rows.limit(limit) if limit else rows
 
 
+#: Letters of a gram of the name index.
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of GRAM letters of a text in lower case."""
+    low = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - GRAM + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(GRAM))))
+
+
+def write_name_index(names: DataFrame, path: str, parts: int = 64) -> None:
+    """Postings of the alias names (player_id, name, season): for each gram the distinct names that hold it, in partitions by hash of the gram."""
+    rows = names.select("name").where("name is not null").distinct().select("name", F.explode(grams(F.col("name"))).alias("gram"))
+    write_partitions(rows.withColumn("part", key_part(parts, "gram")), path, "part")
+
+
+def search_index(spark: SparkSession, path: str, people: DataFrame, names: DataFrame, name: str, season: int | None = None, limit: int | None = 20, parts: int = 64) -> DataFrame:
+    """search_players() by the name index: names that hold all grams of ``name`` are proposed by the postings, of which only the grams' partitions are read, and then looked at.
+
+    A name shorter than a gram is searched for in all names.
+    """
+    if len(name) < GRAM:
+        return search_players(people, names, name, season, limit)
+    low = name.lower()
+    asked = sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+    place = spark.createDataFrame([(g,) for g in asked], "gram string").select(key_part(parts, "gram").alias("part")).distinct()
+    hit = sorted(r.part for r in place.collect())
+    postings = spark.read.parquet(path).where(F.col("part").isin(*hit) & F.col("gram").isin(*asked))
+    proposed = postings.groupBy("name").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(asked)).select("name")
+    return search_players(people, names.join(proposed, "name", "left_semi"), name, season, limit)
+
+
 def player_profiles(people: DataFrame, names: DataFrame, careers: dict[str, DataFrame], player_id: int | None = None) -> DataFrame:
     """One row a player: the columns of ``people``, aliases in order, and one struct for each of ``careers``, null without games.
 

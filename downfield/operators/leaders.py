@@ -11,6 +11,8 @@ from downfield.operators.drives import resolve_team_ids
 from downfield.operators.games import with_week
 
 OFFENSE, DEFENSE = ("passer", "rusher", "receiver"), ("tackler", "sacker", "interceptor")
+#: Roles by which the plays of a player are found; those that a table has no ids of are left out.
+ROLES = (*OFFENSE, *DEFENSE, "kicker", "returner", "fumble_recoverer")
 #: Positions as football lists them (fixed values); others follow in alphabetical order.
 POSITIONS = ("QB", "RB", "FB", "WR", "TE", "OL", "DL", "DE", "DT", "LB", "CB", "S", "FS", "SS", "K", "P")
 
@@ -163,7 +165,7 @@ def any_of(roles: tuple[str, ...]) -> Column:
     return F.array(*(F.col(f"{r}_id") for r in roles))
 
 
-def play_list(plays: DataFrame, season: int | None = None, game_id: int | None = None, play_type: str | None = None, player_id: int | None = None, roles: tuple[str, ...] = OFFENSE + DEFENSE, offset: int = 0, limit: int | None = None) -> DataFrame:
+def play_list(plays: DataFrame, season: int | None = None, game_id: int | None = None, play_type: str | None = None, player_id: int | None = None, roles: tuple[str, ...] = ROLES, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Plays that pass the filters given, in order of game and play; offset and limit are a page of the list.
 
     A player's plays are those in which one of the roles is his.
@@ -171,7 +173,7 @@ def play_list(plays: DataFrame, season: int | None = None, game_id: int | None =
     for name, value in (("season", season), ("game_id", game_id), ("play_type", play_type)):
         plays = plays.where(F.col(name) == value) if value is not None else plays
     if player_id is not None:
-        plays = plays.where(F.coalesce(F.array_contains(any_of(roles), F.lit(player_id)), F.lit(False)))
+        plays = plays.where(F.coalesce(F.array_contains(any_of(tuple(r for r in roles if f"{r}_id" in plays.columns)), F.lit(player_id)), F.lit(False)))
     return paged(plays.orderBy("game_id", "play_index"), offset, limit)
 
 

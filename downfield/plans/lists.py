@@ -32,11 +32,17 @@ def q2_game_plays(spark: SparkSession, sf: str) -> DataFrame:
     return L.play_list(plays(spark, sf), game_id=3).select(*_COLUMNS)
 
 
-@query(f" SELECT {_LIST} FROM plays WHERE 71 IN (passer_id, rusher_id, receiver_id, tackler_id, sacker_id, interceptor_id)")
+@query(f" SELECT {_LIST} FROM plays WHERE 71 IN (passer_id, rusher_id, receiver_id, tackler_id, sacker_id, interceptor_id, kicker_id, returner_id, fumble_recoverer_id)")
 def q3_player_plays(spark: SparkSession, sf: str) -> DataFrame:
     return L.play_list(plays(spark, sf), player_id=71).select(*_COLUMNS)
 
 
+@query(f" SELECT {_LIST} FROM plays WHERE kicker_id = 69 OR returner_id = 69 OR fumble_recoverer_id = 69")
+def q3_kicker_plays(spark: SparkSession, sf: str) -> DataFrame:
+    """A player who only kicks."""
+    return L.play_list(plays(spark, sf), player_id=69).select(*_COLUMNS)
+
+
 for _kind, (_rows, _) in GAME_ROWS.items():
     _c = L.CATEGORIES[_kind]
     _types = ", ".join(f"'{t}'" for t in _c.types)

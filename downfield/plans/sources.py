@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from downfield.functions.parse import filled_distance, pattern_counts
+from downfield.functions.context import is_two_point
+from downfield.functions.parse import filled_distance, pattern_counts, score
 from downfield.operators import stats as S
 from downfield.plans.leaders import BOX
 from downfield.plans.queries import EPA, TEAM, _epa, query, tail
@@ -266,6 +267,24 @@ def p4_filled_distance(spark: SparkSession, sf: str) -> DataFrame:
     return _raw(spark, sf).select("game_id", "play_index", filled_distance(F.col("t"), F.lit(None).cast("int")).alias("distance"))
 
 
+@query(""" SELECT game_id, play_index, away_team AS away, play_index % 50 AS away_points, home_team AS home, game_id % 60 AS home_points FROM plays WHERE play_index % 5 <> 0 UNION ALL SELECT game_id, play_index, NULL, NULL, NULL, NULL FROM plays WHERE play_index % 5 = 0""")
+def p3_score_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores as the game files write them, read; each fifth text is no score."""
+    text = F.expr("CASE play_index % 15 WHEN 0 THEN NULL WHEN 5 THEN '---' WHEN 10 THEN concat(home_team, ' 3') ELSE concat(away_team, ' ', play_index % 50, ' - ', home_team, ' ', game_id % 60) END")
+    away, away_points, home, home_points = score(text)
+    return plays(spark, sf).select("game_id", "play_index", away.alias("away"), away_points.cast("long").alias("away_points"), home.alias("home"), home_points.cast("long").alias("home_points"))
+
+
+#: Texts of tries for two points, and one that only box scores count as a play.
+TRY = "CASE play_index % 9 WHEN 0 THEN description || ' (2 point try good)' WHEN 1 THEN description || ' Conversion failed' WHEN 2 THEN description || ' 2 POINT' ELSE description END"
+
+
+@query(f", w AS (SELECT game_id, play_index, {TRY} AS d FROM plays) SELECT game_id, play_index, lower(d) LIKE '%2 point%' OR lower(d) LIKE '%conversion%' AS for_models, d LIKE '%2 point%' OR d LIKE '%conversion%' AS for_box_scores FROM w")
+def p11_two_point_tries(spark: SparkSession, sf: str) -> DataFrame:
+    rows = plays(spark, sf).withColumn("d", F.expr(TRY))
+    return rows.select("game_id", "play_index", is_two_point(F.col("d")).alias("for_models"), is_two_point(F.col("d"), any_case=False).alias("for_box_scores"))
+
+
 #: Patterns of the text histogram, in order.
 HISTOGRAM = {"touchdown": "TOUCHDOWN", "complete": ", complete to", "incomplete": "incomplete", "rush": "^Rush by", "sack": "SACKED", "kick": "^(Kickoff|Punt)"}
 

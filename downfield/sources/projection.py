@@ -65,6 +65,8 @@ SELECT game_id, play_index, season, game_type, quarter, play_type, home_team, aw
        CASE WHEN interception THEN other_id * 40 + 36 + h3 % 3 END AS interceptor_id,
        CASE WHEN fumble_kept THEN possession_team_id * 40 + 10 + h1 % 4 END AS fumbler_id,
        CASE WHEN fumble_lost THEN other_id * 40 + 33 + h3 % 3 WHEN fumble_kept THEN possession_team_id * 40 + 10 + (h1 + 1) % 4 END AS fumble_recoverer_id,
+       CASE WHEN play_type IN ('field_goal','punt') OR play_type = 'kickoff' AND h3 % 3 = 0 THEN possession_team_id * 40 + CASE WHEN play_type = 'punt' THEN 28 ELSE 29 END END AS kicker_id,
+       CASE WHEN play_type = 'kickoff' AND h3 % 3 <> 0 THEN other_id * 40 + 27 END AS returner_id,
        CASE play_type
          WHEN 'quarter_marker' THEN '15:00 - Quarter ' || CAST(quarter AS STRING)
          WHEN 'kickoff' THEN CASE WHEN h3 % 3 = 0 THEN 'Kickoff by Ostrov, K. through the back of the endzone. Touchback.' ELSE 'Kickoff of ' || CAST(40 + h3 % 30 AS STRING) || ' yards. Returned by Marle (C), V. for ' || CAST(h3 % 35 AS STRING) || ' yards.' END
@@ -88,7 +90,7 @@ FROM p""".replace("{teams}", TEAMS)
 PLAYS_SCHEMA = (
     "game_id BIGINT, play_index BIGINT, season BIGINT, game_type STRING, quarter BIGINT, play_type STRING, home_team STRING, away_team STRING, possession_team_id BIGINT, possession_team STRING, defense_team STRING, clock STRING, "
     "down BIGINT, distance BIGINT, yard_line BIGINT, yard_line_team STRING, yards_gained BIGINT, complete BOOLEAN, touchdown BOOLEAN, interception BOOLEAN, fumble BOOLEAN, fumble_lost BOOLEAN, safety BOOLEAN, fg_good BOOLEAN, pat_good BOOLEAN, first_down BOOLEAN, "
-    + ", ".join(f"{r}_id BIGINT" for r in ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor", "fumbler", "fumble_recoverer"))
+    + ", ".join(f"{r}_id BIGINT" for r in ("passer", "rusher", "receiver", "tackler", "sacker", "interceptor", "fumbler", "fumble_recoverer", "kicker", "returner"))
     + ", description STRING"
 )
 _COLUMNS = [c.split()[0] for c in PLAYS_SCHEMA.split(", ")]

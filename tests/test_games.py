@@ -16,6 +16,7 @@ from downfield.operators import leaders as L
 from downfield.operators import models as M
 from downfield.operators import stats as S
 from downfield.sources import pages as P
+from downfield.sources import refresh as R
 from downfield.sources import tables as T
 
 PLAY = "game_id long, play_index long, play_type string, possession_team_id long, touchdown boolean, pat_good boolean, fg_good boolean, safety boolean"
@@ -75,6 +76,44 @@ def test_identity_overrides_apart_and_ambiguous(spark):
     assert got == [("John Sorel", "C", "john sorel"), ("Sorel, J.", "A", "sorel, j|A"), ("Sorel, J.", "B", "sorel, j|B"), ("Sorell, J.", "A", "sorel, j|A")]
 
 
+def test_later_mentions_keep_ids(spark, tmp_path):
+    """Stored names are not resolved again, new ones find stored 'Last, F.' names; ids stay, seasons widen, only the partitions hit change."""
+    old = [(25, 1, 0, "passer", "Sorel, J.", "A"), (25, 1, 1, "rusher", "Max Odd", "B"), (26, 2, 0, "passer", "Jones, K.", "A")]
+    new = [(28, 9, 0, "passer", "John Sorel", "A"), (28, 9, 1, "rusher", "Max Odd", "B"), (29, 9, 2, "rusher", "Odd, M.", "B"), (29, 9, 3, "receiver", "Fresh, F.", None), (24, 9, 4, "passer", "Jones, K.", "A")]
+    path, first = f"file://{tmp_path}/people", _keyed(spark, old)
+    R.write_dimension(I.players(first), path, "player_key")
+    schema = "season long, game_id long, play_index long, role string, name string, team string"
+    later = I.extend_keys(spark.createDataFrame(new, schema), I.name_keys(first))
+    assert {r.name: r.player_key for r in later.collect()} == {"John Sorel": "sorel, j", "Max Odd": "max odd", "Odd, M.": "odd, m", "Fresh, F.": "fresh, f", "Jones, K.": "jones, k"}
+    hit = I.extend_players(spark, path, later)
+    got = {r.player_key: (r.player_id, r.name, r.first_season, r.last_season, r.mentions) for r in R.read_dimension(spark, path).collect()}
+    assert got == {"sorel, j": (1, "Sorel, J.", 25, 28, 2), "max odd": (2, "Max Odd", 25, 28, 2), "jones, k": (3, "Jones, K.", 24, 26, 2), "odd, m": (4, "Odd, M.", 29, 29, 1), "fresh, f": (5, "Fresh, F.", 29, 29, 1)}
+    assert len(hit) <= 5
+
+
+def test_shared_names_are_split_by_team_and_season(spark):
+    stays = [(1, "Quill, A.", "A", 25, 26), (1, "Quill, A.", "B", 27, 28), (2, "quill, a", "B", 25, 26), (3, "Other, O.", "A", 25, 28), (4, "Quill (R), A.", "C", 25, 30), (5, "Quill, A.", "C", 26, 26)]
+    roster = spark.createDataFrame(stays, "index_player_id long, name string, team string, first_season long, last_season long")
+    rows = [(25, "Quill, A.", "A", "#1"), (27, "Quill, A.", "B", "#1"), (26, "Quill (C), A.", "B", "#2"), (29, "Quill, A.", "B", "B"), (26, "Quill, A.", "C", "C"), (27, "Quill, A.", "C", "#4"), (25, "Quill, A.", None, None), (25, "Other, O.", "Z", "")]
+    keyed = I.with_player_key(spark.createDataFrame([(s, 1, i, "passer", n, t) for i, (s, n, t, _) in enumerate(rows)], "season long, game_id long, play_index long, role string, name string, team string"))
+    got = {r.play_index: r.player_key for r in I.split_by_roster(keyed, roster).collect()}
+    assert [got[i] for i in range(len(rows))] == ["other, o" if w == "" else "quill, a" if w is None else f"quill, a|{w}" for *_, w in rows]
+
+
+def test_index_finds_what_a_scan_finds(spark, tmp_path):
+    names = [(i, f"{a}{b}, {c}.", 25 + i % 3) for i, (a, b, c) in enumerate((a, b, c) for a in ("Mc", "Van ", "ÉT") for b in ("Dor", "ando", "do") for c in "AB")] + [(90, None, 25), (91, "x", 25), (92, "%_a", 26)]
+    names = spark.createDataFrame(names, "player_id long, name string, season long")
+    people = names.select("player_id", "name", F.lit(20).alias("first_season"), F.lit(30).alias("last_season"))
+    path = f"file://{tmp_path}/index"
+    I.write_name_index(names, path, parts=8)
+    for text in ("ando", "DOR", "van d", "ét", "x", "o, a", "nothing", "%_a", "éta"):
+        for season in (None, 26):
+            got, want = (sorted(r.player_id for r in df.collect()) for df in (I.search_index(spark, path, people, names, text, season, None, parts=8), I.search_players(people, names, text, season, None)))
+            assert got == want, text
+    plan = I.search_index(spark, path, people, names, "ando", parts=8)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan and "gram" in plan
+
+
 def test_empty_identity(spark):
     assert I.players(_keyed(spark, [])).count() == 0
 
