@@ -45,14 +45,15 @@ CLUB = "O'Neil & Caf\u00e9"
 def _game_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A page a game: headers for the quarters, and each part of a text between line breaks as a row of its own.
 
-    Texts have references for commas, points and what markup needs, cells white space and marks around the text, logos stand by a table of their own.
+    Texts have references for what markup needs and some other letters, clocks white space and a comment, logos stand by a table of their own.
     """
     rows = _raw(spark, sf).withColumns({"head": F.expr(HEADS), "m": F.replace("m", F.lit("Herons"), F.lit(CLUB))})
-    told = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&#39;")), F.lit("\u00e9"), F.lit("&eacute;")), F.lit(", "), F.lit("&#44; ")), F.lit("."), F.lit("&#x2E;"))
-    cell = lambda c, css="": F.concat(F.lit(f"<td{css}>&nbsp;"), c, F.lit(" <!-- & --></td>"))
+    told = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&#39;")), F.lit("\u00e9"), F.lit("&eacute;")), F.lit("TOUCHDOWN!"), F.lit("TOUCHDOWN&#33;")), F.lit("INTERCEPTION"), F.lit("INTERCEPT&#x49;ON"))
+    cell = lambda c, css="": F.concat(F.lit(f"<td{css}>"), c, F.lit("</td>"))
+    wide = lambda c: F.concat(F.lit("<td>&nbsp;"), c, F.lit(" <!-- & --></td>"))
     parts = F.transform(F.split("m", r"<br/>\s*"), told)
     image = F.concat(F.lit("<table><tr><td>logo</td></tr></table>"), F.coalesce(F.concat(F.lit('<img src="/logos/'), F.col("possession_team_id").cast("string"), F.lit('_s.png">')), F.lit("")))
-    first = F.concat(F.lit("<tr>"), cell(image), cell(F.col("c")), cell(F.col("t")), cell(F.col("o")), cell(F.get(parts, F.lit(0)), ' class="c"'), F.lit("</tr>"))
+    first = F.concat(F.lit("<tr>"), cell(image), wide(F.col("c")), cell(F.col("t")), cell(F.col("o")), cell(F.get(parts, F.lit(0)), ' class="c"'), F.lit("</tr>"))
     more = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.lit("<tr>"), *(cell(F.lit("")) for _ in range(4)), cell(p, ' class="d"'), F.lit("</tr>")))
     body = F.when(F.col("play_type") == "quarter_marker", F.concat(F.lit("<tr><th colspan=5>"), F.col("head"), F.lit("</th></tr>"))).otherwise(F.concat(first, F.array_join(more, "")))
     body = F.when((F.col("quarter") == 5) & (F.col("play_index") % 200 == 190), F.concat(F.lit("<tr><th>Overtime</th></tr>"), body)).otherwise(body)

@@ -42,12 +42,16 @@ def decoded(text: Column) -> Column:
     """Text with its references replaced: names of HTML 4, decimal and hexadecimal numbers; what is none of these stays as it is."""
     named, shifted = (F.str_to_map(F.lit(x), F.lit(","), F.lit(":")) for x in (_NAMED, _SHIFTED))
 
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  evaluated once, used often
+
     def part(p: Column) -> Column:
-        number, digits, name = (F.regexp_extract(p, x, 1) for x in (r"^#([0-9]{1,9});?", r"^#[xX]([0-9a-fA-F]{1,7});?", r"^([A-Za-z][A-Za-z0-9]*);"))
-        told = F.when(number != "", number.cast("bigint")).when(digits != "", F.conv(digits, 16, 10).cast("bigint"))
-        point = F.coalesce(F.try_element_at(shifted, told.cast("string")).cast("bigint"), told, F.try_element_at(named, name).cast("bigint"))
-        rest = F.regexp_replace(p, r"^(#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,7};?|[A-Za-z][A-Za-z0-9]*;)", "")
-        return F.when(point.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(_letter(point), rest))
+        def point(r: Column) -> Column:
+            bare = F.rtrim(r, F.lit(";"))
+            number = F.when(r.rlike("^#[xX]"), F.conv(F.substring(bare, 3, 8), 16, 10)).when(F.startswith(r, F.lit("#")), F.substring(bare, 2, 10)).cast("bigint")
+            return F.when(number.isNull(), F.try_element_at(named, bare).cast("bigint")).when(number.between(128, 159), F.coalesce(F.try_element_at(shifted, number.cast("string")).cast("bigint"), number)).otherwise(number)
+
+        written = lambda r: once(point(r), lambda c: F.when(c.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(_letter(c), F.substring(p, F.length(r) + 1, F.length(p)))))
+        return once(F.regexp_extract(p, r"^(?:#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,7};?|[A-Za-z][A-Za-z0-9]*;)", 0), written)
 
     parts = F.split(text, "&", -1)
     told = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), part), ""))
@@ -55,7 +59,8 @@ def decoded(text: Column) -> Column:
 
 
 def _text(cell: Column) -> Column:
-    nodes = F.split(F.regexp_replace(cell, r"(?s)<!--.*?-->", ""), r"<[^>]+>", -1)
+    plain = F.when(F.contains(cell, F.lit("<!--")), F.regexp_replace(cell, r"(?s)<!--.*?-->", "")).otherwise(cell)
+    nodes = F.filter(F.split(plain, r"<[^>]+>", -1), lambda n: n != "")
     return F.array_join(F.transform(nodes, lambda n: F.regexp_replace(decoded(n), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), "")
 
 
