@@ -7,8 +7,9 @@ with v. Two fingerprints that differ at r or fewer positions agree under at leas
 mask, as r linear conditions on v leave a non-zero solution: no pair is lost.
 
 Only distinct fingerprints go into the 2 ** (r + 1) - 1 tables, each with the smallest
-id of its copies, so copies never meet as pairs. Buckets are counted by an aggregate;
-the members of buckets with two or more are linked exactly through the points of
+id of its copies, so copies never meet as pairs. Buckets are counted by an aggregate.
+In a bucket of few members these are compared by their differing bits, and only close
+ones leave it. The members of larger buckets are linked exactly through the points of
 Hamming distance r / 2 or less around them: two fingerprints are within r if and only
 if such balls meet, and a point is in at most 1 + 64 balls (r = 2), so every group is
 bounded whatever the data. Links become classes by alternating large-star and
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from downfield.llm.common import join_skewed, written
 
 _BLOCK = 1 << 15
+#: Fingerprints of a bucket that are compared in their table.
+MEMBERS = 64
 
 
 def fingerprint(data: bytes, words: int = 3, seed: int = 42) -> int:
@@ -77,18 +80,38 @@ def _flips() -> Column:
     return F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)))
 
 
-def covering_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b) of node ids that chain all fingerprints within the radius; distinct: (fp, node), each fp once."""
-    if radius != 2:
-        raise ValueError("the exact step is written for a radius of 2")
-    masks = F.array(*(F.lit(m).cast("long") for m in covering_masks(radius)))
-    keyed = distinct.select("fp", "node", F.posexplode(masks).alias("v", "mask")).select("fp", "node", "v", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    shared = keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1").select("v", "key")
-    close = keyed.join(shared, ["v", "key"], "left_semi").select("fp", "node").distinct()
-    points = close.select("node", F.explode(_flips()).alias("flip"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+def _close_members(members: Column, radius: int, most: int) -> Column:
+    """Array of (a, b), a > b, of the nodes in a bucket's (fp, node) that differ at radius bits or fewer."""
+    def later(x: Column, i: Column) -> Column:
+        near = F.filter(F.slice(members, i + 2, F.lit(most)), lambda y: F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)
+        return F.transform(near, lambda y: F.struct(F.greatest(x["node"], y["node"]).alias("a"), F.least(x["node"], y["node"]).alias("b")))
+
+    return F.flatten(F.transform(members, later))
+
+
+def _ball_links(prints: DataFrame) -> DataFrame:
+    """(a, b) that chain all fingerprints within 2 bits, through the points at most one bit away; prints: (fp, node)."""
+    points = prints.select("node", F.explode(_flips()).alias("flip"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     balls = points.groupBy("point").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
     chain = F.transform(F.slice("nodes", 2, 64), lambda x: F.struct(F.element_at("nodes", 1).alias("b"), x.alias("a")))
-    return balls.select(F.explode(chain).alias("l")).select("l.a", "l.b").distinct()
+    return balls.select(F.explode(chain).alias("l")).select("l.a", "l.b")
+
+
+def covering_links(distinct: DataFrame, radius: int = 2, members: int = MEMBERS) -> DataFrame:
+    """(a, b) of node ids that chain all fingerprints within the radius; distinct: (fp, node), each fp once.
+
+    Buckets of at most members fingerprints are settled in their table, larger ones by balls.
+    """
+    if radius != 2:
+        raise ValueError("the exact step of large buckets is written for a radius of 2")
+    masks = covering_masks(radius)
+    keyed = distinct.select("fp", "node", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("v", "mask"))
+    keyed = keyed.select("fp", "node", F.struct("v", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n", (F.col("n") > members).alias("large"))
+    met = written(join_skewed(keyed, shared, "key", "n", total=len(masks) * distinct.count()), "buckets")
+    few = met.where("NOT large").groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("members"))
+    few = few.select(F.explode(_close_members(F.col("members"), radius, members)).alias("l")).select("l.a", "l.b")
+    return few.unionByName(_ball_links(met.where("large").select("fp", "node").distinct())).distinct()
 
 
 def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataFrame:
@@ -96,7 +119,8 @@ def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataF
 
     Alternating large-star and small-star steps; each round's links are written to
     the shared folder, and a round that changes nothing ends the loop. Hubs with more
-    than a thousandth of all links meet their smallest neighbour by broadcast.
+    than a thousandth of all links meet their smallest neighbour by broadcast, in both
+    steps.
     """
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)"))).first())
@@ -107,8 +131,8 @@ def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataF
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = join_skewed(both.where("b > a"), least, "a", "n", total=2 * now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_skewed(large, low, "a", "n", total=now[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         new = written(small, name)
         then, now = now, state(new)
         if now == then:

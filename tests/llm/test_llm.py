@@ -67,7 +67,9 @@ def _components(prints):
     return best
 
 
-def test_simhash_links_all_pairs(spark):
+@pytest.mark.parametrize("members", [64, 4, 1])
+def test_simhash_links_all_pairs(spark, members):
+    """Settled in the tables, in part, or by balls alone, the classes are those of all pairs."""
     rng = random.Random(5)
     prints, base = {}, rng.getrandbits(64)
     for i in range(150):
@@ -79,10 +81,24 @@ def test_simhash_links_all_pairs(spark):
     for i, x in prints.items():
         nodes.setdefault(x, i)
     signed = [(x - (1 << 64) if x >> 63 else x, i) for x, i in nodes.items()]
-    found = {r.node: r.component for r in simhash.components(simhash.covering_links(spark.createDataFrame(signed, "fp long, node long"))).collect()}
+    found = {r.node: r.component for r in simhash.components(simhash.covering_links(spark.createDataFrame(signed, "fp long, node long"), members=members)).collect()}
     assert {i: found.get(nodes[x], nodes[x]) for i, x in prints.items()} == _components(prints)
 
 
+def test_tables_settle_small_buckets(spark, monkeypatch):
+    """Only fingerprints of buckets above the bound get ball points; a bucket of thousands is one class."""
+    given, balls = [], simhash._ball_links
+    monkeypatch.setattr(simhash, "_ball_links", lambda prints: given.append(prints.count()) or balls(prints))
+    rng = random.Random(9)
+    few = [(rng.getrandbits(62), i) for i in range(300)]
+    few += [(x ^ (1 << rng.randrange(62)), 1000 + i) for x, i in few[:100]]
+    found = simhash.covering_links(spark.createDataFrame(few, "fp long, node long")).collect()
+    assert {(1000 + i, i) for i in range(100)} <= {(r.a, r.b) for r in found} and given == [0]
+    near = [(1 << i | 1 << j, 5000 + 64 * i + j) for i in range(60) for j in range(i)]
+    classes = simhash.components(simhash.covering_links(spark.createDataFrame([(0, 7), *near], "fp long, node long"))).collect()
+    assert len(classes) == 1 + len(near) and {r.component for r in classes} == {7} and given[1] > 64
+
+
 def test_covering_masks_hold_every_pair():
     masks = simhash.covering_masks(2)
     for i in range(64):
@@ -529,6 +545,58 @@ def test_near_copies_equal_brute_force(spark, members):
     assert len({(got[i], label[i]) for i in got}) == len(set(got.values())) == len(set(label))
 
 
+def _chained(nodes, links):
+    label = {x: x for x in nodes}
+    for a, b in links:
+        old, new = label[a], label[b]
+        label = {x: new if v == old else v for x, v in label.items()}
+    return {frozenset(x for x in nodes if label[x] == v) for v in label.values()}
+
+
+@pytest.mark.parametrize("members", [5, 1000])
+def test_meetings_lose_no_link(spark, members):
+    """Whatever the sets of a bucket, what its pivot leaves unlinked is found where the rest meet."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(4):
+        x = rng.choice(500, 100, replace=False)
+        for _ in range(14):  # drifts away from the pivot, step by step
+            x = np.concatenate([rng.permutation(x)[: 100 - rng.integers(2, 14)], rng.integers(500, 10**6, rng.integers(1, 12))])
+            sets.append(np.unique(x))
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+
+    def share(x, y):
+        both = len(np.intersect1d(x, y))
+        return both / (len(x) + len(y) - both)
+
+    n = range(len(sets))
+    proposed = spark.createDataFrame([(1, i, len(sets), 0) for i in n], "key long, node long, n long, pivot long")
+    pairs = spark.createDataFrame([(0, i, sets[0].tolist(), sets[i].tolist()) for i in n if i], "pivot long, node long, s array<long>, t array<long>")
+    judged = copies._judged(pairs, (4, 5))
+    among, across = copies.meetings(proposed, judged, members)
+    links, groups = [(r.node, 0) for r in judged.where("near").collect()], {}
+    for kind, met in (("among", among), ("across", across)):
+        for r in met.collect():
+            groups.setdefault((kind, r.lo, r.hi), []).append((r.node, r.ask if kind == "across" else None))
+    for (kind, *_), rows in groups.items():
+        assert len(rows) <= 4 * members
+        ids, held = np.array([i for i, _ in rows]), [sets[i] for i, _ in rows]
+        links += copies.links_within(ids, held) if kind == "among" else copies.link_across(ids, held, np.array([a for _, a in rows]))
+    exact = [(i, j) for i in n for j in range(i) if share(sets[i], sets[j]) >= 0.8]
+    assert _chained(n, links) == _chained(n, exact) and len(_chained(n, exact)) > 1
+    assert {k for k, *_ in groups} == {"among", "across"}
+
+
+def test_a_bucket_of_copies_with_one_unlike_member_is_linear(spark):
+    n = 50_000
+    proposed = spark.range(n).selectExpr("1L AS key", "id AS node", f"{n}L AS n", "0L AS pivot")
+    for within, rows in ((True, n - 2 + 50), (False, 0)):
+        judged = spark.range(1, n).selectExpr("0L AS pivot", "id AS node", "id != 9 AS near", f"(id != 9 OR {within}) AS within")
+        among, across = copies.meetings(proposed, judged, 1000)
+        assert among.count() == 0 and across.count() == rows
+
+
 def test_links_reach_past_the_first_member():
     """A member that is unlike the smallest of its bucket is chained through another."""
     sets = [np.arange(0, 90), np.arange(10, 100), np.arange(20, 110), np.arange(500, 590)]
