@@ -11,10 +11,12 @@ the length-normalised log-likelihood difference of the classes: over the whole t
 and over its most toxic windows of a few words (long texts with one insult). A
 logistic fit on documents kept out of the counts turns these into a score.
 
-Counts are grouped in Spark; every n-gram of the sample stays, however rare. The fit
-uses at most ``per_class`` labelled rows (ordinary, toxic) of ``sample_bytes`` of text
-a class, in whole documents, which bounds the model that is broadcast (16 bytes an
-n-gram). Scoring reads every whole text in one pass without a shuffle.
+The fit uses every usable labelled row, whole. Counts are grouped in Spark and every
+n-gram stays, however rare; the logistic fit takes sums over its rows from Spark, round
+by round. Only the counts of distinct n-grams come to the driver, and the model of them
+is broadcast (16 bytes an n-gram, and as much a context): it grows with the n-grams
+that words are made of, not with the rows. Scoring reads every whole text in one pass
+without a shuffle.
 
 Null and empty texts have no evidence; their score is the calibrated prior. With no
 labelled rows of one class, every score is 0.5. Repeated rows score alike; in the fit
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from downfield.llm.common import class_totals, fit_logistic, labelled_sample, scored_rows, sigmoid
+from downfield.llm.common import fit_logistic_rows, labelled_rows, scored_rows, sigmoid, written
 
 #: Lower-cases A-Z and turns ASCII signs and digits into spaces; bytes of other letters stay.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -174,15 +176,26 @@ class _Evidence:
         return out
 
 
+#: Different words whose counts a task holds before it passes them on.
+WORDS = 200_000
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        items = list(counts.items())
+        counts.clear()
+        for i in range(0, len(items), 50_000):
+            part = items[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([w for (w, _), _ in part], pa.binary()), pa.array([0 if y else n for (_, y), n in part], pa.int64()), pa.array([n if y else 0 for (_, y), n in part], pa.int64())], names=["item", "n0", "n1"])
+
     for b in batches:
         for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
             counts.update((w, label) for w in set(tokens(text)))
-    items = list(counts.items())
-    for i in range(0, len(items), 50_000):
-        part = items[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([w for (w, _), _ in part], pa.binary()), pa.array([0 if y else n for (_, y), n in part], pa.int64()), pa.array([n if y else 0 for (_, y), n in part], pa.int64())], names=["item", "n0", "n1"])
+            if len(counts) > WORDS:
+                yield from passed()
+    yield from passed()
 
 
 def _count_grams(order: int) -> Callable:
@@ -205,34 +218,33 @@ def _count_grams(order: int) -> Callable:
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: tuple[int, int] = (6000, 2000), sample_bytes: int = 64 << 20, order: int = 5, discount: float = 0.75, strength: float = 3.0) -> ToxicityModel:
-    """Fits on at most per_class (ordinary, toxic) labelled rows for which usable holds."""
-    sample = labelled_sample(docs, labels, label, usable, per_class, sample_bytes).select("text", "label", "fold")
-    words = sample.where("fold > 0").select("text", "label").mapInArrow(_count_words, "item binary, n0 long, n1 long").groupBy("item").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", order: int = 5, discount: float = 0.75, strength: float = 3.0) -> ToxicityModel:
+    """Fits on all labelled rows for which usable holds: n-grams on four folds of five, the logistic weights on the fifth."""
+    known = written(labelled_rows(docs, labels, label, usable), "labelled")
+    words = known.where("fold > 0").select("text", "label").mapInArrow(_count_words, "item binary, n0 long, n1 long").groupBy("item").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = words.mapInArrow(_count_grams(order), "packed long, whole boolean, n0 long, n1 long").groupBy("packed").agg(F.first("whole").alias("whole"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = written(counted, "n-grams")
     end = F.expr("packed & (shiftleft(1L, CAST(floor((length(hex(packed)) - 1) / 2) * 8 AS INT)) - 1)")  # without the first byte
     ends = counted.groupBy(end.alias("packed")).agg(F.count("*").alias("before")).orderBy("packed").toArrow()
     full = counted.where("whole").select("packed", "n0", "n1").orderBy("packed").toArrow()
     column = lambda t, c, kind: t.column(c).to_numpy().astype(kind)
     model = build_model(column(full, "packed", np.uint64), (column(full, "n0", float), column(full, "n1", float)), column(ends, "packed", np.uint64), column(ends, "before", float), order, discount, strength)
-    if sample.where("fold = 0").agg(F.count_distinct("label")).first()[0] == 2:
-        held = sample.where("fold = 0")
+    if known.where("fold = 0").agg(F.count_distinct("label")).first()[0] == 2:
+        held = known.where("fold = 0")
     else:  # too few labels to keep some out
-        held = sample
+        held = known
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"x{k}" for k in range(1 + len(model.windows))]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = _Evidence(shared.value)
         for b in batches:
             x = evidence.features(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), b.column("label")], names=["x", "label"])
-
-    rows = held.select("text", "label").mapInArrow(features, "x array<double>, label int").toPandas()
-    y = rows["label"].to_numpy(float)
-    if 0 < y.sum() < len(y):
-        n = class_totals(labels, label, usable)
-        weight = np.where(y == 1, n[1] / y.sum(), n[0] / (len(y) - y.sum()))
-        model.weights = tuple(fit_logistic(np.array(rows["x"].tolist()), y, weight * len(y) / weight.sum()))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T.copy()), b.column("label")], names=[*names, "label"])
+
+    rows = written(held.select("text", "label").mapInArrow(features, ", ".join(f"{n} double" for n in names) + ", label int"), "evidence")
+    if rows.agg(F.count_distinct("label")).first()[0] == 2:
+        model.weights = tuple(fit_logistic_rows(rows, names, "label"))
     return model
 
 
