@@ -1,12 +1,18 @@
 """Near copies: classes of texts chained by a Jaccard similarity of their word shingles.
 
 Texts are sets of XXH64 values of their 5-word shingles; equal sets are one node, so
-exact copies never meet as pairs. Nodes are proposed by MinHash bands: two sets of
-similarity s share none of 24 bands of 5 values with a chance of (1 - s^5)^24, below
-1e-4 at 0.8. What is proposed is then decided by the exact similarity of the whole
-sets, so nothing less similar is linked.
-
-Buckets of one band with the same members are one. Each member is compared with the
+exact copies never meet as pairs. Nodes are proposed in two ways. SimHash: each set has
+a 64-bit fingerprint, and a table for each two of six blocks of its bits, so that
+fingerprints of 4 differing bits or fewer meet surely and many further ones do; within
+a bucket those of 12 bits or fewer are proposed. At a similarity of 0.8 fingerprints
+differ at about 10 bits and at up to 20, which tables that are selective don't reach
+surely, so what is further is proposed by MinHash bands: two sets of similarity s share
+none of 24 bands of 5 values with a chance of (1 - s^5)^24, below 1e-4 at 0.8. What
+either proposes is decided by the exact similarity of the whole sets, so nothing less
+similar is linked.
+
+A SimHash bucket of more than 64 nodes is treated as those of bands are:
+buckets with the same members are one. Each member is compared with the
 smallest of its bucket, its pivot; that settles every bucket of two and every bucket
 of like texts with a pair a member. A pivot's pairs are dealt in parts of bounded
 size, each with its own copy of the pivot's set. Members near the pivot are chained by
@@ -33,10 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from downfield.llm.common import join_skewed, written
-from downfield.llm.simhash import components
+from downfield.llm.simhash import block_masks, bucket_pairs, components, fingerprint_of, masked_buckets
 
 #: Bands and values a band; members of a block of a large bucket.
 BANDS, ROWS, MEMBERS = 24, 5, 1000
+#: Differing bits of fingerprints up to which a SimHash bucket proposes a pair.
+BITS = 12
 _BLOCK = 1 << 12
 _RNG = np.random.default_rng(42)
 _XOR = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
@@ -65,17 +73,18 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def with_sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, text_hash, node, bands) of each row; node is a hash of the whole set."""
+    """(doc_id, text_hash, node, bands, fp) of each row; node is a hash of the whole set, fp its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(x, words) for x in b.column("text_").to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "bands"])
+            fp = np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(fp)], names=["doc_id", "text_hash", "node", "bands", "fp"])
 
     body = F.coalesce(F.col("text"), F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text_")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text_")).mapInArrow(run, f"doc_id {kind}, text_hash long, node long, bands array<long>, fp long")
 
 
 def _with_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -181,25 +190,43 @@ def _link_table(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
+def simhash_proposals(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the tables of fingerprints propose: pairs (pivot, node) of BITS differing bits or fewer, and (node, key) of large buckets.
+
+    distinct: (node, fp); sets may share a fingerprint.
+    """
+    met = masked_buckets(distinct.select("fp", "node"), block_masks())
+    pairs = bucket_pairs(met, BITS).select(F.col("b").alias("pivot"), F.col("a").alias("node")).distinct()
+    return pairs, met.where("large").select("node", F.xxhash64("key").alias("key"))
+
+
 def near_copies(docs: DataFrame, words: int = 5, at_least: tuple[int, int] = (4, 5), members: int = MEMBERS) -> DataFrame:
     """(doc_id, text_hash, node, component) of each row of docs (doc_id, text); rows of a component are near copies."""
     rows = written(with_sketches(docs, words), "sketches")
-    distinct = rows.groupBy("node", "text_hash").agg(F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    distinct = distinct.groupBy("node").agg(F.min(F.struct("text_hash", "copies")).alias("text"), F.first("bands").alias("bands")).select("node", "text.*", "bands")
-    keyed = written(distinct.select("node", "text_hash", "copies", F.explode("bands").alias("key")), "bands")
+    distinct = rows.groupBy("node", "text_hash").agg(F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    distinct = distinct.groupBy("node").agg(F.min(F.struct("text_hash", "copies")).alias("text"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    distinct = written(distinct.where(F.size("bands") > 0).select("node", "text.*", "bands", "fp"), "distinct")
+    close, crowds = simhash_proposals(distinct.select("node", "fp"))
+    close = written(close, "close")
+    banded = distinct.select("node", "text_hash", "copies", F.explode("bands").alias("key"))
+    crowds = crowds.join(distinct.select("node", "text_hash", "copies"), "node").select("node", "text_hash", "copies", "key")
+    keyed = written(banded.unionByName(crowds), "keyed")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.sum(F.xxhash64("node").cast("decimal(38, 0)")).alias("who")).where("n > 1")
     buckets = written(buckets.groupBy("n", "pivot", "who").agg(F.min("key").alias("key")).select("key", "n", "pivot", F.col("n").alias("members")), "buckets")
     proposed = written(join_skewed(keyed, buckets, "key", "members"), "proposed")  # node, text_hash, copies, key, n, pivot
 
-    chosen = written(proposed.select("node", "text_hash", "copies").distinct(), "chosen")
+    either = close.select(F.explode(F.array("pivot", "node")).alias("node")).distinct()
+    either = either.join(distinct, "node").select("node", "text_hash", "copies")
+    chosen = written(proposed.select("node", "text_hash", "copies").unionByName(either).distinct(), "chosen")
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = join_skewed(texts, chosen, "text_hash", "copies").groupBy("node").agg(F.min("text").alias("text"))
     sets = written(_with_sets(texts, words), "shingles")
 
     # A pivot's pairs in parts, by the largest bucket that a pair shares: each part has a copy of the pivot's set.
     parts = _parts("n", members)
-    pairs = proposed.where("node != pivot").groupBy("pivot", "node").agg(F.max("n").alias("n")).select("pivot", "node", parts.alias("parts"), _part(parts).alias("part"))
-    pivots = buckets.select("pivot", parts.alias("parts")).distinct().select("pivot", "parts", _every(F.col("parts")).alias("part"))
+    pairs = proposed.where("node != pivot").select("pivot", "node", "n").unionByName(close.withColumn("n", F.lit(2).cast("long"))).groupBy("pivot", "node").agg(F.max("n").alias("n")).select("pivot", "node", parts.alias("parts"), _part(parts).alias("part"))
+    pairs = written(pairs, "pairs")
+    pivots = pairs.select("pivot", "parts", "part").distinct()
     pivots = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("s")), "pivot")
     pairs = pairs.join(sets.withColumnRenamed("shingles", "t"), "node").join(pivots, ["pivot", "parts", "part"])
     judged = written(_judged(pairs, at_least), "judged")
@@ -220,4 +247,4 @@ def near_copies(docs: DataFrame, words: int = 5, at_least: tuple[int, int] = (4,
         links = links.unionByName(met.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long"))
     classes = components(links)
     labels = rows.groupBy("node").agg(F.count("*").alias("copies")).join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "copies")
-    return join_skewed(rows.drop("bands"), labels, "node", "copies").select("doc_id", "text_hash", "node", "component")
+    return join_skewed(rows.drop("bands", "fp"), labels, "node", "copies").select("doc_id", "text_hash", "node", "component")

@@ -23,6 +23,7 @@ if there is none; they link nothing. Repeated rows are repeated in the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,20 @@ _BLOCK = 1 << 15
 MEMBERS = 64
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, count: int) -> int:
+    return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingles given by their hashes."""
+    return _majority(sum((_ones(hashes[k : k + _BLOCK]) for k in range(0, len(hashes), _BLOCK)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint(data: bytes, words: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of a UTF-8 text."""
     w = data.lower().split()  # bytes: A-Z and ASCII white space only
@@ -52,8 +67,8 @@ def fingerprint(data: bytes, words: int = 3, seed: int = 42) -> int:
     for k in range(0, len(shingles), _BLOCK):
         part = shingles[k : k + _BLOCK]
         h = np.fromiter((digest(s, seed) for s in part), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0])
+        ones += _ones(h)
+    return _majority(ones, len(shingles))
 
 
 def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words: int = 3) -> DataFrame:
@@ -76,6 +91,12 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def block_masks(blocks: int = 6, kept: int = 2, bits: int = 64) -> list[int]:
+    """One mask (signed) for each choice of kept blocks of the bits: what differs at blocks - kept positions or fewer agrees under one."""
+    masks = [sum(1 << i for i in range(bits) if i * blocks // bits in chosen) for chosen in combinations(range(blocks), kept)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def _flips() -> Column:
     return F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)))
 
@@ -97,6 +118,20 @@ def _ball_links(prints: DataFrame) -> DataFrame:
     return balls.select(F.explode(chain).alias("l")).select("l.a", "l.b")
 
 
+def masked_buckets(distinct: DataFrame, masks: list[int], members: int = MEMBERS) -> DataFrame:
+    """(key, fp, node, large) of the buckets of two fingerprints or more; large: of more than members. distinct: (fp, node)."""
+    keyed = distinct.select("fp", "node", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("v", "mask"))
+    keyed = keyed.select("fp", "node", F.struct("v", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n", (F.col("n") > members).alias("large"))
+    return written(join_skewed(keyed, shared, "key", "n", total=len(masks) * distinct.count()), "buckets")
+
+
+def bucket_pairs(met: DataFrame, radius: int, members: int = MEMBERS) -> DataFrame:
+    """(a, b), a > b, of the nodes that differ at radius bits or fewer, within the buckets that aren't large."""
+    few = met.where("NOT large").groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("members"))
+    return few.select(F.explode(_close_members(F.col("members"), radius, members)).alias("l")).select("l.a", "l.b")
+
+
 def covering_links(distinct: DataFrame, radius: int = 2, members: int = MEMBERS) -> DataFrame:
     """(a, b) of node ids that chain all fingerprints within the radius; distinct: (fp, node), each fp once.
 
@@ -104,14 +139,8 @@ def covering_links(distinct: DataFrame, radius: int = 2, members: int = MEMBERS)
     """
     if radius != 2:
         raise ValueError("the exact step of large buckets is written for a radius of 2")
-    masks = covering_masks(radius)
-    keyed = distinct.select("fp", "node", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("v", "mask"))
-    keyed = keyed.select("fp", "node", F.struct("v", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n", (F.col("n") > members).alias("large"))
-    met = written(join_skewed(keyed, shared, "key", "n", total=len(masks) * distinct.count()), "buckets")
-    few = met.where("NOT large").groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("members"))
-    few = few.select(F.explode(_close_members(F.col("members"), radius, members)).alias("l")).select("l.a", "l.b")
-    return few.unionByName(_ball_links(met.where("large").select("fp", "node").distinct())).distinct()
+    met = masked_buckets(distinct, covering_masks(radius), members)
+    return bucket_pairs(met, radius, members).unionByName(_ball_links(met.where("large").select("fp", "node").distinct())).distinct()
 
 
 def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataFrame:
