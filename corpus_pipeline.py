@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.llm import copies, decontam, mixing, tokens, toxicity
-from downfield.llm.common import held_out, scratch, table, whole_row, written
+from downfield.llm.common import cleared, held_out, scratch, table, whole_row, written
 from downfield.llm.queries import CUT, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents that the toxicity model predicts."""
-    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
+    with cleared(spark):
+        model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
     return toxicity.score_rows(docs, model, docs.columns).where(F.col("score") < CUT).select("row.*")
 
 
@@ -24,7 +25,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that are equal in id and text are one document; an id that stays does so with all of its different texts. Of a
     class without an id, one row stays.
     """
-    found = written(copies.near_copies(docs), "near-copies")
+    path = scratch(spark, "near-copies")
+    with cleared(spark):
+        found = written(copies.near_copies(docs), "near-copies", path)
     least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
     keep = least.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
     row = docs.select(whole_row(docs).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from downfield.llm.common import join_skewed, written
+from downfield.llm.common import join_skewed, possible, written
 from downfield.llm.simhash import block_masks, bucket_pairs, components, fingerprint_of, masked_buckets
 
 #: Bands and values a band; members of a block of a large bucket.
@@ -213,22 +213,23 @@ def near_copies(docs: DataFrame, words: int = 5, at_least: tuple[int, int] = (4,
     keyed = written(banded.unionByName(crowds), "keyed")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.sum(F.xxhash64("node").cast("decimal(38, 0)")).alias("who")).where("n > 1")
     buckets = written(buckets.groupBy("n", "pivot", "who").agg(F.min("key").alias("key")).select("key", "n", "pivot", F.col("n").alias("members")), "buckets")
-    proposed = written(join_skewed(keyed, buckets, "key", "members"), "proposed")  # node, text_hash, copies, key, n, pivot
+    proposed = written(join_skewed(possible(keyed, buckets, "key"), buckets, "key", "members"), "proposed")  # node, text_hash, copies, key, n, pivot
 
     either = close.select(F.explode(F.array("pivot", "node")).alias("node")).distinct()
     either = either.join(distinct, "node").select("node", "text_hash", "copies")
     chosen = written(proposed.select("node", "text_hash", "copies").unionByName(either).distinct(), "chosen")
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = join_skewed(texts, chosen, "text_hash", "copies").groupBy("node").agg(F.min("text").alias("text"))
+    texts = join_skewed(possible(texts, chosen, "text_hash"), chosen, "text_hash", "copies").groupBy("node").agg(F.min("text").alias("text"))
     sets = written(_with_sets(texts, words), "shingles")
 
     # A pivot's pairs in parts, by the largest bucket that a pair shares: each part has a copy of the pivot's set.
     parts = _parts("n", members)
     pairs = proposed.where("node != pivot").select("pivot", "node", "n").unionByName(close.withColumn("n", F.lit(2).cast("long"))).groupBy("pivot", "node").agg(F.max("n").alias("n")).select("pivot", "node", parts.alias("parts"), _part(parts).alias("part"))
     pairs = written(pairs, "pairs")
-    pivots = pairs.select("pivot", "parts", "part").distinct()
-    pivots = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("s")), "pivot")
-    pairs = pairs.join(sets.withColumnRenamed("shingles", "t"), "node").join(pivots, ["pivot", "parts", "part"])
+    # Both joins ask for the sets by node under the same names, so that these are dealt once.
+    pivots = pairs.select(F.col("pivot").alias("node"), "parts", "part").distinct()
+    pivots = pivots.join(sets, "node").select(F.col("node").alias("pivot"), "parts", "part", F.col("shingles").alias("s"))
+    pairs = pairs.join(sets, "node").withColumnRenamed("shingles", "t").join(pivots, ["pivot", "parts", "part"])
     judged = written(_judged(pairs, at_least), "judged")
 
     among, across = meetings(proposed, judged, members)
