@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.llm import copies, decontam, mixing, tokens, toxicity
-from downfield.llm.common import cleared, held_out, scratch, table, whole_row, written
+from downfield.llm.common import cleared, held_out, scratch, small_batches, table, whole_row, written
 from downfield.llm.queries import CUT, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents that the toxicity model predicts."""
+    small_batches(spark)
     with cleared(spark):
         model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 3, 1))
     return toxicity.score_rows(docs, model, docs.columns).where(F.col("score") < CUT).select("row.*")
@@ -25,6 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that are equal in id and text are one document; an id that stays does so with all of its different texts. Of a
     class without an id, one row stays.
     """
+    small_batches(spark)
     path = scratch(spark, "near-copies")
     with cleared(spark):
         found = written(copies.near_copies(docs), "near-copies", path)
@@ -39,16 +41,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents that hold half of a benchmark item or more."""
+    small_batches(spark)
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in training order. Documents without a word are never taken."""
+    small_batches(spark)
     return mixing.mixed_rows(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token ids to files and returns what reading them back gives."""
+    small_batches(spark)
     return tokens.token_digests(docs, tokenizer_path())
 
 
